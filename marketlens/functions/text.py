@@ -62,9 +62,16 @@ def is_page_request(method: Column, path: Column, api_prefix: str = API_PREFIX)
     )
 
 
+URL_PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)"
+
+
 def url_path(url: Column) -> Column:
-    """Path part of an absolute URL, like a request's ``req.path``."""
-    return F.coalesce(F.parse_url(url, F.lit("PATH")), F.lit(""))
+    """Path part of an absolute URL (no query, no fragment), like ``req.path``.
+
+    A regular expression rather than ``parse_url``, which fails on a
+    malformed URL under ANSI mode; no match gives ''.
+    """
+    return F.regexp_extract(url, URL_PATH, 1)
 
 
 def ascii_lower(c: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import money
+from ..functions.text import url_path
 from .tables import read_table
 
 # Driver order status -> shop order status.
@@ -60,7 +61,7 @@ class DriverShop:
             F.lit("customer").alias("role"),
             F.lit(None).cast("string").alias("phone"),
             F.col("nation").alias("address"),
-            F.lit(None).cast("timestamp").alias("created_at"),
+            F.lit(None).cast("timestamp_ntz").alias("created_at"),
         )
 
     @cached_property
@@ -76,7 +77,7 @@ class DriverShop:
             F.lit("artisan").alias("role"),
             F.lit(None).cast("string").alias("phone"),
             F.col("nation").alias("address"),
-            F.lit(None).cast("timestamp").alias("created_at"),
+            F.lit(None).cast("timestamp_ntz").alias("created_at"),
         )
 
     # --- catalogue -----------------------------------------------------------
@@ -198,9 +199,9 @@ class DriverShop:
         """Browser requests: one GET per crawled page URL."""
         p = self.table("pages")
         return p.select(
-            F.lit(None).cast("timestamp").alias("ts"),
+            F.lit(None).cast("timestamp_ntz").alias("ts"),
             F.lit("GET").alias("method"),
-            F.coalesce(F.parse_url(F.col("url"), F.lit("PATH")), F.lit("")).alias("path"),
+            url_path(F.col("url")).alias("path"),
             F.col("page_id").cast("string").alias("session_id"),
             F.lit(None).cast("bigint").alias("user_id"),
         )
