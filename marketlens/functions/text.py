@@ -24,7 +24,7 @@ PRODUCT_TEXT_MAX = 500
 ENQUIRY_TEXT_MAX = 1000
 
 _STRIP_CLASS = "[<>\"'`]"
-_TRIM = f"^[{JS_BLANKS}]+|[{JS_BLANKS}]+$"
+_TRIM = f"^[{JS_BLANKS}]+|[{JS_BLANKS}]+\\z"
 
 
 def sanitize(c: Column, max_len: int = USER_TEXT_MAX) -> Column:

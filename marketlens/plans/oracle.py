@@ -94,3 +94,53 @@ def with_ctes(body: str, *names: str) -> str:
         return body.strip()
     parts = ",\n".join(f"{n} AS ({CTES[n][1]}\n)" for n in ordered)
     return f"WITH {parts}\n{body.strip()}"
+
+
+# --- SQL spellings of the text helpers (DuckDB / RE2 syntax) -------------------
+JS_BLANKS_RE2 = (r"\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}"
+                 r"\x{202F}\x{205F}\x{3000}\x{FEFF}")
+
+
+def sql_sanitize(expr: str, n: int) -> str:
+    """DuckDB form of :func:`marketlens.functions.text.sanitize`."""
+    b = JS_BLANKS_RE2
+    stripped = f"regexp_replace({expr}, '[<>\"''`]', '', 'g')"
+    trimmed = f"regexp_replace({stripped}, '^[{b}]+|[{b}]+$', '', 'g')"
+    return f"COALESCE(substring({trimmed}, 1, {n}), '')"
+
+
+def sql_email_ok(expr: str) -> str:
+    """DuckDB form of :func:`marketlens.functions.text.email_ok`."""
+    b = JS_BLANKS_RE2
+    return f"COALESCE(regexp_full_match({expr}, '[^{b}@]+@[^{b}@]+\\.[^{b}@]+'), FALSE)"
+
+
+def sql_falsy(expr: str) -> str:
+    """JavaScript falsiness of a text value: NULL or ''."""
+    return f"({expr} IS NULL OR {expr} = '')"
+
+
+def sql_parse_int(expr: str) -> str:
+    return f"TRY_CAST(NULLIF(regexp_extract({expr}, '^[\\s]*([+-]?[0-9]+)', 1), '') AS INTEGER)"
+
+
+CTES["s_raw_enquiries"] = ((), r"""
+        SELECT doc_id AS id, source AS company_name, lang AS contact_person,
+               regexp_extract(text, '\S*@\S*', 0) AS email, CAST(NULL AS VARCHAR) AS phone,
+               lang AS product_category, CAST(n_chars AS VARCHAR) AS quantity, text AS message
+        FROM documents""")
+CTES["s_enquiry_checked"] = (("s_raw_enquiries",), f"""
+        SELECT *, CASE WHEN {sql_falsy('company_name')} OR {sql_falsy('contact_person')} OR {sql_falsy('email')}
+                       THEN 'company name, contact person and email are required'
+                       WHEN NOT {sql_email_ok('email')} THEN 'invalid email address' END AS reason
+        FROM s_raw_enquiries""")
+CTES["s_enquiries"] = (("s_enquiry_checked",), f"""
+        SELECT id, {sql_sanitize('company_name', 1000)} AS company_name,
+               {sql_sanitize('contact_person', 1000)} AS contact_person,
+               {sql_sanitize('email', 1000)} AS email,
+               {sql_sanitize("COALESCE(phone, '')", 1000)} AS phone,
+               {sql_sanitize("COALESCE(product_category, '')", 1000)} AS product_category,
+               CASE WHEN NOT {sql_falsy('quantity')} THEN {sql_parse_int('quantity')} END AS quantity,
+               {sql_sanitize("COALESCE(message, '')", 1000)} AS message,
+               'pending' AS status, CAST(NULL AS TIMESTAMP) AS created_at
+        FROM s_enquiry_checked WHERE reason IS NULL""")
