@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import money
 from ..functions.text import url_path
+from ..schema import DRIVER_TABLES
 from .tables import read_table
 
 # Driver order status -> shop order status.
@@ -31,6 +32,48 @@ def _event_product(props) -> "F.Column":
     return F.get_json_object(props, "$.k").try_cast("bigint")
 
 
+def views_from_events(events: DataFrame) -> DataFrame:
+    """Product page views from 'view' events (batch or stream)."""
+    e = events.where(F.col("event_type") == VIEW_EVENT)
+    pid = _event_product(F.col("props"))
+    return e.select(
+        F.col("event_id").alias("id"),
+        F.col("user_id").cast("string").alias("session_id"),
+        F.col("user_id"),
+        F.concat(F.lit(PRODUCT_PAGE_PREFIX), pid.cast("string")).alias("page"),
+        pid.alias("product_id"),
+        F.col("ts").alias("created_at"),
+    )
+
+
+def cart_from_events(events: DataFrame) -> DataFrame:
+    """Cart actions from click (add) and purchase (checkout) events (batch or stream)."""
+    e = events.where(F.col("event_type").isin(*CART_EVENT_ACTION))
+    action = F.when(F.lit(False), F.lit(None))
+    for etype, name in CART_EVENT_ACTION.items():
+        action = action.when(F.col("event_type") == etype, F.lit(name))
+    return e.select(
+        F.col("event_id").alias("id"),
+        F.col("user_id").cast("string").alias("session_id"),
+        F.col("user_id"),
+        _event_product(F.col("props")).alias("product_id"),
+        action.alias("action"),
+        F.lit(1).alias("quantity"),
+        F.col("ts").alias("created_at"),
+    )
+
+
+def requests_from_pages(pages: DataFrame) -> DataFrame:
+    """Browser requests: one GET per crawled page URL (batch or stream)."""
+    return pages.select(
+        F.lit(None).cast("timestamp_ntz").alias("ts"),
+        F.lit("GET").alias("method"),
+        url_path(F.col("url")).alias("path"),
+        F.col("page_id").cast("string").alias("session_id"),
+        F.lit(None).cast("bigint").alias("user_id"),
+    )
+
+
 class DriverShop:
     """Lazily built shop frames over one scale-factor folder."""
 
@@ -166,45 +209,24 @@ class DriverShop:
     @cached_property
     def page_views(self) -> DataFrame:
         """Product page views from 'view' events."""
-        e = self.table("events").where(F.col("event_type") == VIEW_EVENT)
-        pid = _event_product(F.col("props"))
-        return e.select(
-            F.col("event_id").alias("id"),
-            F.col("user_id").cast("string").alias("session_id"),
-            F.col("user_id"),
-            F.concat(F.lit(PRODUCT_PAGE_PREFIX), pid.cast("string")).alias("page"),
-            pid.alias("product_id"),
-            F.col("ts").alias("created_at"),
-        )
+        return views_from_events(self.table("events"))
 
     @cached_property
     def cart_actions(self) -> DataFrame:
         """Cart actions from click (add) and purchase (checkout) events."""
-        e = self.table("events").where(F.col("event_type").isin(*CART_EVENT_ACTION))
-        action = F.when(F.lit(False), F.lit(None))
-        for etype, name in CART_EVENT_ACTION.items():
-            action = action.when(F.col("event_type") == etype, F.lit(name))
-        return e.select(
-            F.col("event_id").alias("id"),
-            F.col("user_id").cast("string").alias("session_id"),
-            F.col("user_id"),
-            _event_product(F.col("props")).alias("product_id"),
-            action.alias("action"),
-            F.lit(1).alias("quantity"),
-            F.col("ts").alias("created_at"),
-        )
+        return cart_from_events(self.table("events"))
+
+    def stream(self, name: str, max_files: int | None = None) -> DataFrame:
+        """A driver table read as a file stream (new files are new events)."""
+        reader = self.spark.readStream.schema(DRIVER_TABLES[name])
+        if max_files:
+            reader = reader.option("maxFilesPerTrigger", max_files)
+        return reader.parquet(f"{self.root}/{name}*.parquet")
 
     @cached_property
     def request_log(self) -> DataFrame:
         """Browser requests: one GET per crawled page URL."""
-        p = self.table("pages")
-        return p.select(
-            F.lit(None).cast("timestamp_ntz").alias("ts"),
-            F.lit("GET").alias("method"),
-            url_path(F.col("url")).alias("path"),
-            F.col("page_id").cast("string").alias("session_id"),
-            F.lit(None).cast("bigint").alias("user_id"),
-        )
+        return requests_from_pages(self.table("pages"))
 
     @cached_property
     def raw_enquiries(self) -> DataFrame:

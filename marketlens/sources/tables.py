@@ -30,6 +30,9 @@ def read_sales_csv(spark: SparkSession, path: str) -> DataFrame:
         .option("escape", '"')
         .option("multiLine", True)
         .option("enforceSchema", False)
+        # Like Python's csv module, an empty field is '' and never NULL.
+        .option("emptyValue", "")
+        .option("nullValue", "\u0000")
         .csv(path)
     )
 
