@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import as_double, clamp_to_stock, js_or, parse_float_js, parse_int_js
 from ..functions.text import ENQUIRY_TEXT_MAX, PRODUCT_TEXT_MAX, USER_TEXT_MAX, email_ok, sanitize
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, materialize
 from .windows import first_per_key, last_per_key, sum_before
 
 # Allowed states, defaults and roles.
@@ -115,32 +115,42 @@ class IntakeResult:
     rounds: int
 
 
-def _cart_lines(carts: DataFrame, products: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Explode carts to lines joined to products; return (lines, carts pre-rejected)."""
-    lines = (
-        carts.select("cart_id", "seq", F.posexplode_outer("items").alias("pos", "item"))
-        .where(F.col("item").isNotNull())
-        .select("cart_id", "seq", "pos", F.col("item.productId").alias("product_id"),
-                F.col("item.quantity").alias("quantity"))
-    )
+def _cart_lines(carts: DataFrame, products: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Explode carts to lines joined to products, once.
+
+    Returns (cart headers, good lines, pre-rejected carts); the first two
+    are written to the shared checkpoint folder so later steps reuse them.
+    """
+    headers = materialize(carts.select(
+        "cart_id", "seq", "customer_id", "shipping_address", "payment_method",
+        F.coalesce(F.size("items"), F.lit(0)).alias("n_items"),
+    ), "intake-headers")
     p = products.select(F.col("id").alias("product_id"), "price",
                         F.coalesce(F.col("stock"), F.lit(0)).alias("stock"), F.lit(True).alias("_known"))
-    lines = lines.join(p, "product_id", "left")
     pid = F.coalesce(F.col("product_id").cast("string"), F.lit("null"))
     bad = (
         F.when(F.col("_known").isNull(), F.concat(F.lit("product "), pid, F.lit(" not found")))
         .when(F.coalesce(F.col("quantity"), F.lit(0)) <= 0,
               F.concat(F.lit("invalid quantity for product "), pid))
     )
+    lines = materialize(
+        carts.select("cart_id", "seq", F.posexplode("items").alias("pos", "item"))
+        .where(F.col("item").isNotNull())
+        .select("cart_id", "seq", "pos", F.col("item.productId").alias("product_id"),
+                F.col("item.quantity").alias("quantity"))
+        .join(p, "product_id", "left")
+        .withColumn("_bad", bad)
+        .drop("_known"),
+        "intake-exploded",
+    )
     first_bad = (
-        lines.withColumn("_bad", bad).where(F.col("_bad").isNotNull())
+        lines.where(F.col("_bad").isNotNull())
         .groupBy("cart_id").agg(F.min_by("_bad", "pos").alias("reason"))
     )
-    empty = carts.where(F.coalesce(F.size("items"), F.lit(0)) <= 0).select(
-        "cart_id", F.lit("cart is empty").alias("reason"))
+    empty = headers.where(F.col("n_items") <= 0).select("cart_id", F.lit("cart is empty").alias("reason"))
     pre_rejected = first_bad.unionByName(empty)
-    good = lines.join(pre_rejected.select("cart_id"), "cart_id", "left_anti").drop("_known")
-    return good, pre_rejected
+    good = lines.join(pre_rejected.select("cart_id"), "cart_id", "left_anti").drop("_bad")
+    return headers, good, pre_rejected
 
 
 def intake_orders(carts: DataFrame, products: DataFrame, max_rounds: int = 64,
@@ -162,24 +172,30 @@ def intake_orders(carts: DataFrame, products: DataFrame, max_rounds: int = 64,
     """
     spark = carts.sparkSession
     checkpoint_dir(spark)
-    good, pre_rejected = _cart_lines(carts, products)
+    headers, good, pre_rejected = _cart_lines(carts, products)
     per_product = good.groupBy("cart_id", "seq", "product_id").agg(
         F.sum("quantity").alias("qty_sum"), F.max("quantity").alias("qty_max"),
         F.first("stock").alias("stock"),
     )
-    state = per_product.withColumn("decision", F.lit(None).cast("string")).checkpoint()
+    lines_all = materialize(per_product, "intake-lines")
+    # ``active`` holds only products that still have an undecided cart; a
+    # product whose carts are all decided cannot change any later decision.
+    active = lines_all.withColumn("decision", F.lit(None).cast("string"))
+    decided_carts = None
     accepted_c = F.col("decision") == "A"
     open_c = F.col("decision").isNull()
     rounds = 0
-    while rounds < max_rounds:
+    while True:
+        if rounds >= max_rounds:
+            raise RuntimeError(f"order intake did not settle in {max_rounds} rounds")
         rounds += 1
         sums = sum_before(
-            state, "product_id", "seq",
+            active, "product_id", "seq",
             {"taken": F.when(accepted_c, F.col("qty_sum")).otherwise(F.lit(0)),
              "maybe": F.when(accepted_c | open_c, F.col("qty_sum")).otherwise(F.lit(0))},
             bucket_width,
         )
-        decided = (
+        new_dec = (
             sums.where(open_c)
             .groupBy("cart_id")
             .agg(
@@ -187,24 +203,29 @@ def intake_orders(carts: DataFrame, products: DataFrame, max_rounds: int = 64,
                 F.bool_or(F.col("stock") - F.col("taken") < F.col("qty_max")).alias("_short"),
             )
             .select("cart_id", F.when(F.col("_short"), F.lit("R")).when(F.col("_ok"), F.lit("A")).alias("_new"))
+            .where(F.col("_new").isNotNull())
         )
-        state = (
-            state.join(decided, "cart_id", "left")
+        new_dec = materialize(new_dec, f"intake-decided-{rounds}")
+        decided_carts = new_dec if decided_carts is None else decided_carts.unionByName(new_dec)
+        updated = (
+            active.join(new_dec, "cart_id", "left")
             .withColumn("decision", F.coalesce(F.col("decision"), F.col("_new")))
             .drop("_new")
-            .checkpoint()
         )
-        if state.where(open_c).limit(1).count() == 0:
+        still_open = updated.where(open_c).select("product_id").distinct()
+        active = materialize(updated.join(still_open, "product_id", "left_semi"), f"intake-active-{rounds}")
+        if active.limit(1).count() == 0:
             break
-    if state.where(open_c).limit(1).count() != 0:
-        raise RuntimeError(f"order intake did not settle in {max_rounds} rounds")
+    decided_carts = materialize(decided_carts.select("cart_id", F.col("_new").alias("decision")),
+                                "intake-decisions")
+    state = lines_all.join(decided_carts, "cart_id")
 
     # Exact reasons: with every decision final, ``taken`` is the stock used.
     final = sum_before(
         state, "product_id", "seq",
         {"taken": F.when(accepted_c, F.col("qty_sum")).otherwise(F.lit(0))}, bucket_width,
     ).select("cart_id", "product_id", "taken", "decision")
-    lines = good.join(final, ["cart_id", "product_id"])
+    lines = materialize(good.join(final, ["cart_id", "product_id"]), "intake-final-lines")
     short_reason = (
         lines.where((F.col("decision") == "R") & (F.col("stock") - F.col("taken") < F.col("quantity")))
         .groupBy("cart_id")
@@ -215,14 +236,14 @@ def intake_orders(carts: DataFrame, products: DataFrame, max_rounds: int = 64,
     totals = acc_lines.groupBy("cart_id").agg(F.sum(F.col("price") * F.col("quantity")).alias("total_amount"))
     reasons = pre_rejected.unionByName(short_reason)
     decisions = (
-        carts.select("cart_id", "seq")
+        headers.select("cart_id", "seq")
         .join(totals, "cart_id", "left")
         .join(reasons, "cart_id", "left")
         .select("cart_id", "seq", F.col("reason").isNull().alias("accepted"), "reason",
                 F.when(F.col("reason").isNull(), F.col("total_amount")).alias("total_amount"))
     )
     new_orders = (
-        carts.join(totals, "cart_id")
+        headers.join(totals, "cart_id")
         .select(
             F.col("cart_id").alias("id"), "customer_id", "total_amount",
             F.lit(NEW_ORDER_STATUS).alias("status"),
@@ -237,7 +258,7 @@ def intake_orders(carts: DataFrame, products: DataFrame, max_rounds: int = 64,
         products.join(used, products.id == used.product_id, "left"),
         {"stock": F.col("stock") - F.coalesce(F.col("_used"), F.lit(0))},
     ).select(*products.columns)
-    events = acc_lines.join(carts.select("cart_id", "customer_id"), "cart_id").select(
+    events = acc_lines.join(headers.select("cart_id", "customer_id"), "cart_id").select(
         F.col("customer_id").alias("user_id"), "product_id", F.lit("checkout").alias("action"),
         "quantity", "cart_id", "pos",
     )
