@@ -74,6 +74,15 @@ def url_path(url: Column) -> Column:
     return F.regexp_extract(url, URL_PATH, 1)
 
 
+def first_at_token(c: Column) -> Column:
+    """First blank-delimited token that contains '@' (or '').
+
+    The cheap ``contains`` test runs first so the regular expression only
+    scans texts that can match.
+    """
+    return F.when(c.contains("@"), F.regexp_extract(c, r"\S*@\S*", 0)).otherwise(F.lit(""))
+
+
 def ascii_lower(c: Column) -> Column:
     """Fold ASCII letters only, as SQLite's ``LIKE`` does."""
     return F.translate(c, ASCII_UPPER, ASCII_LOWER)

@@ -108,6 +108,25 @@ def product_detail(products: DataFrame, users: DataFrame, ids: DataFrame) -> Dat
     )
 
 
+def order_detail(orders: DataFrame, items: DataFrame, products: DataFrame, users: DataFrame) -> DataFrame:
+    """Lines of the given orders with product name, image and artisan name (C4).
+
+    Batch form of the order page: order lines ⋈ products ⋈ artisan users,
+    inner joins as in the reference (lines of a deleted product drop out).
+    """
+    ids = orders.select(F.col("id").alias("order_id"))
+    p = products.select(F.col("id").alias("product_id"), "name", "image_url", "artisan_id")
+    a = users.select(F.col("id").alias("artisan_id"), F.col("name").alias("artisan_name"))
+    cols = ["order_id", "product_id", "quantity", "price"]
+    return (
+        items.select(*cols).join(ids, "order_id", "left_semi")
+        .join(p, "product_id")
+        .join(a, "artisan_id")
+        .select("order_id", "product_id", "quantity", as_double(F.col("price")).alias("price"),
+                "name", "image_url", "artisan_name")
+    )
+
+
 def related_products(products: DataFrame, k: int = 4) -> DataFrame:
     """Up to ``k`` other products of the same category, lowest ids first.
 

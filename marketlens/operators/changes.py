@@ -118,13 +118,16 @@ class IntakeResult:
 def _cart_lines(carts: DataFrame, products: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Explode carts to lines joined to products, once.
 
-    Returns (cart headers, good lines, pre-rejected carts); the first two
-    are written to the shared checkpoint folder so later steps reuse them.
+    Returns (cart headers, good lines, pre-rejected carts).  The carts and
+    the exploded lines are written to the shared checkpoint folder once, so
+    the rounds and the outputs reuse them instead of recomputing the input.
     """
-    headers = materialize(carts.select(
+    carts = materialize(carts.select("cart_id", "seq", "customer_id", "items", "shipping_address",
+                                     "payment_method"), "intake-carts")
+    headers = carts.select(
         "cart_id", "seq", "customer_id", "shipping_address", "payment_method",
         F.coalesce(F.size("items"), F.lit(0)).alias("n_items"),
-    ), "intake-headers")
+    )
     p = products.select(F.col("id").alias("product_id"), "price",
                         F.coalesce(F.col("stock"), F.lit(0)).alias("stock"), F.lit(True).alias("_known"))
     pid = F.coalesce(F.col("product_id").cast("string"), F.lit("null"))
@@ -470,6 +473,22 @@ def delete_rows(df: DataFrame, requests: DataFrame, principals: DataFrame,
     return df.join(gone, "id", "left_anti"), rejected
 
 
+# --- H19: cart request bodies ---------------------------------------------------------------
+
+CART_BODY_SCHEMA = "array<struct<productId:bigint,quantity:int>>"
+
+
+def parse_cart_body(body: Column) -> Column:
+    """JSON cart body (``[{"productId": 1, "quantity": 2}, ...]``) -> array of
+    structs; malformed text gives NULL, which intake treats as an empty cart (H19)."""
+    return F.from_json(body, CART_BODY_SCHEMA)
+
+
+def cart_requests_from_json(raw: DataFrame, body_col: str = "body") -> DataFrame:
+    """Cart requests whose items arrive as JSON text, typed for :func:`intake_orders`."""
+    return raw.withColumn("items", parse_cart_body(F.col(body_col))).drop(body_col)
+
+
 # --- C8, D19, D20: carts ---------------------------------------------------------------------
 
 def merge_cart_adds(adds: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import first_at_token
 from ..operators import changes, customers, kpis, quality
 from ..sources.adapter import DriverShop
 from .oracle import CTES, sql_email_ok, sql_falsy, sql_sanitize, with_ctes
@@ -318,7 +319,7 @@ def _registrations(shop: DriverShop):
         .otherwise(F.lit("admin"))
     return d.select(
         F.col("source").alias("name"),
-        F.regexp_extract(F.col("text"), r"\S*@\S*", 0).alias("email"),
+        first_at_token(F.col("text")).alias("email"),
         role.alias("role"),
         F.lit(None).cast("string").alias("phone"),
         F.col("lang").alias("address"),

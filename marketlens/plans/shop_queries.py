@@ -91,6 +91,19 @@ def q_product_detail(spark, root):
     return catalog.product_detail(_owned(shop), shop.artisans, ids)
 
 
+@register("order_detail", "C4", with_ctes("""
+    SELECT i.order_id, i.product_id, i.quantity, CAST(i.price AS DOUBLE) AS price, p.name, p.image_url,
+           a.name AS artisan_name
+    FROM s_items i JOIN s_products_owned p ON p.id = i.product_id
+    JOIN s_artisans a ON a.id = p.artisan_id
+    WHERE i.order_id IN (SELECT id FROM s_orders WHERE status = 'confirmed')""",
+    "s_items", "s_products_owned", "s_artisans", "s_orders"))
+def q_order_detail(spark, root):
+    shop = DriverShop(spark, root)
+    open_orders = shop.orders.where(F.col("status") == "confirmed")
+    return catalog.order_detail(open_orders, shop.order_items, _owned(shop), shop.artisans)
+
+
 @register("related_products", "C7 E3 F3", with_ctes("""
     SELECT product_id, related_id, position FROM (
       SELECT a.id AS product_id, b.id AS related_id,

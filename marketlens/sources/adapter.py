@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import money
-from ..functions.text import url_path
+from ..functions.text import first_at_token, url_path
 from ..schema import DRIVER_TABLES
 from .tables import read_table
 
@@ -236,7 +236,7 @@ class DriverShop:
             F.col("doc_id").alias("id"),
             F.col("source").alias("company_name"),
             F.col("lang").alias("contact_person"),
-            F.regexp_extract(F.col("text"), r"\S*@\S*", 0).alias("email"),
+            first_at_token(F.col("text")).alias("email"),
             F.lit(None).cast("string").alias("phone"),
             F.col("lang").alias("product_category"),
             F.col("n_chars").cast("string").alias("quantity"),

@@ -147,3 +147,19 @@ def test_constraint_audit_counts_violations(spark, seed):
     assert audit[("users", "unique:email")] == 0
     assert audit[("orders", "check:status")] == 0
     assert sum(audit.values()) == 3
+
+
+def test_cart_body_json(spark, seed):
+    raw = spark.createDataFrame([
+        (1, 1, 5, '[{"productId": 4, "quantity": 2}, {"productId": 4, "quantity": 1}]', None, None),
+        (2, 2, 6, "not json", None, None),
+        (3, 3, 6, "[]", None, None)],
+        "cart_id long, seq long, customer_id long, body string, shipping_address string, payment_method string")
+    carts = changes.cart_requests_from_json(raw)
+    res = changes.intake_orders(carts, seed["products"])
+    got = {r.cart_id: (r.accepted, r.reason) for r in res.decisions.collect()}
+    assert got == {1: (True, None), 2: (False, "cart is empty"), 3: (False, "cart is empty")}
+    assert {r.id: r.stock for r in res.products.collect()}[4] == 97
+    order = res.orders.first()
+    assert (order.id, float(order.total_amount), order.status, order.payment_method) == (1, 1800.0, "confirmed",
+                                                                                         "mock_payment")

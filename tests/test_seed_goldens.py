@@ -134,3 +134,23 @@ def test_order_product_names(seed, spark):
     assert got[2] == "Dokra Bull Sculpture, Dokra Tribal Musician Figurine, Handmade Clay Hanging Lamp"
     assert got[3] == "Dokra Wall Hanging Plate"
     assert got[9] is None
+
+
+def test_keyset_paging_matches_offset(seed):
+    first = catalog.catalog_page(seed["products"], seed["users"], limit=5).collect()
+    second = catalog.catalog_page(seed["products"], seed["users"], limit=5, offset=5).collect()
+    after = catalog.catalog_page_after(seed["products"], seed["users"], first[-1].views, first[-1].id,
+                                       limit=5).collect()
+    assert [r.id for r in first] == [4, 18, 17, 1, 15]
+    assert [r.id for r in after] == [r.id for r in second] == [12, 2, 6, 16, 11]
+
+
+def test_visible_rows_per_session(seed):
+    assert customers.visible_rows(seed["orders"], "customer_id", 5, "customer").count() == 2
+    assert customers.visible_rows(seed["orders"], "customer_id", 1, "admin").count() == 4
+
+
+def test_shares_of_category_revenue(seed):
+    shares = {r.category: (r.share_pct, r.of_max_pct) for r in
+              sales.with_shares(sales.sales_by_category(seed["order_items"], seed["products"]), "revenue").collect()}
+    assert shares == {"Terracotta Decor": (62.7, 100.0), "Dokra Metal Art": (37.3, 59.6)}
