@@ -22,8 +22,11 @@ BASE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
-    # Broadcast only what Spark has measured to be small.
-    "spark.sql.autoBroadcastJoinThreshold": "32m",
+    # Broadcasts: the planner only for inputs whose (compressed) file
+    # statistics are under 10 MB; anything larger only when AQE has measured
+    # the shuffled side at runtime to be under 64 MB.
+    "spark.sql.autoBroadcastJoinThreshold": "10m",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",

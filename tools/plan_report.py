@@ -19,7 +19,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def summarise(plan: str) -> dict:
-    tree = plan.split("\n\n(1)")[0]
+    tree = plan.split("\n\n\n")[0]
     scans = []
     for block in re.findall(r"\(\d+\) Scan parquet[^\n]*\n(.*?)(?:\n\n|\Z)", plan, re.S):
         loc = re.search(r"Location: [^\[]*\[file:[^\]]*/([a-z_]+)\.parquet\]", block)
@@ -28,9 +28,9 @@ def summarise(plan: str) -> dict:
         cols = [c.split(":")[0] for c in schema.group(1).split(",")] if schema and schema.group(1) else []
         scans.append((loc.group(1) if loc else "?", cols, pushed.group(1) if pushed else ""))
     return {
-        "shuffles": len(re.findall(r"Exchange hashpartitioning|Exchange rangepartitioning|Exchange SinglePartition|Exchange RoundRobin", tree)),
-        "broadcasts": len(re.findall(r"BroadcastExchange", tree)),
-        "windows": len(re.findall(r"\bWindow\b", tree)),
+        "shuffles": len(re.findall(r"(?<!Broadcast)Exchange \(\d+\)", tree)),
+        "broadcasts": len(re.findall(r"BroadcastExchange \(\d+\)", tree)),
+        "windows": len(re.findall(r"\bWindow \(\d+\)", tree)),
         "group_limit": "WindowGroupLimit" in tree,
         "scans": scans,
     }
