@@ -35,8 +35,10 @@ NEW_ENQUIRY_STATUS = "pending"
 
 
 def _replace(df: DataFrame, updates: dict[str, Column]) -> DataFrame:
-    """Project ``df`` keeping its column order, with some columns replaced."""
-    return df.select(*[updates[c].alias(c) if c in updates else F.col(c) for c in df.columns])
+    """Project ``df`` keeping its column order and types, with some columns
+    replaced, so a new snapshot has exactly the old one's schema."""
+    types = dict(df.dtypes)
+    return df.select(*[updates[c].cast(types[c]).alias(c) if c in updates else F.col(c) for c in df.columns])
 
 
 def _text(c: str) -> Column:

@@ -61,7 +61,7 @@ def q_order_status_apply(spark, root):
 
 
 @register("order_status_rejected", "I3", with_ctes(f"""
-    SELECT id, status, seq, 'invalid status' AS reason FROM s_status_changes
+    SELECT id, status, CAST(seq AS BIGINT) AS seq, 'invalid status' AS reason FROM s_status_changes
     WHERE status IS NULL OR status NOT IN {_ORDER_STATUS_LIST}""", "s_status_changes"))
 def q_order_status_rejected(spark, root):
     shop = DriverShop(spark, root)
@@ -162,7 +162,7 @@ def q_order_cancellation(spark, root):
 
 
 @register("cancellation_restock", "I2 D21", with_ctes("""
-    SELECT p.id, p.stock + COALESCE(b.units, 0) AS stock FROM s_products p LEFT JOIN (
+    SELECT p.id, CAST(p.stock + COALESCE(b.units, 0) AS INTEGER) AS stock FROM s_products p LEFT JOIN (
         SELECT product_id, SUM(quantity) AS units FROM s_items
         WHERE order_id IN (SELECT order_id FROM s_cancel_winners) GROUP BY product_id) b
       ON b.product_id = p.id""", "s_products", "s_items", "s_cancel_winners"))

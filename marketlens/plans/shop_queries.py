@@ -105,7 +105,7 @@ def q_order_detail(spark, root):
 
 
 @register("related_products", "C7 E3 F3", with_ctes("""
-    SELECT product_id, related_id, position FROM (
+    SELECT product_id, related_id, CAST(position AS INTEGER) AS position FROM (
       SELECT a.id AS product_id, b.id AS related_id,
              ROW_NUMBER() OVER (PARTITION BY a.id ORDER BY b.id) AS position
       FROM s_products a JOIN s_products b ON a.category = b.category AND a.id != b.id)

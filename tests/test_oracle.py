@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 from marketlens.plans import load_all
-from tools.check_oracle import TABLES, canon
+from tools.check_oracle import TABLES, canon, type_mismatches
 
 SF_DIR = "/root/testdata/sf0.001"
 REGISTRY = load_all()
@@ -28,10 +28,11 @@ def test_query_matches_duckdb(spark, con, name):
     q = REGISTRY[name]
     df = q.build(spark, SF_DIR)
     s_cols, s_rows = df.columns, [tuple(r) for r in df.collect()]
-    res = con.execute(q.sql)
-    d_cols = [c[0] for c in res.description]
-    d_rows = res.fetchall()
+    rel = con.sql(q.sql)
+    d_cols, d_types = rel.columns, rel.types
+    d_rows = rel.fetchall()
     assert sorted(s_cols) == sorted(d_cols)
+    assert type_mismatches(df.dtypes, d_cols, d_types) == []
     assert len(s_rows) == len(d_rows)
     assert canon(s_cols, s_rows) == canon(d_cols, d_rows)
 

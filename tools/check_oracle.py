@@ -30,7 +30,7 @@ def norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "NaN"
-        return repr(round(v, 6))
+        return repr(v) if os.environ.get("EXACT") else repr(round(v, 6))
     if isinstance(v, decimal.Decimal):
         return repr(round(float(v), 6))
     if isinstance(v, dt.datetime):
@@ -42,6 +42,19 @@ def norm(v):
     return str(v)
 
 
+# Spark type name -> DuckDB type name, for the schema part of the compare.
+SPARK_TO_DUCKDB = {
+    "bigint": "BIGINT", "int": "INTEGER", "smallint": "SMALLINT", "double": "DOUBLE", "float": "FLOAT",
+    "string": "VARCHAR", "boolean": "BOOLEAN", "date": "DATE", "timestamp_ntz": "TIMESTAMP",
+    "timestamp": "TIMESTAMP WITH TIME ZONE",
+}
+
+
+def type_mismatches(spark_dtypes, duck_cols, duck_types):
+    d = dict(zip(duck_cols, (str(t) for t in duck_types)))
+    return [(c, t, d.get(c)) for c, t in spark_dtypes if SPARK_TO_DUCKDB.get(t, t) != d.get(c)]
+
+
 def canon(cols, rows):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
     return sorted(tuple(norm(r[i]) for i in order) for r in rows)
@@ -77,9 +90,9 @@ def main() -> int:
             print(f"---- {name}: rows={len(s_rows)} (no SQL) {t_spark:.1f}s")
             continue
         try:
-            res = con.execute(q.sql)
-            d_cols = [c[0] for c in res.description]
-            d_rows = res.fetchall()
+            rel = con.sql(q.sql)
+            d_cols, d_types = rel.columns, rel.types
+            d_rows = rel.fetchall()
         except Exception as exc:
             print(f"FAIL {name}: duckdb error {str(exc).splitlines()[0][:300]}")
             failures += 1
@@ -87,6 +100,9 @@ def main() -> int:
         problems = []
         if sorted(s_cols) != sorted(d_cols):
             problems.append(f"columns spark={s_cols} duckdb={d_cols}")
+        bad_types = type_mismatches(df.dtypes, d_cols, d_types)
+        if bad_types:
+            problems.append(f"types {bad_types}")
         if len(s_rows) != len(d_rows):
             problems.append(f"rows spark={len(s_rows)} duckdb={len(d_rows)}")
         if not problems:
