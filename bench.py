@@ -23,7 +23,7 @@ HEADLINE = [
     "sales_lines", "line_sales_trend", "customer_segments", "top_products_by_revenue",
     "category_performance", "order_product_names", "related_products", "catalog_search",
     "catalog_page", "constraint_audit", "referential_orphans", "order_cancellation",
-    "enquiry_intake", "cart_totals", "stream_page_counts", "order_intake",
+    "enquiry_intake", "cart_totals", "stream_page_counts", "order_intake", "sales_report",
 ]
 
 
