@@ -66,7 +66,15 @@ def main() -> int:
     from marketlens.plans import load_all
     from marketlens.session import build_session
 
-    spark = build_session("local[8]", shuffle_partitions=8)
+    if os.environ.get("PLAIN"):
+        # A session with Spark's defaults only, as an outside caller would have.
+        from pyspark.sql import SparkSession
+
+        spark = SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false") \
+            .config("spark.ui.showConsoleProgress", "false").getOrCreate()
+        spark.sparkContext.setLogLevel("FATAL")
+    else:
+        spark = build_session("local[8]", shuffle_partitions=8)
     con = duckdb.connect()
     for t in TABLES:
         path = f"{sf_dir}/{t}.parquet"
