@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import as_double
+from ..functions.numeric import as_double, cents_of, cents_to_money
 
 # The columns of a user that may be shown (never credentials).
 USER_PUBLIC_COLUMNS = ["id", "name", "email", "role", "phone", "address", "created_at"]
@@ -59,7 +59,7 @@ def repeat_customers(orders: DataFrame, users: DataFrame, k: int = 10) -> DataFr
     """
     per = (
         orders.groupBy("customer_id")
-        .agg(F.count(F.lit(1)).alias("order_count"), F.sum("total_amount").alias("ltv"))
+        .agg(F.count(F.lit(1)).alias("order_count"), F.sum(cents_of(orders, "total_amount")).alias("ltv"))
         .where(F.col("order_count") > 1)
     )
     u = users.select(F.col("id").alias("customer_id"), "name", "email")
@@ -68,5 +68,5 @@ def repeat_customers(orders: DataFrame, users: DataFrame, k: int = 10) -> DataFr
         .orderBy(F.col("order_count").desc(), F.col("customer_id").asc())
         .limit(k)
         .select(F.col("customer_id").alias("id"), "name", "email", "order_count",
-                as_double(F.col("ltv")).alias("lifetime_value"))
+                as_double(cents_to_money(F.col("ltv"))).alias("lifetime_value"))
     )

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import as_double
+from ..functions.numeric import as_double, cents_of, cents_to_money
 
 
 def shop_kpis(users: DataFrame, products: DataFrame, orders: DataFrame,
@@ -22,8 +22,8 @@ def shop_kpis(users: DataFrame, products: DataFrame, orders: DataFrame,
     )).scalar()
     sales = orders.select(F.struct(
         F.count(F.lit(1)).alias("orders"),
-        F.coalesce(F.sum(F.when(F.col("status") != "cancelled", F.col("total_amount"))),
-                   F.lit(0).cast("decimal(18,2)")).alias("revenue"),
+        F.coalesce(F.sum(F.when(F.col("status") != "cancelled", cents_of(orders, "total_amount"))),
+                   F.lit(0).cast("bigint")).alias("revenue"),
     )).scalar()
     return spark.range(1).select(
         people.getField("all").alias("total_users"),
@@ -31,7 +31,7 @@ def shop_kpis(users: DataFrame, products: DataFrame, orders: DataFrame,
         people.getField("artisans").alias("total_artisans"),
         products.select(F.count(F.lit(1))).scalar().alias("total_products"),
         sales.getField("orders").alias("total_orders"),
-        as_double(sales.getField("revenue")).alias("total_revenue"),
+        as_double(cents_to_money(sales.getField("revenue"))).alias("total_revenue"),
         enquiries.select(F.count_if(F.col("status") == "pending")).scalar().alias("pending_b2b"),
         views.select(F.count(F.lit(1))).scalar().alias("total_page_views"),
     )

@@ -13,7 +13,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.numeric import money
+from ..functions.numeric import money, source_cents
 from ..functions.text import first_at_token, url_path
 from ..schema import DRIVER_TABLES
 from .tables import read_table
@@ -184,6 +184,7 @@ class DriverShop:
             F.col("o_orderkey").alias("id"),
             F.col("o_custkey").alias("customer_id"),
             money(F.col("o_totalprice")).alias("total_amount"),
+            source_cents(F.col("o_totalprice")).alias("total_amount_cents"),
             status.alias("status"),
             F.col("o_orderdate").alias("created_at"),
         )
@@ -203,6 +204,7 @@ class DriverShop:
             qty.alias("quantity"),
             unit_price.alias("price"),
             money(F.col("l_extendedprice")).alias("line_total"),
+            source_cents(F.col("l_extendedprice")).alias("line_total_cents"),
         )
 
     # --- event logs ----------------------------------------------------------
