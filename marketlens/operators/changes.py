@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import as_double, clamp_to_stock, js_or, parse_float_js, parse_int_js
 from ..functions.text import ENQUIRY_TEXT_MAX, PRODUCT_TEXT_MAX, USER_TEXT_MAX, email_ok, sanitize
 from ..session import checkpoint_dir, materialize
-from .windows import first_per_key, last_per_key, sum_before
+from .windows import last_per_key, sum_before
 
 # Allowed states, defaults and roles.
 ORDER_STATUSES = ["pending", "confirmed", "shipped", "delivered", "cancelled"]

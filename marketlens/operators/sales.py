@@ -24,7 +24,7 @@ def line_revenue(items: DataFrame) -> Column:
     """Revenue of one line in whole cents (bigint): the line's own total when
     present, else quantity × unit price.  Sums of cents are exact and about
     twice as fast as decimal sums; results go back to money at the end."""
-    if "line_total" in items.columns:
+    if "line_total" in items.columns or "line_total_cents" in items.columns:
         return cents_of(items, "line_total")
     return F.col("quantity").cast("bigint") * cents_of(items, "price")
 

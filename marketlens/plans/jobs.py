@@ -15,11 +15,18 @@ from ..session import materialize
 from ..sources.sinks import write_report
 
 
+REPORT_COLUMNS = ["order_id", "customer", "email", "created_at", "product", "category", "quantity"]
+
+
 def sales_report_job(spark: SparkSession, lines: DataFrame, out_dir: str,
                      generated_at: str | None = None) -> dict[str, DataFrame]:
     """The report of the offline script (D13–D17, A5) over one materialised
     copy of the sales lines; returns the written sections."""
-    stored = materialize(lines, "sales-lines")
+    # Only the columns the sections read are stored: the cents of a line's
+    # total when the lines carry them, else its unit price and total.
+    money_cols = ["line_total_cents"] if "line_total_cents" in lines.columns else ["price", "line_total"]
+    keep = [c for c in REPORT_COLUMNS + money_cols if c in lines.columns]
+    stored = materialize(lines.select(*keep), "sales-lines")
     sections = {
         "sales_trend": sales.line_sales_trend(stored),
         "top_products": sales.top_products_by_revenue(stored),

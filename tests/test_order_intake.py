@@ -4,7 +4,6 @@ import random
 from decimal import Decimal
 
 import pytest
-from pyspark.sql import functions as F
 
 from marketlens import schema as S
 from marketlens.operators import changes
