@@ -15,9 +15,10 @@ from marketlens import schema as S
 AS_OF = "2024-01-15"
 T0 = dt.datetime(2024, 1, 15, 10, 0, 0)
 
-# Seed users (id, name, email, role, phone, address).
+# Seed users (id, name, email, role, phone, address); the
+# admin row's name and email are neutral stand-ins (no golden depends on them).
 USERS = [
-    (1, "Admin KolkataKraft", "admin@kolkatakraft.com", "admin", "9000000001", "Kolkata, West Bengal"),
+    (1, "Shop Admin", "admin@shop.example", "admin", "9000000001", "Kolkata, West Bengal"),
     (2, "Rekha Devi", "rekha@artisan.com", "artisan", "9000000002", "Bishnupur, West Bengal"),
     (3, "Madan Pal", "madan@artisan.com", "artisan", "9000000003", "Bankura, West Bengal"),
     (4, "Sunita Mondal", "sunita@artisan.com", "artisan", "9000000004", "Murshidabad, West Bengal"),
