@@ -183,10 +183,12 @@ def intake_orders(carts: DataFrame, products: DataFrame, max_rounds: int = 64,
         F.first("stock").alias("stock"),
     )
     lines_all = materialize(per_product, "intake-lines")
-    # ``active`` holds only products that still have an undecided cart; a
-    # product whose carts are all decided cannot change any later decision.
+    # Each round writes one table: the active lines with their decisions.
+    # Products that still have an undecided cart stay active; the lines of
+    # the other products are final ("frozen") and leave the loop, since they
+    # can no longer change a later decision.
     active = lines_all.withColumn("decision", F.lit(None).cast("string"))
-    decided_carts = None
+    frozen = []
     accepted_c = F.col("decision") == "A"
     open_c = F.col("decision").isNull()
     rounds = 0
@@ -208,22 +210,21 @@ def intake_orders(carts: DataFrame, products: DataFrame, max_rounds: int = 64,
                 F.bool_or(F.col("stock") - F.col("taken") < F.col("qty_max")).alias("_short"),
             )
             .select("cart_id", F.when(F.col("_short"), F.lit("R")).when(F.col("_ok"), F.lit("A")).alias("_new"))
-            .where(F.col("_new").isNotNull())
         )
-        new_dec = materialize(new_dec, f"intake-decided-{rounds}")
-        decided_carts = new_dec if decided_carts is None else decided_carts.unionByName(new_dec)
-        updated = (
+        updated = materialize(
             active.join(new_dec, "cart_id", "left")
             .withColumn("decision", F.coalesce(F.col("decision"), F.col("_new")))
-            .drop("_new")
+            .drop("_new"),
+            f"intake-round-{rounds}",
         )
-        still_open = updated.where(open_c).select("product_id").distinct()
-        active = materialize(updated.join(still_open, "product_id", "left_semi"), f"intake-active-{rounds}")
-        if active.limit(1).count() == 0:
+        open_products = updated.where(open_c).select("product_id").distinct()
+        frozen.append(updated.join(open_products, "product_id", "left_anti"))
+        if updated.where(open_c).limit(1).count() == 0:
             break
-    decided_carts = materialize(decided_carts.select("cart_id", F.col("_new").alias("decision")),
-                                "intake-decisions")
-    state = lines_all.join(decided_carts, "cart_id")
+        active = updated.join(open_products, "product_id", "left_semi")
+    state = frozen[0]
+    for part in frozen[1:]:
+        state = state.unionByName(part)
 
     # Exact reasons: with every decision final, ``taken`` is the stock used.
     final = sum_before(
