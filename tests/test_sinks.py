@@ -77,3 +77,20 @@ def test_report_sections(spark, seed, scratch_dir):
     assert summary == [{"generated_at": "t0", "total_records": 7}]
     segs = [json.loads(x) for p in glob.glob(f"{out}/customer_segments/part-*") for x in open(p)]
     assert sorted(s["email"] for s in segs) == ["arjun@customer.com", "priya@customer.com", "rahul@customer.com"]
+
+
+def test_command_line_export_then_report(spark, seed, scratch_dir):
+    from marketlens.__main__ import main
+
+    tables = os.path.join(scratch_dir, "tables")
+    for name in ("users", "orders", "order_items", "products"):
+        seed[name].write.parquet(os.path.join(tables, f"{name}.parquet"))
+    export = os.path.join(scratch_dir, "export")
+    report = os.path.join(scratch_dir, "report")
+    assert main(["export", "--tables", tables, "--output", export]) == 0
+    assert main(["report", "--file", export, "--output", report]) == 0
+    cats = {json.loads(x)["category"]: json.loads(x)["order_count"]
+            for p in glob.glob(f"{report}/category_performance/part-*") for x in open(p)}
+    assert cats == {"Terracotta Decor": 3, "Dokra Metal Art": 3}
+    summary = [json.loads(x) for p in glob.glob(f"{report}/summary/part-*") for x in open(p)]
+    assert summary[0]["total_records"] == 7
