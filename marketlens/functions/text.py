@@ -13,7 +13,7 @@ JS_BLANKS = (
     "\\t\\n\\x0B\\f\\r \\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029"
     "\\u202F\\u205F\\u3000\\uFEFF"
 )
-EMAIL_SHAPE = "^[^{b}@]+@[^{b}@]+\\.[^{b}@]+$"
+EMAIL_SHAPE = r"^[^\s@]+@[^\s@]+\.[^\s@]+$"
 PRODUCT_PATH = "/products/([0-9]+)"
 API_PREFIX = "/api"
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -24,6 +24,9 @@ PRODUCT_TEXT_MAX = 500
 ENQUIRY_TEXT_MAX = 1000
 
 _STRIP_CLASS = "[<>\"'`]"
+# The browser's pattern in Java syntax: ``\s`` spelled as the JavaScript
+# blank set, ``$`` as ``\z`` (Java's ``$`` also matches before a final newline).
+_EMAIL_JAVA = EMAIL_SHAPE.replace(r"\s", JS_BLANKS)[:-1] + r"\z"
 _TRIM = f"^[{JS_BLANKS}]+|[{JS_BLANKS}]+\\z"
 
 
@@ -43,8 +46,7 @@ def email_ok(c: Column) -> Column:
     Java's ``$`` also matches before a final newline; ``\\z`` does not.
     NULL input fails the test.
     """
-    pattern = EMAIL_SHAPE.format(b=JS_BLANKS)[:-1] + "\\z"
-    return F.coalesce(c.rlike(pattern), F.lit(False))
+    return F.coalesce(c.rlike(_EMAIL_JAVA), F.lit(False))
 
 
 def product_id_from_path(path: Column, pattern: str = PRODUCT_PATH) -> Column:
