@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import (ENQUIRY_TEXT_MAX, PRODUCT_TEXT_MAX, USER_TEXT_MAX, email_ok,
+                              first_at_token, sanitize)
 from ..operators import behavior, catalog, customers
 from ..sources.adapter import DriverShop
-from .oracle import with_ctes
+from .oracle import sql_email_ok, sql_sanitize, with_ctes
 from .registry import register
 
 # Parameters of the registered catalogue pages.
@@ -203,3 +205,23 @@ def q_cart_conversion(spark, root):
     WHERE NOT starts_with(path, '/api') AND NOT contains(path, '.')""")
 def q_page_view_rows(spark, root):
     return behavior.page_view_rows(DriverShop(spark, root).request_log, id_pattern=DRIVER_ID_PATTERN)
+
+
+# --- H1, H2 on free text ---------------------------------------------------------
+
+@register("sanitized_text", "H1 H2 T2 T3", f"""
+    SELECT doc_id,
+           {sql_sanitize('text', USER_TEXT_MAX)} AS user_text,
+           {sql_sanitize('text', PRODUCT_TEXT_MAX)} AS product_text,
+           {sql_sanitize('text', ENQUIRY_TEXT_MAX)} AS enquiry_text,
+           {sql_email_ok("regexp_extract(text, '[^\\s@]*@\\S*', 0)")} AS has_valid_email
+    FROM documents""")
+def q_sanitized_text(spark, root):
+    d = DriverShop(spark, root).table("documents")
+    return d.select(
+        "doc_id",
+        sanitize(F.col("text"), USER_TEXT_MAX).alias("user_text"),
+        sanitize(F.col("text"), PRODUCT_TEXT_MAX).alias("product_text"),
+        sanitize(F.col("text"), ENQUIRY_TEXT_MAX).alias("enquiry_text"),
+        email_ok(first_at_token(F.col("text"))).alias("has_valid_email"),
+    )
