@@ -40,9 +40,10 @@ def sales_lines(orders: DataFrame, users: DataFrame, items: DataFrame,
                 products: DataFrame) -> DataFrame:
     """orders ⋈ users ⋈ order_items ⋈ products, one row per order line.
 
-    Lines join orders first (both sides keyed by order id), then the two
-    dimensions; Spark broadcasts a dimension when it has measured it small
-    and splits skewed partitions of the big side otherwise.
+    Orders meet their customers at order grain first, then the lines join on
+    the order id and the products on the product id.  Spark broadcasts a side
+    it has measured small; otherwise these are sort-merge joins whose skewed
+    partitions AQE splits.
     """
     o = orders.select(
         F.col("id").alias("order_id"), F.col("customer_id"), "total_amount", "status", "created_at"
