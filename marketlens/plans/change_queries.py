@@ -486,3 +486,23 @@ def q_shop_kpis(spark, root):
     shop = DriverShop(spark, root)
     return kpis.shop_kpis(shop.customers.unionByName(shop.artisans), shop.products(), shop.orders,
                           _enquiries(shop), shop.page_views)
+
+
+# --- 2.12 extension: bulk quotes on the merged cart lines ------------------------------------
+
+@register("bulk_quotes", "2.12 bulk pricing B8", with_ctes("""
+    SELECT c.cart_id, c.product_id, c.quantity,
+           CAST(CASE WHEN COALESCE(p.bulk_price, 0) != 0 AND c.quantity >= p.min_bulk_qty
+                     THEN p.bulk_price ELSE p.price END AS DOUBLE) AS unit_price,
+           CAST(CASE WHEN COALESCE(p.bulk_price, 0) != 0 AND c.quantity >= p.min_bulk_qty
+                     THEN p.bulk_price ELSE p.price END * c.quantity AS DOUBLE) AS line_amount
+    FROM (SELECT user_id AS cart_id, product_id, CAST(SUM(quantity) AS INTEGER) AS quantity
+          FROM s_cart_actions WHERE action = 'add' GROUP BY 1, 2) c
+    JOIN s_products p ON p.id = c.product_id""", "s_cart_actions", "s_products"))
+def q_bulk_quotes(spark, root):
+    from ..operators.catalog import bulk_quote
+
+    shop = DriverShop(spark, root)
+    adds = shop.cart_actions.where(F.col("action") == "add").select(
+        F.col("user_id").alias("cart_id"), "product_id", "quantity")
+    return bulk_quote(changes.merge_cart_adds(adds), shop.products())

@@ -163,3 +163,11 @@ def test_cart_body_json(spark, seed):
     order = res.orders.first()
     assert (order.id, float(order.total_amount), order.status, order.payment_method) == (1, 1800.0, "confirmed",
                                                                                          "mock_payment")
+
+
+def test_bulk_quote_applies_from_minimum_quantity(spark, seed):
+    from marketlens.operators.catalog import bulk_quote
+
+    lines = spark.createDataFrame([(1, 4, 25), (2, 4, 5), (3, 4, 20)], "cart_id long, product_id long, quantity int")
+    got = {r.cart_id: (r.unit_price, r.line_amount) for r in bulk_quote(lines, seed["products"]).collect()}
+    assert got == {1: (480.0, 12000.0), 2: (600.0, 3000.0), 3: (480.0, 9600.0)}
