@@ -34,15 +34,17 @@ def main() -> None:
     names = [n for n in os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",") if n]
 
     from marketlens.plans import load_all
-    from marketlens.session import build_session
+    from marketlens.session import build_session, checkpoint_dir
 
     scratch = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     spark = build_session(
         f"local[{cpus}]", app_name="marketlens-bench", shuffle_partitions=cpus * 2,
-        extra={"spark.checkpoint.dir": f"{scratch}/checkpoints",
-               "spark.sql.warehouse.dir": f"{scratch}/warehouse",
+        extra={"spark.sql.warehouse.dir": f"{scratch}/warehouse",
                "spark.driver.memory": "16g"},
     )
+    # The checkpoint folder comes from the session's configuration; a scratch
+    # folder is used only when none is configured.
+    checkpoint_dir(spark)
     registry = load_all()
     # Warm the JVM (class loading, code generation) with every query on the
     # smallest tables, so the timings below are steady-state.

@@ -59,23 +59,32 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
     On a cluster ``spark.checkpoint.dir`` must point at shared storage; it is
     read from the session.  Only a local-mode session without one (tests,
-    benchmarks) gets a fresh scratch folder of its own.
+    benchmarks) gets a fresh scratch folder of its own.  Works on classic and
+    Spark Connect sessions (the latter have no SparkContext).
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect
+        sc = None
+    if sc is not None and sc.getCheckpointDir():
+        return sc.getCheckpointDir()
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        sc.setCheckpointDir(configured)
-        return sc.getCheckpointDir()
-    if not sc.master.startswith("local"):
+        if sc is not None:
+            sc.setCheckpointDir(configured)
+            return sc.getCheckpointDir()
+        return configured
+    master = sc.master if sc is not None else spark.conf.get("spark.master", "")
+    if not master.startswith("local"):
         raise RuntimeError(
             "spark.checkpoint.dir is not set; name a shared folder for it"
         )
     scratch = tempfile.mkdtemp(prefix="run-", dir=os.environ.get("TMPDIR", "/tmp"))
-    sc.setCheckpointDir(scratch)
-    return sc.getCheckpointDir()
+    if sc is not None:
+        sc.setCheckpointDir(scratch)
+        return sc.getCheckpointDir()
+    spark.conf.set("spark.checkpoint.dir", scratch)
+    return scratch
 
 
 def materialize(df, name: str):

@@ -17,12 +17,14 @@ def spark():
         app_name="marketlens-tests",
         shuffle_partitions=4,
         extra={
-            "spark.checkpoint.dir": os.path.join(scratch, "checkpoints"),
             "spark.sql.warehouse.dir": os.path.join(scratch, "warehouse"),
             "spark.driver.memory": "4g",
         },
     )
-    s.sparkContext.setCheckpointDir(os.path.join(scratch, "checkpoints"))
+    # Use the configured checkpoint folder; set a scratch one only if unset.
+    if not s.sparkContext.getCheckpointDir():
+        configured = s.conf.get("spark.checkpoint.dir", None)
+        s.sparkContext.setCheckpointDir(configured or os.path.join(scratch, "checkpoints"))
     yield s
     s.stop()
 
