@@ -145,3 +145,17 @@ def q_report_from_export(spark, root):
     # Order ids stay text: the export writes order 0 as '', which the report
     # still counts as one distinct order, as the reference's script does.
     return sales.category_performance(typed)
+
+
+@register("cart_action_rows", "J2 H12 H13", """
+    SELECT CAST(user_id AS VARCHAR) AS session_id, user_id,
+           CAST(TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS BIGINT) AS product_id,
+           CASE event_type WHEN 'click' THEN 'add' WHEN 'purchase' THEN 'checkout'
+                           WHEN 'error' THEN 'remove' END AS action,
+           1 AS quantity, ts AS created_at
+    FROM events WHERE event_type IN ('click', 'purchase', 'error')
+      AND json_extract_string(props, '$.k') IS NOT NULL AND json_extract_string(props, '$.k') != ''""")
+def q_cart_action_rows(spark, root):
+    """Batch form of the cart-action capture (same rules as the stream)."""
+    accepted, _ = behavior.cart_action_rows(_tracked_actions(DriverShop(spark, root).table("events")))
+    return accepted

@@ -111,3 +111,16 @@ def test_dedupe_within_watermark(spark, scratch_dir):
     out, ck = os.path.join(scratch_dir, "dd"), os.path.join(scratch_dir, "ck")
     live.write_append(stream, out, ck).awaitTermination()
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == [1, 2]
+
+
+def test_live_visitors_close_to_exact(spark, scratch_dir):
+    t0 = dt.datetime(2024, 1, 15, 10)
+    rows = [(i, f"s{i % 400}", None, "/p", None, t0 + dt.timedelta(seconds=i)) for i in range(4000)]
+    src = os.path.join(scratch_dir, "views")
+    spark.createDataFrame(rows, S.PAGE_VIEWS).write.parquet(src)
+    out, ck = os.path.join(scratch_dir, "out"), os.path.join(scratch_dir, "ck")
+    live.write_upserts(live.live_page_counts(spark.readStream.schema(S.PAGE_VIEWS).parquet(src)), out, ck
+                       ).awaitTermination()
+    r = live.read_upserts(spark, out, ["window_start", "page"]).first()
+    assert r.views == 4000
+    assert abs(r.approx_visitors - 400) <= 0.05 * 400   # default relative error of the sketch
