@@ -159,3 +159,24 @@ def q_cart_action_rows(spark, root):
     """Batch form of the cart-action capture (same rules as the stream)."""
     accepted, _ = behavior.cart_action_rows(_tracked_actions(DriverShop(spark, root).table("events")))
     return accepted
+
+
+@register("enquiry_export", "A4 H18", with_ctes("""
+    SELECT CASE WHEN id = 0 THEN '' ELSE CAST(id AS VARCHAR) END AS id,
+           company_name, contact_person, email, phone, product_category,
+           CASE WHEN quantity IS NULL OR quantity = 0 THEN '' ELSE CAST(quantity AS VARCHAR) END AS quantity,
+           message, status, '' AS created_at
+    FROM s_enquiries""", "s_enquiries"))
+def q_enquiry_export(spark, root):
+    """The enquiry export (A4), read back as the text a spreadsheet would see."""
+    from ..operators.changes import intake_enquiries
+    from ..schema import ENQUIRY_CSV_COLUMNS
+    from ..sources.sinks import write_enquiry_export
+
+    out, _ = _scratch(spark, "enquiry-export")
+    accepted, _ = intake_enquiries(DriverShop(spark, root).raw_enquiries)
+    write_enquiry_export(accepted.withColumn("created_at", F.lit(None).cast("timestamp_ntz")), out)
+    schema = ", ".join(f"{c} string" for c in ENQUIRY_CSV_COLUMNS)
+    return (spark.read.schema(schema).option("header", True).option("escape", '"')
+            .option("multiLine", True).option("emptyValue", "").option("nullValue", "\\u0000")
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(out))

@@ -66,6 +66,9 @@ def write_export(df: DataFrame, path: str, columns: list[str], newest_first_by:
         .option("escape", '"')
         .option("emptyValue", "")
         .option("nullValue", "")
+        # Values are written verbatim; Spark's writer trims by default.
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )
 

@@ -33,6 +33,8 @@ def read_sales_csv(spark: SparkSession, path: str) -> DataFrame:
         # Like Python's csv module, an empty field is '' and never NULL.
         .option("emptyValue", "")
         .option("nullValue", "\u0000")
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )
 

@@ -94,3 +94,16 @@ def test_command_line_export_then_report(spark, seed, scratch_dir):
     assert cats == {"Terracotta Decor": 3, "Dokra Metal Art": 3}
     summary = [json.loads(x) for p in glob.glob(f"{report}/summary/part-*") for x in open(p)]
     assert summary[0]["total_records"] == 7
+
+
+def test_export_keeps_surrounding_blanks(spark, scratch_dir):
+    df = spark.createDataFrame([(1, "  padded  ", " x", "2024-01-15 10:00:00")],
+                               "order_id long, customer string, email string, created_at string")
+    out = os.path.join(scratch_dir, "blanks")
+    from marketlens.sources.sinks import write_export
+
+    write_export(df, out, ["order_id", "customer", "email"])
+    assert '"  padded  "," x"' in _csv_text(out)
+    back = spark.read.schema("order_id string, customer string, email string").option("header", True) \
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(out).first()
+    assert (back.customer, back.email) == ("  padded  ", " x")
