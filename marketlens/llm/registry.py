@@ -7,7 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("language_id", "byte_bpe", "chat_format", "url_filter", "pii")
+MODULES = ("language_id", "byte_bpe", "chat_format", "url_filter", "pii",
+           "fingerprint")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
