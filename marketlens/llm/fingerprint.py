@@ -71,7 +71,9 @@ def with_fingerprint(df: DataFrame, text: Column, out: str) -> DataFrame:
             lambda v: F.struct(F.xxhash64(i, F.shiftright(v, 56)).alias("k"), v.alias("v"))))["v"]
 
     filled = F.transform(b, lambda v, i: F.when(~empty(v), v).otherwise(
-        F.coalesce(*[probe(i, k) for k in range(PROBES)], nearest(i))))
+        # hashed with the bin, else a value that fills many bins would agree by
+        # chance in all of them at once
+        F.xxhash64(F.coalesce(*[probe(i, k) for k in range(PROBES)], nearest(i)), i)))
     packed = F.array_join(F.transform(
         filled, lambda v: F.hex(v.bitwiseAND(F.lit(2**BITS - 1)))), "")
     return df.withColumn(
