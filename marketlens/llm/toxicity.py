@@ -9,13 +9,14 @@ a logistic curve over them, fitted on labelled rows, is the score, and its
 threshold is calibrated so that 0.5 gives the best F1 score on those rows.
 
 Toxic documents are mostly ordinary words, so the toxic dictionary is trained
-on the spans that tell them apart: runs covered by byte 5-grams that occur in
+on the spans that tell them apart: runs covered by byte 8-grams that occur in
 at least ``MIN_DOCS`` sampled toxic documents and ``MIN_RATIO`` times as often
 there as in ordinary ones.
 
 Training uses bounded samples of labelled rows (``TRAIN_TOXIC`` and
-``TRAIN_ORDINARY`` documents, ``TRAIN_CHARS`` characters of each, split in
-halves for dictionaries and calibration); every text is scored whole.
+``TRAIN_ORDINARY`` documents, ``TRAIN_CHARS`` characters of each).  The curve is
+fitted on distances to dictionaries trained without the row's half.  Every
+text is scored whole.
 
 Defined results: null and empty texts have no window and score as a document
 that saves nothing; without labels of both kinds every score is 0; repeated
@@ -44,8 +45,9 @@ SEGMENT = 16  # bytes of a segment that the toxic dictionary may take
 TRAIN_TOXIC = 2_000
 TRAIN_ORDINARY = 4_000
 TRAIN_CHARS = 6_000
-GRAM = 5
-MIN_DOCS = 12
+GRAMS = (8,)  # bytes
+MIN_DOCS = 3
+MIN_SHARE = 0.006
 MIN_RATIO = 8
 
 _WORD = re.compile(rb"[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
@@ -79,32 +81,34 @@ def _trained(size: int, samples: list[bytes], k: int) -> bytes:
         return b"".join(samples)[-size:]
 
 
-def _grams(text: bytes) -> np.ndarray:
+def _grams(text: bytes, size: int) -> np.ndarray:
     raw = np.frombuffer(text, np.uint8).astype(np.uint64)
-    n = max(0, len(raw) - GRAM + 1)
-    return sum((raw[k:k + n] << np.uint64(8 * k) for k in range(GRAM)), np.zeros(n, np.uint64))
+    n = max(0, len(raw) - size + 1)
+    return sum((raw[k:k + n] << np.uint64(8 * k) for k in range(size)), np.zeros(n, np.uint64))
 
 
-def _telling(toxic: list[bytes], ordinary: list[bytes]) -> np.ndarray:
-    """5-grams that tell toxic documents from ordinary ones."""
+def _telling(toxic: list[bytes], ordinary: list[bytes], size: int) -> np.ndarray:
+    """Grams that tell toxic documents from ordinary ones."""
     def frequency(texts):
         return np.unique(np.concatenate(
-            [np.unique(_grams(t)) for t in texts] or [np.zeros(0, np.uint64)]), return_counts=True)
+            [np.unique(_grams(t, size)) for t in texts] or [np.zeros(0, np.uint64)]), return_counts=True)
 
     grams, often = frequency(toxic)
     other, n = frequency(ordinary)
     at = np.minimum(np.searchsorted(other, grams), max(0, len(other) - 1))
     there = np.where(other[at] == grams, n[at], 0) if len(other) else np.zeros(len(grams))
     share = (there + 1) / max(1, len(ordinary))
-    return grams[(often >= MIN_DOCS) & (often / max(1, len(toxic)) >= MIN_RATIO * share)]
+    rate = often / max(1, len(toxic))
+    return grams[(often >= MIN_DOCS) & (rate >= MIN_SHARE) & (rate >= MIN_RATIO * share)]
 
 
-def _spans(text: bytes, telling: np.ndarray) -> list[bytes]:
-    """Runs of ``text`` covered by telling 5-grams."""
-    hit = np.isin(_grams(text), telling)
+def _spans(text: bytes, telling: dict[int, np.ndarray]) -> list[bytes]:
+    """Runs of ``text`` covered by telling grams."""
     cover = np.zeros(len(text) + 2, bool)
-    for k in range(GRAM):
-        cover[1 + k:1 + k + len(hit)] |= hit
+    for size, grams in telling.items():
+        hit = np.isin(_grams(text, size), grams)
+        for k in range(size):
+            cover[1 + k:1 + k + len(hit)] |= hit
     edge = np.flatnonzero(cover[1:] != cover[:-1])
     return [text[a:b].strip() for a, b in zip(edge[::2].tolist(), edge[1::2].tolist())]
 
@@ -156,22 +160,31 @@ class ToxicityModel:
         self.bias -= (z[order[k]] + below) / 2
 
 
-def train(toxic: list[str], ordinary: list[str]) -> ToxicityModel:
-    """Dictionaries from one half of each list, calibration on the other."""
-    model = ToxicityModel()
-    if len(toxic) < 2 or len(ordinary) < 2:
-        return model
-    learn_t, learn_o = toxic[::2], ordinary[::2]
-    joined = [[b" %b " % b" ".join(words(t)) for t in texts] for texts in (learn_t, learn_o)]
-    telling = _telling(*joined)
+def _with_dictionaries(toxic: list[str], ordinary: list[str]) -> ToxicityModel:
+    joined = [[b" %b " % b" ".join(words(t)) for t in texts] for texts in (toxic, ordinary)]
+    telling = {n: _telling(*joined, n) for n in GRAMS}
     samples = []
     for text in joined[0]:
         spans = _spans(text, telling)
         samples += [b" %b " % b" ".join(spans[i:i + 8]) for i in range(0, len(spans), 8)]
-    model.ordinary = _trained(ORDINARY_BYTES, [w for t in learn_o for w in windows(t)], 32)
-    model.toxic = _trained(TOXIC_BYTES, samples, SEGMENT)
-    held_t, held_o = toxic[1::2], ordinary[1::2]
-    model.fit(model.measure(held_t + held_o), np.array([1.0] * len(held_t) + [0.0] * len(held_o)))
+    return ToxicityModel(
+        _trained(ORDINARY_BYTES, [w for t in ordinary for w in windows(t)], 32),
+        _trained(TOXIC_BYTES, samples, SEGMENT))
+
+
+def train(toxic: list[str], ordinary: list[str]) -> ToxicityModel:
+    """Dictionaries from all texts; the curve from each half's distances to
+    dictionaries of the other half."""
+    if len(toxic) < 2 or len(ordinary) < 2:
+        return ToxicityModel()
+    features, y = [], []
+    for half in (0, 1):
+        part = _with_dictionaries(toxic[half::2], ordinary[half::2])
+        held_t, held_o = toxic[1 - half::2], ordinary[1 - half::2]
+        features.append(part.measure(held_t + held_o))
+        y += [1.0] * len(held_t) + [0.0] * len(held_o)
+    model = _with_dictionaries(toxic, ordinary)
+    model.fit(np.concatenate(features), np.array(y))
     return model
 
 
