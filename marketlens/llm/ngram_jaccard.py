@@ -12,9 +12,11 @@ words an empty set).  Two documents link when 100 * intersection >= 80 * union.
    hash).  Documents that link share an n-gram among the first
    n - ceil(0.8 n) + 1 of each (prefix filter), so those are the buckets.
    N-grams that occur once count as part of the prefix.
-3. Equal sets are one class from here on.  In each bucket every class is
-   paired with one centre of that bucket (linear in the rows), pairs are
-   verified, and links are gathered to components.
+3. Equal sets are one class from here on.  A pair also has to fit by size and
+   by what is left of both sets from the shared n-gram on (positional
+   filter); one of the two must then be "strong", with the n-gram in its first
+   ninth.  In each bucket every class is paired with one strong centre (linear
+   in the rows), pairs are verified, and links gathered to components.
 4. What is left in a bucket in different components is paired with all of the
    others there, and verified: no link between components is lost, while the
    pairs within a group of copies are never listed.
@@ -235,10 +237,11 @@ def _count(blocks: DataFrame) -> DataFrame:
 
 
 _OUT = ("kind int, doc_id bigint, n bigint, mark1 bigint, mark2 bigint, gram bigint, "
-        "cut int, grams binary")
+        "rest bigint, cut int, grams binary")
 _ARROW_OUT = pa.schema([
     ("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("mark1", pa.int64()),
-    ("mark2", pa.int64()), ("gram", pa.int64()), ("cut", pa.int32()), ("grams", pa.binary()),
+    ("mark2", pa.int64()), ("gram", pa.int64()), ("rest", pa.int64()),
+    ("cut", pa.int32()), ("grams", pa.binary()),
 ])
 DOC, BUCKET, CUT = 0, 1, 2
 
@@ -281,7 +284,9 @@ def _prefixes(counted: DataFrame) -> DataFrame:
             begin = np.searchsorted(doc, np.arange(len(n)))
             place = np.arange(len(doc)) - begin[doc]
             head = place < room[doc]
-            out.append(_rows(BUCKET, n[doc[head]], marks[doc[head]], gram=gram[head]))
+            # The set's n-grams from this one on, in global order.
+            rest = shared[doc] - place
+            out.append(_rows(BUCKET, n[doc[head]], marks[doc[head]], gram=gram[head], rest=rest[head]))
             cut = gram % CUTS
             order = np.lexsort((gram, cut, doc))
             doc, gram, cut = doc[order], gram[order], cut[order]
@@ -326,9 +331,19 @@ def _verified(pairs: DataFrame, cuts: DataFrame) -> DataFrame:
     )
 
 
-def _fits(x: str, y: str) -> Column:
-    """Sizes that can reach the share at all."""
-    return 100 * F.least(x, y) >= SHARE * F.greatest(x, y)
+def _fits(x: str, rest_x: str, y: str, rest_y: str) -> Column:
+    """Whether two rows of a bucket can link by their sizes and by what is
+    left of each from the bucket's n-gram on (positional filter)."""
+    return (100 + SHARE) * F.least(rest_x, rest_y) >= SHARE * (F.col(x) + F.col(y))
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b, na, nb) with a < b of rows (x, nx, y, ny)."""
+    first = F.col("x") < F.col("y")
+    return pairs.select(
+        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"),
+        F.when(first, F.col("nx")).otherwise(F.col("ny")).alias("na"),
+        F.when(first, F.col("ny")).otherwise(F.col("nx")).alias("nb")).distinct()
 
 
 def connected(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -373,49 +388,53 @@ def link_documents(
     number = nodes.select("mark1", "mark2", "node")
     marks = ["mark1", "mark2"]
     seats = (
-        found.filter(F.col("kind") == BUCKET).select("gram", "n", *marks).distinct()
-        .join(number, marks).select("gram", "node", "n"))
-    centre = F.min_by(F.struct("node", "n"), F.xxhash64("gram", "node"))
-    full = seats.groupBy("gram").agg(F.count("*").alias("k"), centre.alias("c")).filter("k > 1")
+        found.filter(F.col("kind") == BUCKET).select("gram", "n", "rest", *marks).distinct()
+        .join(number, marks)
+        .select("gram", "node", "n", "rest",
+                ((100 + SHARE) * F.col("rest") >= 2 * SHARE * F.col("n")).alias("strong")))
+    centre = F.min_by(
+        F.struct("node", "n", "rest"), F.when(F.col("strong"), F.xxhash64("gram", "node")))
+    full = seats.groupBy("gram").agg(
+        F.count("*").alias("k"), F.bool_or("strong").alias("any_strong"), centre.alias("c"),
+    ).filter("k > 1 and any_strong").select("gram", "c")
     seats = materialize(
         seats.join(full, "gram").select(
-            "gram", "node", "n", F.col("c.node").alias("centre"), F.col("c.n").alias("nc")),
+            "gram", "node", "n", "rest", "strong", F.col("c.node").alias("centre"),
+            F.col("c.n").alias("nc"), F.col("c.rest").alias("rest_c")),
         "ngram-buckets")
     cuts = materialize(
         found.filter(F.col("kind") == CUT).select("cut", "grams", *marks)
         .join(number, marks).join(seats.select("node").distinct(), "node", "left_semi")
         .dropDuplicates(["node", "cut"]).select("node", "cut", "grams"), "ngram-cuts")
 
-    a, b = F.least("node", "centre"), F.greatest("node", "centre")
-    na = F.when(F.col("node") < F.col("centre"), F.col("n")).otherwise(F.col("nc"))
-    nb = F.when(F.col("node") < F.col("centre"), F.col("nc")).otherwise(F.col("n"))
-    stars = materialize(
-        seats.filter((F.col("node") != F.col("centre")) & _fits("n", "nc"))
-        .select(a.alias("a"), b.alias("b"), na.alias("na"), nb.alias("nb")).distinct(), "ngram-stars")
+    stars = materialize(_ordered(
+        seats.filter((F.col("node") != F.col("centre")) & _fits("n", "rest", "nc", "rest_c"))
+        .select(F.col("node").alias("x"), F.col("n").alias("nx"),
+                F.col("centre").alias("y"), F.col("nc").alias("ny"))), "ngram-stars")
     links = materialize(_verified(stars, cuts), "ngram-links")
     parts = connected(links, "ngram-parts")
 
     # Buckets that still hold several components: everything outside a
-    # bucket's largest component meets all classes of other components there.
+    # bucket's largest component meets the classes of other components there.
+    # A strong class takes part in every pair that fits.
     seats = seats.join(parts, "node", "left").select(
-        "gram", "node", "n", F.coalesce("root", "node").alias("part"))
+        "gram", "node", "n", "rest", "strong", F.coalesce("root", "node").alias("part"))
     sizes = seats.groupBy("gram", "part").agg(F.count("*").alias("k"))
     torn = sizes.groupBy("gram").agg(
         F.count("*").alias("parts"), F.max_by("part", F.struct("k", "part")).alias("main")
     ).filter("parts > 1").select("gram", "main")
     open_seats = materialize(seats.join(torn, "gram"), "ngram-open")
     x = open_seats.filter(F.col("part") != F.col("main")).select(
-        "gram", F.col("node").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa"))
+        "gram", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("rest").alias("rx"),
+        F.col("part").alias("px"), F.col("strong").alias("sx"))
     y = open_seats.select(
-        "gram", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"), "main")
-    rest = (
-        x.join(y, "gram")
-        .filter((F.col("pa") != F.col("pb")) & _fits("na", "nb")
-                & ((F.col("pb") == F.col("main")) | (F.col("a") < F.col("b"))))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
-                F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"),
-                F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb"))
-        .distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti"))
+        "gram", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("rest").alias("ry"),
+        F.col("part").alias("py"), F.col("strong").alias("sy"))
+    fits = (F.col("px") != F.col("py")) & _fits("nx", "rx", "ny", "ry")
+    rest = _ordered(
+        x.filter("sx").join(y, "gram").filter(fits)
+        .unionByName(x.filter("not sx").join(y.filter("sy"), "gram").filter(fits))
+    ).join(stars.select("a", "b"), ["a", "b"], "left_anti")
     named = rows.filter(F.col("doc_id").isNotNull()).join(number, marks).select("doc_id", "node")
     span = named.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z"))
     same = named.join(span.filter("a < z"), "doc_id").filter("node > a").select(
