@@ -139,6 +139,8 @@ class ToxicityModel:
         return ((features - self.mean) / self.scale) @ self.weights + self.bias
 
     def score(self, texts: list[str | None]) -> np.ndarray:
+        if not np.isfinite(self.bias):  # nothing learned
+            return np.zeros(len(texts))
         return 1 / (1 + np.exp(-np.clip(self.logits(self.measure(texts)), -40, 40)))
 
     def fit(self, features: np.ndarray, y: np.ndarray) -> None:
