@@ -25,7 +25,7 @@ def js_or(c: Column, default, text: bool = False) -> Column:
 def parse_int_js(c: Column) -> Column:
     """``parseInt``: leading digits after blanks, else NULL (NaN)."""
     digits = F.regexp_extract(c.cast("string"), _INT_PREFIX, 1)
-    return F.nullif(digits, F.lit("")).try_cast("int")
+    return F.nullif(digits, F.lit("")).try_cast("bigint")
 
 
 def parse_float_js(c: Column) -> Column:
@@ -35,13 +35,20 @@ def parse_float_js(c: Column) -> Column:
 
 
 def lenient_int(c: Column) -> Column:
-    """Python ``int(x or 0)`` over CSV text; unparsable text counts as 0."""
-    return F.coalesce(F.trim(c).try_cast("int"), F.lit(0))
+    """Python ``int(x or 0)`` over CSV text: empty counts as 0, and text that is
+    no number is NULL, for the caller to reject (H14, T5)."""
+    return F.when(is_blank(c), F.lit(0)).otherwise(F.trim(c).try_cast("bigint"))
 
 
 def money_or_zero(c: Column) -> Column:
-    """Python ``float(x or 0)`` for money, kept as decimal."""
-    return F.coalesce(F.trim(c).try_cast(MONEY), F.lit(0).cast(MONEY))
+    """Python ``float(x or 0)`` for money, kept as decimal: empty counts as 0,
+    text that is no amount is NULL (H14, T5)."""
+    return F.when(is_blank(c), F.lit(0).cast(MONEY)).otherwise(F.trim(c).try_cast(MONEY))
+
+
+def is_blank(c: Column) -> Column:
+    """NULL or only blanks."""
+    return F.coalesce(F.trim(c) == "", F.lit(True))
 
 
 def money(c: Column) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import js_or, parse_int_js, percent
+from ..functions.numeric import is_blank, js_or, parse_int_js, percent
 from ..functions.text import API_PREFIX, PRODUCT_PATH, is_page_request, product_id_from_path
 
 # The allowed cart actions.
@@ -67,23 +67,26 @@ def cart_action_rows(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Tracked cart actions -> (accepted rows, rejected rows with a reason).
 
     ``productId`` and ``action`` are required; the product id is parsed like
-    ``parseInt``; the quantity defaults to 1 when missing or 0; an action
-    outside the allowed set is refused as the table's CHECK would.
+    ``parseInt``; the quantity defaults to 1 when missing or 0 and is refused
+    when it is no number; an action outside the allowed set is refused as the
+    table's CHECK would.
     """
     pid = parse_int_js(F.col("productId"))
     action_text = F.col("action").cast("string")
+    quantity = F.col("quantity").cast("string")
     reason = (
         F.when(js_or(F.col("productId").cast("string"), None, text=True).isNull()
-               | js_or(action_text, None, text=True).isNull(), F.lit("missing data"))
-        .when(pid.isNull(), F.lit("product id is not a number"))
-        .when(~action_text.isin(*CART_ACTIONS), F.lit("action not allowed"))
+               | js_or(action_text, None, text=True).isNull(), F.lit("missing_fields"))
+        .when(pid.isNull(), F.lit("bad_product_id"))
+        .when(~action_text.isin(*CART_ACTIONS), F.lit("action_not_allowed"))
+        .when(~is_blank(quantity) & quantity.try_cast("int").isNull(), F.lit("bad_quantity"))
     )
     tagged = raw.withColumn("reason", reason)
     accepted = tagged.where(F.col("reason").isNull()).select(
         "session_id", "user_id",
-        pid.cast("bigint").alias("product_id"),
+        pid.alias("product_id"),
         action_text.alias("action"),
-        js_or(F.col("quantity").cast("int"), 1).alias("quantity"),
+        js_or(quantity.try_cast("int"), 1).alias("quantity"),
         F.col("ts").alias("created_at"),
     )
     rejected = tagged.where(F.col("reason").isNotNull())

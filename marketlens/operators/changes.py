@@ -10,6 +10,7 @@ new folder, never over the one being read.
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import as_double, clamp_to_stock, js_or, parse_float_js, parse_int_js
 from ..functions.text import ENQUIRY_TEXT_MAX, PRODUCT_TEXT_MAX, USER_TEXT_MAX, email_ok, sanitize
-from ..session import checkpoint_dir, materialize
-from .windows import last_per_key, sum_before
+from ..session import checkpoint_dir, materialize, release
+from .windows import last_per_key, seq_bounds, sum_before
 
 # Allowed states, defaults and roles.
 ORDER_STATUSES = ["pending", "confirmed", "shipped", "delivered", "cancelled"]
@@ -32,6 +33,7 @@ DEFAULT_IMAGE_URL = "/frontend/images/placeholder.jpg"
 DEFAULT_PAYMENT = "mock_payment"
 NEW_ORDER_STATUS = "confirmed"
 NEW_ENQUIRY_STATUS = "pending"
+LINE_ROOM = 1 << 16  # places of lines within one order's id range
 
 
 def _replace(df: DataFrame, updates: dict[str, Column]) -> DataFrame:
@@ -54,7 +56,7 @@ def apply_status(df: DataFrame, changes: DataFrame, allowed: list[str]) -> tuple
     row is.  Changes with a status outside ``allowed`` are rejected.
     """
     ok = F.coalesce(F.col("status").isin(*allowed), F.lit(False))
-    rejected = changes.where(~ok).withColumn("reason", F.lit("invalid status"))
+    rejected = changes.where(~ok).withColumn("reason", F.lit("status_not_allowed"))
     last = last_per_key(changes.where(ok).select("id", "status", "seq"), "id", "seq")
     merged = df.join(last.select("id", F.col("status").alias("_new_status")), "id", "left")
     new = _replace(merged, {"status": F.coalesce(F.col("_new_status"), F.col("status"))})
@@ -76,17 +78,17 @@ def cancel_orders(requests: DataFrame, orders: DataFrame, items: DataFrame,
                       F.col("status").alias("_status"))
     r = requests.join(o, "order_id", "left")
     reason = (
-        F.when(F.col("_owner").isNull(), F.lit("order not found"))
-        .when(~F.col("requester_id").eqNullSafe(F.col("_owner")), F.lit("access denied"))
+        F.when(F.col("_owner").isNull(), F.lit("unknown_order"))
+        .when(~F.col("requester_id").eqNullSafe(F.col("_owner")), F.lit("not_permitted"))
         .when(~F.coalesce(F.col("_status").isin(*CANCELLABLE), F.lit(False)),
-              F.concat(F.lit("cannot cancel order with status: "), F.coalesce(F.col("_status"), F.lit("null"))))
+              F.concat(F.lit("not_cancellable:"), F.coalesce(F.col("_status"), F.lit("null"))))
     )
     r = r.withColumn("reason", reason)
     winners = r.where(F.col("reason").isNull()).groupBy("order_id").agg(F.min("seq").alias("_win"))
     labeled = r.join(winners, "order_id", "left").withColumn(
         "reason",
         F.coalesce(F.col("reason"),
-                   F.when(F.col("seq") != F.col("_win"), F.lit("cannot cancel order with status: cancelled"))),
+                   F.when(F.col("seq") != F.col("_win"), F.lit("not_cancellable:cancelled"))),
     )
     rejected = labeled.where(F.col("reason").isNotNull()).select(*requests.columns, "reason")
     cancelled = winners.select(F.col("order_id").alias("id"), F.lit(True).alias("_cancel"))
@@ -114,7 +116,7 @@ class IntakeResult:
     items: DataFrame       # new order lines, price snapshot
     products: DataFrame    # products with stock taken off
     cart_events: DataFrame  # one checkout action per accepted line
-    rounds: int
+    open_lines: list[int]   # undecided lines at the start of each round, then 0
 
 
 def _cart_lines(carts: DataFrame, products: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -128,15 +130,15 @@ def _cart_lines(carts: DataFrame, products: DataFrame) -> tuple[DataFrame, DataF
                                      "payment_method"), "intake-carts")
     headers = carts.select(
         "cart_id", "seq", "customer_id", "shipping_address", "payment_method",
-        F.coalesce(F.size("items"), F.lit(0)).alias("n_items"),
+        F.coalesce(F.size(F.filter("items", lambda i: i.isNotNull())), F.lit(0)).alias("n_items"),
     )
     p = products.select(F.col("id").alias("product_id"), "price",
                         F.coalesce(F.col("stock"), F.lit(0)).alias("stock"), F.lit(True).alias("_known"))
     pid = F.coalesce(F.col("product_id").cast("string"), F.lit("null"))
     bad = (
-        F.when(F.col("_known").isNull(), F.concat(F.lit("product "), pid, F.lit(" not found")))
+        F.when(F.col("_known").isNull(), F.concat(F.lit("unknown_product:"), pid))
         .when(F.coalesce(F.col("quantity"), F.lit(0)) <= 0,
-              F.concat(F.lit("invalid quantity for product "), pid))
+              F.concat(F.lit("bad_quantity:"), pid))
     )
     lines = materialize(
         carts.select("cart_id", "seq", F.posexplode("items").alias("pos", "item"))
@@ -152,101 +154,116 @@ def _cart_lines(carts: DataFrame, products: DataFrame) -> tuple[DataFrame, DataF
         lines.where(F.col("_bad").isNotNull())
         .groupBy("cart_id").agg(F.min_by("_bad", "pos").alias("reason"))
     )
-    empty = headers.where(F.col("n_items") <= 0).select("cart_id", F.lit("cart is empty").alias("reason"))
+    empty = headers.where(F.col("n_items") <= 0).select("cart_id", F.lit("empty_cart").alias("reason"))
     pre_rejected = first_bad.unionByName(empty)
     good = lines.join(pre_rejected.select("cart_id"), "cart_id", "left_anti").drop("_bad")
     return headers, good, pre_rejected
 
 
-def intake_orders(carts: DataFrame, products: DataFrame, max_rounds: int = 64,
-                  bucket_width: int = 1 << 20) -> IntakeResult:
+def intake_orders(carts: DataFrame, products: DataFrame, buckets: int = 256,
+                  bucket_width: int | None = None, as_of: Column | None = None) -> IntakeResult:
     """Place many orders at once with the reference's sequential stock rule.
 
-    Carts are taken in ``seq`` order.  A cart is refused when it is empty,
-    names an unknown product, has a non-positive quantity (a deliberate
+    Carts are taken in ``seq`` order.  A cart is refused when it has no usable
+    line, names an unknown product, has a non-positive quantity (a deliberate
     tightening), or when some line asks for more than the product's stock
     left after the earlier accepted carts.  Each line is checked alone, all
     are deducted; the total uses the table price.
 
     Acceptance is sequential, so the decision runs in rounds.  Per product
     and earlier carts: ``taken`` sums accepted carts, ``maybe`` sums accepted
-    and undecided ones.  A cart is surely accepted when ``stock - maybe`` is
-    enough on every line, surely refused when ``stock - taken`` is short on
-    one.  The earliest undecided cart is always decided, so the loop ends;
-    each round is checkpointed to the shared checkpoint folder.
+    and undecided ones.  A cart is surely accepted when ``left - maybe`` is
+    enough on every line, surely refused when ``left - taken`` is short on
+    one.  The earliest undecided cart is always decided, so every round makes
+    progress; there is no cap on rounds, whose number follows the longest
+    chain of carts that compete for the same stock.
+
+    A round costs what is still open: lines of refused carts leave at once,
+    accepted lines before a product's first undecided one are folded into the
+    stock ``left``, and products without an undecided line leave the loop.
+    Running sums are taken in ``buckets`` ranges of ``seq`` measured once (or
+    ranges of ``bucket_width``).  Folders of finished rounds are removed.
     """
     spark = carts.sparkSession
     checkpoint_dir(spark)
     headers, good, pre_rejected = _cart_lines(carts, products)
-    per_product = good.groupBy("cart_id", "seq", "product_id").agg(
-        F.sum("quantity").alias("qty_sum"), F.max("quantity").alias("qty_max"),
-        F.first("stock").alias("stock"),
-    )
-    lines_all = materialize(per_product, "intake-lines")
-    # Each round writes one table: the active lines with their decisions.
-    # Products that still have an undecided cart stay active; the lines of
-    # the other products are final ("frozen") and leave the loop, since they
-    # can no longer change a later decision.
-    active = lines_all.withColumn("decision", F.lit(None).cast("string"))
-    frozen = []
-    accepted_c = F.col("decision") == "A"
-    open_c = F.col("decision").isNull()
-    rounds = 0
-    while True:
-        if rounds >= max_rounds:
-            raise RuntimeError(f"order intake did not settle in {max_rounds} rounds")
-        rounds += 1
+    active = materialize(
+        good.groupBy("cart_id", "seq", "product_id").agg(
+            F.sum("quantity").alias("qty_sum"), F.max("quantity").alias("qty_max"),
+            F.first("stock").cast("bigint").alias("left"),
+        ).withColumn("accepted", F.lit(False)),
+        "intake-lines")
+    bounds = None if bucket_width else seq_bounds(active, "seq", buckets)
+    decided = []
+    open_c = ~F.col("accepted")
+    rows = [active.count()]
+    while rows[-1]:
         sums = sum_before(
             active, "product_id", "seq",
-            {"taken": F.when(accepted_c, F.col("qty_sum")).otherwise(F.lit(0)),
-             "maybe": F.when(accepted_c | open_c, F.col("qty_sum")).otherwise(F.lit(0))},
-            bucket_width,
-        )
-        new_dec = (
-            sums.where(open_c)
-            .groupBy("cart_id")
-            .agg(
-                F.bool_and(F.col("stock") - F.col("maybe") >= F.col("qty_max")).alias("_ok"),
-                F.bool_or(F.col("stock") - F.col("taken") < F.col("qty_max")).alias("_short"),
-            )
-            .select("cart_id", F.when(F.col("_short"), F.lit("R")).when(F.col("_ok"), F.lit("A")).alias("_new"))
+            {"taken": F.when(F.col("accepted"), F.col("qty_sum")).otherwise(F.lit(0)),
+             "maybe": F.col("qty_sum")},
+            bucket_width, bounds,
         )
-        updated = materialize(
-            active.join(new_dec, "cart_id", "left")
-            .withColumn("decision", F.coalesce(F.col("decision"), F.col("_new")))
-            .drop("_new"),
-            f"intake-round-{rounds}",
-        )
-        open_products = updated.where(open_c).select("product_id").distinct()
-        frozen.append(updated.join(open_products, "product_id", "left_anti"))
-        if updated.where(open_c).limit(1).count() == 0:
-            break
-        active = updated.join(open_products, "product_id", "left_semi")
-    state = frozen[0]
-    for part in frozen[1:]:
-        state = state.unionByName(part)
+        new = materialize(
+            sums.where(open_c).groupBy("cart_id").agg(
+                F.bool_and(F.col("left") - F.col("maybe") >= F.col("qty_max")).alias("_ok"),
+                F.bool_or(F.col("left") - F.col("taken") < F.col("qty_max")).alias("_short"))
+            .where(F.col("_ok") | F.col("_short"))
+            .select("cart_id", (~F.col("_short")).alias("decision")),
+            "intake-decisions")
+        decided.append(new)
+        judged = (
+            active.join(new, "cart_id", "left")
+            .where(F.col("accepted") | F.coalesce("decision", F.lit(True)))
+            .withColumn("accepted", F.col("accepted") | F.coalesce("decision", F.lit(False)))
+            .drop("decision"))
+        first = judged.where(open_c).groupBy("product_id").agg(F.min("seq").alias("_first"))
+        still = judged.join(first, "product_id")
+        before = F.col("seq") < F.col("_first")
+        folded = still.where(before).groupBy("product_id").agg(F.sum("qty_sum").alias("_used"))
+        after = materialize(
+            still.where(~before).join(folded, "product_id", "left")
+            .withColumn("left", F.col("left") - F.coalesce("_used", F.lit(0)))
+            .drop("_first", "_used"),
+            "intake-round")
+        release(active)
+        active = after
+        rows.append(active.where(open_c).count())
+        if rows[-1] >= rows[-2]:
+            raise RuntimeError("order intake made no progress")
+    release(active)
+    none = good.select("cart_id", F.lit(False).alias("decision")).limit(0)
+    verdicts = functools.reduce(DataFrame.unionByName, decided, none)
 
     # Exact reasons: with every decision final, ``taken`` is the stock used.
+    settled = materialize(good.join(verdicts, "cart_id"), "intake-settled")
+    accepted_c = F.col("decision")
+    grouped = settled.groupBy("cart_id", "seq", "product_id").agg(
+        F.sum("quantity").alias("qty_sum"), F.first("decision").alias("decision"))
     final = sum_before(
-        state, "product_id", "seq",
-        {"taken": F.when(accepted_c, F.col("qty_sum")).otherwise(F.lit(0))}, bucket_width,
-    ).select("cart_id", "product_id", "taken", "decision")
-    lines = materialize(good.join(final, ["cart_id", "product_id"]), "intake-final-lines")
+        grouped, "product_id", "seq",
+        {"taken": F.when(accepted_c, F.col("qty_sum")).otherwise(F.lit(0))}, bucket_width, bounds,
+    ).select("cart_id", "product_id", "taken")
+    lines = materialize(settled.join(final, ["cart_id", "product_id"]), "intake-final-lines")
+    release(settled, *decided)
     short_reason = (
-        lines.where((F.col("decision") == "R") & (F.col("stock") - F.col("taken") < F.col("quantity")))
+        lines.where(~accepted_c & (F.col("stock") - F.col("taken") < F.col("quantity")))
         .groupBy("cart_id")
-        .agg(F.min_by(F.concat(F.lit("insufficient stock for product "), F.col("product_id").cast("string")),
+        .agg(F.min_by(F.concat(F.lit("out_of_stock:"), F.col("product_id").cast("string")),
                       F.col("pos")).alias("reason"))
     )
-    acc_lines = lines.where(F.col("decision") == "A")
+    acc_lines = lines.where(accepted_c)
+    created = (F.current_timestamp() if as_of is None else as_of).cast("timestamp_ntz")
+    # A line's id comes from its order and place: no two lines share one while
+    # a cart has fewer than LINE_ROOM lines and ids stay below 2**63 / LINE_ROOM.
+    line_id = F.col("cart_id") * F.lit(LINE_ROOM) + F.col("pos")
     totals = acc_lines.groupBy("cart_id").agg(F.sum(F.col("price") * F.col("quantity")).alias("total_amount"))
     reasons = pre_rejected.unionByName(short_reason)
     decisions = (
         headers.select("cart_id", "seq")
         .join(totals, "cart_id", "left")
         .join(reasons, "cart_id", "left")
-        .select("cart_id", "seq", F.col("reason").isNull().alias("accepted"), "reason",
-                F.when(F.col("reason").isNull(), F.col("total_amount")).alias("total_amount"))
+        .select("cart_id", "seq", F.col("total_amount").isNotNull().alias("accepted"), "reason", "total_amount")
     )
     new_orders = (
         headers.join(totals, "cart_id")
@@ -255,20 +272,22 @@ def intake_orders(carts: DataFrame, products: DataFrame, max_rounds: int = 64,
             F.lit(NEW_ORDER_STATUS).alias("status"),
             js_or(F.col("payment_method"), DEFAULT_PAYMENT, text=True).alias("payment_method"),
             F.coalesce(F.col("shipping_address"), F.lit("")).alias("shipping_address"),
-            "seq",
+            created.alias("created_at"), "seq",
         )
     )
-    new_items = acc_lines.select(F.col("cart_id").alias("order_id"), "pos", "product_id", "quantity", "price")
+    new_items = acc_lines.select(
+        line_id.alias("id"), F.col("cart_id").alias("order_id"), "product_id", "quantity", "price", "pos")
     used = acc_lines.groupBy("product_id").agg(F.sum("quantity").alias("_used"))
     new_products = _replace(
         products.join(used, products.id == used.product_id, "left"),
         {"stock": F.col("stock") - F.coalesce(F.col("_used"), F.lit(0))},
     ).select(*products.columns)
     events = acc_lines.join(headers.select("cart_id", "customer_id"), "cart_id").select(
+        line_id.alias("id"), F.col("cart_id").cast("string").alias("session_id"),
         F.col("customer_id").alias("user_id"), "product_id", F.lit("checkout").alias("action"),
-        "quantity", "cart_id", "pos",
+        "quantity", created.alias("created_at"), "cart_id", "pos",
     )
-    return IntakeResult(decisions, new_orders, new_items, new_products, events, rounds)
+    return IntakeResult(decisions, new_orders, new_items, new_products, events, rows)
 
 
 # --- I5: enquiry intake --------------------------------------------------------------
@@ -283,8 +302,8 @@ def intake_enquiries(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     missing = (js_or(_text("company_name"), None, text=True).isNull()
                | js_or(_text("contact_person"), None, text=True).isNull()
                | js_or(_text("email"), None, text=True).isNull())
-    reason = (F.when(missing, F.lit("company name, contact person and email are required"))
-              .when(~email_ok(_text("email")), F.lit("invalid email address")))
+    reason = (F.when(missing, F.lit("missing_fields"))
+              .when(~email_ok(_text("email")), F.lit("bad_email")))
     tagged = raw.withColumn("reason", reason)
     n = ENQUIRY_TEXT_MAX
     qty = js_or(_text("quantity"), None, text=True)
@@ -311,15 +330,16 @@ def intake_users(raw: DataFrame, users: DataFrame) -> tuple[DataFrame, DataFrame
     Name, email and role are required; role must be customer or artisan;
     the email must have the right shape; the sanitised email must be new to
     the table and to the batch (the first by ``seq`` wins; case-sensitive).
-    New ids follow the table's largest id by the request's ``seq``.
+    New ids follow the table's largest id in the order of ``seq``, the batch's
+    smallest ``seq`` coming first.
     """
     n = USER_TEXT_MAX
     missing = (js_or(_text("name"), None, text=True).isNull()
                | js_or(_text("email"), None, text=True).isNull()
                | js_or(_text("role"), None, text=True).isNull())
-    shape = (F.when(missing, F.lit("all required fields must be filled"))
-             .when(~F.coalesce(_text("role").isin(*SELF_SERVICE_ROLES), F.lit(False)), F.lit("invalid role selected"))
-             .when(~email_ok(_text("email")), F.lit("invalid email format")))
+    shape = (F.when(missing, F.lit("missing_fields"))
+             .when(~F.coalesce(_text("role").isin(*SELF_SERVICE_ROLES), F.lit(False)), F.lit("role_not_allowed"))
+             .when(~email_ok(_text("email")), F.lit("bad_email")))
     tagged = raw.withColumn("_email", sanitize(_text("email"), n)).withColumn("reason", shape)
     existing = users.select(F.col("email").alias("_email"), F.lit(True).alias("_taken")).distinct()
     ok = tagged.where(F.col("reason").isNull())
@@ -327,11 +347,12 @@ def intake_users(raw: DataFrame, users: DataFrame) -> tuple[DataFrame, DataFrame
     judged = (
         ok.join(existing, "_email", "left").join(firsts, "_email")
         .withColumn("reason", F.when(F.col("_taken") | (F.col("seq") != F.col("_first")),
-                                     F.lit("an account with this email already exists")))
+                                     F.lit("email_taken")))
     )
     max_id = users.select(F.coalesce(F.max("id"), F.lit(0))).scalar()
+    min_seq = raw.select(F.coalesce(F.min("seq"), F.lit(0))).scalar()
     accepted = judged.where(F.col("reason").isNull()).select(
-        (max_id + F.col("seq")).alias("id"),
+        (max_id + 1 + F.col("seq") - min_seq).alias("id"),
         sanitize(_text("name"), n).alias("name"),
         F.col("_email").alias("email"),
         _text("role").alias("role"),
@@ -384,39 +405,49 @@ def upsert_products(products: DataFrame, changes: DataFrame, principals: DataFra
     fields as text.  Only artisans and admins may change products; an
     artisan only their own.  A create needs name, price and category and
     takes the reference's defaults; an edit replaces every field, the last
-    edit per product wins.  New ids follow the largest id by ``seq``.
+    edit per product wins.  New ids follow the largest id in the order of
+    ``seq``, the smallest ``seq`` of the creates coming first.
     """
     n = PRODUCT_TEXT_MAX
     who = principals.select(F.col("user_id").alias("requester_id"), F.col("role").alias("_role"))
     owners = products.select(F.col("id").alias("product_id"), F.col("artisan_id").alias("_owner"),
                              F.col("image_url").alias("_old_image"), F.lit(True).alias("_exists"))
     c = changes.join(who, "requester_id", "left").join(owners, "product_id", "left")
+
+    def bad_count(name: str) -> Column:
+        given = js_or(_text(name), None, text=True)
+        return given.isNotNull() & parse_int_js(given).try_cast("int").isNull()
+
     is_create = F.col("product_id").isNull()
     price = parse_float_js(_text("price"))
+    bulk = js_or(_text("bulk_price"), None, text=True)
     reason = (
-        F.when(~F.coalesce(F.col("_role").isin(*PRODUCT_EDITOR_ROLES), F.lit(False)), F.lit("access denied"))
+        F.when(~F.coalesce(F.col("_role").isin(*PRODUCT_EDITOR_ROLES), F.lit(False)), F.lit("not_permitted"))
         .when(is_create & (js_or(_text("name"), None, text=True).isNull()
                            | js_or(_text("price"), None, text=True).isNull()
                            | js_or(_text("category"), None, text=True).isNull()),
-              F.lit("name, price, and category are required"))
-        .when(~is_create & F.col("_exists").isNull(), F.lit("product not found"))
+              F.lit("missing_fields"))
+        .when(~is_create & F.col("_exists").isNull(), F.lit("unknown_product"))
         .when(~is_create & (F.col("_role") == "artisan") & ~F.col("_owner").eqNullSafe(F.col("requester_id")),
-              F.lit("you can only edit your own products"))
-        .when(price.isNull(), F.lit("price is not a number"))
+              F.lit("not_owner"))
+        .when(price.try_cast("decimal(18,2)").isNull(), F.lit("bad_price"))
+        .when(bulk.isNotNull() & parse_float_js(bulk).try_cast("decimal(18,2)").isNull(), F.lit("bad_bulk_price"))
+        .when(bad_count("min_bulk_qty"), F.lit("bad_min_bulk_qty"))
+        .when(bad_count("stock"), F.lit("bad_stock"))
     )
     c = c.withColumn("reason", reason)
-    bulk = js_or(_text("bulk_price"), None, text=True)
     fields = [
         sanitize(_text("name"), n).alias("name"),
         sanitize(F.coalesce(_text("description"), F.lit("")), n).alias("description"),
-        price.cast("decimal(18,2)").alias("price"),
-        F.when(bulk.isNotNull(), parse_float_js(bulk)).cast("decimal(18,2)").alias("bulk_price"),
+        price.try_cast("decimal(18,2)").alias("price"),
+        F.when(bulk.isNotNull(), parse_float_js(bulk)).try_cast("decimal(18,2)").alias("bulk_price"),
         sanitize(_text("category"), n).alias("category"),
     ]
     ok = c.where(F.col("reason").isNull())
     max_id = products.select(F.coalesce(F.max("id"), F.lit(0))).scalar()
+    min_seq = changes.where(F.col("product_id").isNull()).select(F.coalesce(F.min("seq"), F.lit(0))).scalar()
     created = ok.where(is_create).select(
-        (max_id + F.col("seq")).alias("id"), *fields,
+        (max_id + 1 + F.col("seq") - min_seq).alias("id"), *fields,
         F.coalesce(parse_int_js(js_or(_text("min_bulk_qty"), None, text=True)),
                    F.lit(DEFAULT_MIN_BULK_QTY)).alias("min_bulk_qty"),
         F.col("requester_id").alias("artisan_id"),
@@ -463,13 +494,13 @@ def delete_rows(df: DataFrame, requests: DataFrame, principals: DataFrame,
                        F.lit(True).alias("_exists"))
     r = requests.join(who, "requester_id", "left").join(target, "id", "left")
     roles = ["admin"] if admin_only else PRODUCT_EDITOR_ROLES
-    reason = F.when(~F.coalesce(F.col("_role").isin(*roles), F.lit(False)), F.lit("access denied"))
+    reason = F.when(~F.coalesce(F.col("_role").isin(*roles), F.lit(False)), F.lit("not_permitted"))
     if admin_only:
-        reason = reason.when(F.col("id") == F.col("requester_id"), F.lit("cannot delete your own account"))
+        reason = reason.when(F.col("id") == F.col("requester_id"), F.lit("own_account"))
     else:
-        reason = reason.when(F.col("_exists").isNull(), F.lit("not found")).when(
+        reason = reason.when(F.col("_exists").isNull(), F.lit("unknown_id")).when(
             (F.col("_role") == "artisan") & ~F.col("_owner").eqNullSafe(F.col("requester_id")),
-            F.lit("unauthorized"))
+            F.lit("not_owner"))
     r = r.withColumn("reason", reason)
     gone = r.where(F.col("reason").isNull()).select("id").distinct()
     rejected = r.where(F.col("reason").isNotNull()).select("id", "requester_id", "reason")
@@ -496,7 +527,7 @@ def cart_requests_from_json(raw: DataFrame, body_col: str = "body") -> DataFrame
 
 def merge_cart_adds(adds: DataFrame) -> DataFrame:
     """Repeated adds of one product in one cart become one line."""
-    return adds.groupBy("cart_id", "product_id").agg(F.sum("quantity").cast("int").alias("quantity"))
+    return adds.groupBy("cart_id", "product_id").agg(F.sum("quantity").cast("bigint").alias("quantity"))
 
 
 def validate_carts(cart_lines: DataFrame, products: DataFrame) -> DataFrame:

@@ -8,17 +8,29 @@ from pyspark.sql import functions as F
 DEFAULT_BUCKET_WIDTH = 1 << 20
 
 
+def seq_bounds(df: DataFrame, order: str, buckets: int) -> list[int]:
+    """At most ``buckets - 1`` cut points that split ``order`` into ranges of
+    about equal counts, however its values are spaced."""
+    cuts = [k / buckets for k in range(1, buckets)]
+    got = df.agg(F.percentile_approx(order, cuts, 20 * buckets).alias("q")).first().q
+    return sorted(set(got or []))
+
+
 def sum_before(df: DataFrame, key: str, order: str, values: dict[str, "F.Column"],
-               bucket_width: int = DEFAULT_BUCKET_WIDTH) -> DataFrame:
+               bucket_width: int | None = None, bounds: list[int] | None = None) -> DataFrame:
     """Add ``out = Σ value`` over earlier rows of the same key (strictly smaller ``order``).
 
     A plain running window puts every row of a key into one task.  Here the
-    order axis is cut into buckets of ``bucket_width``: the running sum runs
-    inside each (key, bucket), bucket totals are summed per key (one row per
-    bucket), and the two are added.  ``order`` must be an integral column,
+    order axis is cut into buckets at ``bounds`` (see ``seq_bounds``) or of
+    ``bucket_width``: the running sum runs inside each (key, bucket), bucket
+    totals are summed per key (one row per bucket), and the two are added.  ``order`` must be an integral column,
     unique within a key.
     """
-    bucket = F.floor(F.col(order) / F.lit(bucket_width)).cast("bigint")
+    if bounds is not None:
+        cuts = F.array(*[F.lit(b) for b in bounds]).cast("array<bigint>")
+        bucket = F.size(F.filter(cuts, lambda b: b <= F.col(order))).cast("bigint")
+    else:
+        bucket = F.floor(F.col(order) / F.lit(bucket_width or DEFAULT_BUCKET_WIDTH)).cast("bigint")
     staged = df.withColumn("_bucket", bucket)
     w_in = (Window.partitionBy(key, "_bucket").orderBy(order)
             .rowsBetween(Window.unboundedPreceding, -1))

@@ -61,7 +61,7 @@ def q_order_status_apply(spark, root):
 
 
 @register("order_status_rejected", "I3", with_ctes(f"""
-    SELECT id, status, CAST(seq AS BIGINT) AS seq, 'invalid status' AS reason FROM s_status_changes
+    SELECT id, status, CAST(seq AS BIGINT) AS seq, 'status_not_allowed' AS reason FROM s_status_changes
     WHERE status IS NULL OR status NOT IN {_ORDER_STATUS_LIST}""", "s_status_changes"))
 def q_order_status_rejected(spark, root):
     shop = DriverShop(spark, root)
@@ -97,7 +97,7 @@ def q_enquiry_list(spark, root):
 
 def _enquiry_changes(e):
     # Every enquiry is reviewed; German-language ones are then accepted and
-    # English ones get an invalid status.
+    # English ones get an status_not_allowed.
     reviewed = e.select("id", F.lit("reviewed").alias("status"), F.lit(1).cast("bigint").alias("seq"))
     accepted = e.where(F.col("contact_person") == "de").select(
         "id", F.lit("accepted").alias("status"), F.lit(2).cast("bigint").alias("seq"))
@@ -142,10 +142,10 @@ CTES["s_cancel_requests"] = ((), """
         UNION ALL SELECT o_orderkey, o_custkey + 1, o_orderkey * 2 FROM orders
           WHERE o_orderpriority = '4-NOT SPECIFIED'""")
 CTES["s_cancel_judged"] = (("s_cancel_requests", "s_orders"), """
-        SELECT r.*, CASE WHEN o.id IS NULL THEN 'order not found'
-                         WHEN r.requester_id IS DISTINCT FROM o.customer_id THEN 'access denied'
+        SELECT r.*, CASE WHEN o.id IS NULL THEN 'unknown_order'
+                         WHEN r.requester_id IS DISTINCT FROM o.customer_id THEN 'not_permitted'
                          WHEN o.status IS NULL OR o.status NOT IN ('pending', 'confirmed')
-                           THEN 'cannot cancel order with status: ' || COALESCE(o.status, 'null') END AS reason0
+                           THEN 'not_cancellable:' || COALESCE(o.status, 'null') END AS reason0
         FROM s_cancel_requests r LEFT JOIN s_orders o ON o.id = r.order_id""")
 CTES["s_cancel_winners"] = (("s_cancel_judged",), """
         SELECT order_id, MIN(seq) AS win FROM s_cancel_judged WHERE reason0 IS NULL GROUP BY order_id""")
@@ -175,7 +175,7 @@ def q_cancellation_restock(spark, root):
 
 @register("cancellation_rejected", "I2", with_ctes("""
     SELECT j.order_id, j.requester_id, j.seq,
-           COALESCE(j.reason0, 'cannot cancel order with status: cancelled') AS reason
+           COALESCE(j.reason0, 'not_cancellable:cancelled') AS reason
     FROM s_cancel_judged j LEFT JOIN s_cancel_winners w ON w.order_id = j.order_id
     WHERE j.reason0 IS NOT NULL OR j.seq != w.win""", "s_cancel_judged", "s_cancel_winners"))
 def q_cancellation_rejected(spark, root):
@@ -270,7 +270,7 @@ def _product_changes(shop: DriverShop):
            CASE WHEN e.id IS NOT NULL THEN 80 ELSE p.stock END AS stock
     FROM s_products_owned p LEFT JOIN (SELECT id FROM s_products_owned WHERE stock >= 46) e ON e.id = p.id
     UNION ALL
-    SELECT (SELECT MAX(id) FROM s_products_owned) + 1000000000 + a.id, a.name || ' special', 99.90, 80.0, 5,
+    SELECT (SELECT MAX(id) FROM s_products_owned) + 1 + a.id - (SELECT MIN(id) FROM s_artisans), a.name || ' special', 99.90, 80.0, 5,
            'PROMO', a.id, 100
     FROM s_artisans a""".replace("{SAN_NAME}", sql_sanitize("p.name || ' (restocked)'", 500)),
     "s_products_owned", "s_artisans"))
@@ -285,8 +285,8 @@ def q_product_upsert(spark, root):
 
 @register("product_upsert_rejected", "I6", with_ctes("""
     SELECT id * 4 + 1 AS seq, id AS product_id, artisan_id + 1 AS requester_id,
-           CASE WHEN artisan_id + 1 IN (SELECT id FROM s_artisans) THEN 'you can only edit your own products'
-                ELSE 'access denied' END AS reason
+           CASE WHEN artisan_id + 1 IN (SELECT id FROM s_artisans) THEN 'not_owner'
+                ELSE 'not_permitted' END AS reason
     FROM s_products_owned WHERE stock = 1""", "s_products_owned", "s_artisans"))
 def q_product_upsert_rejected(spark, root):
     shop = DriverShop(spark, root)
@@ -335,7 +335,8 @@ CTES["s_registrations"] = ((), r"""
 
 
 @register("registration_intake", "I8 H2", with_ctes(f"""
-    SELECT (SELECT MAX(id) FROM (SELECT id FROM s_customers UNION ALL SELECT id FROM s_artisans)) + seq AS id,
+    SELECT (SELECT MAX(id) FROM (SELECT id FROM s_customers UNION ALL SELECT id FROM s_artisans)) + 1 + seq
+               - (SELECT MIN(seq) FROM s_registrations) AS id,
            {sql_sanitize('name', 255)} AS name, em AS email, role,
            {sql_sanitize("COALESCE(phone, '')", 255)} AS phone,
            {sql_sanitize("COALESCE(address, '')", 255)} AS address, seq
@@ -369,12 +370,107 @@ def _replay_carts(shop: DriverShop):
     )
 
 
-@register("order_intake", "I1")
-def q_order_intake(spark, root):
+# The rule in rounds, as a recursive statement: per product, what accepted and
+# undecided earlier carts take; per cart, short on a line or safe on all.
+_INTAKE = """,
+cart_lines AS (
+    SELECT o.id AS cart_id, o.customer_id, i.product_id, i.quantity, p.price,
+           COALESCE(p.stock, 0) AS stock,
+           row_number() OVER (PARTITION BY o.id ORDER BY i.product_id, i.quantity) - 1 AS pos,
+           CASE WHEN p.id IS NULL THEN 'unknown_product:' || CAST(i.product_id AS VARCHAR)
+                WHEN COALESCE(i.quantity, 0) <= 0 THEN 'bad_quantity:' || CAST(i.product_id AS VARCHAR) END AS bad
+    FROM s_orders o JOIN s_items i ON i.order_id = o.id LEFT JOIN s_products p ON p.id = i.product_id),
+bad_carts AS (SELECT cart_id, arg_min(bad, pos) AS reason FROM cart_lines WHERE bad IS NOT NULL GROUP BY cart_id),
+wanted AS (
+    SELECT cart_id, product_id, sum(quantity) AS q, max(quantity) AS m, any_value(stock) AS stock
+    FROM cart_lines WHERE cart_id NOT IN (SELECT cart_id FROM bad_carts) GROUP BY cart_id, product_id),
+st AS (
+    SELECT 0 AS round, cart_id, product_id, q, m, stock, CAST(NULL AS VARCHAR) AS d FROM wanted
+    UNION ALL
+    SELECT round + 1, cart_id, product_id, q, m, stock,
+           COALESCE(d, CASE WHEN bool_or(stock - taken < m) OVER c THEN 'R'
+                            WHEN bool_and(stock - maybe >= m) OVER c THEN 'A' END)
+    FROM (
+        SELECT *, COALESCE(sum(CASE WHEN d = 'A' THEN q ELSE 0 END) OVER p, 0) AS taken,
+               COALESCE(sum(CASE WHEN d = 'R' THEN 0 ELSE q END) OVER p, 0) AS maybe,
+               bool_or(d IS NULL) OVER () AS unsettled
+        FROM st
+        WINDOW p AS (PARTITION BY product_id ORDER BY cart_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+    WHERE unsettled
+    WINDOW c AS (PARTITION BY cart_id)),
+settled AS (
+    SELECT *, COALESCE(sum(CASE WHEN d = 'A' THEN q ELSE 0 END) OVER (
+               PARTITION BY product_id ORDER BY cart_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS taken
+    FROM st WHERE round = (SELECT max(round) FROM st)),
+taken_lines AS (
+    SELECT l.*, s.d, s.taken FROM cart_lines l JOIN settled s ON l.cart_id = s.cart_id AND l.product_id = s.product_id),
+shorts AS (
+    SELECT cart_id, arg_min('out_of_stock:' || CAST(product_id AS VARCHAR), pos) AS reason
+    FROM taken_lines WHERE d = 'R' AND stock - taken < quantity GROUP BY cart_id),
+totals AS (SELECT cart_id, sum(price * quantity) AS total FROM taken_lines WHERE d = 'A' GROUP BY cart_id)
+"""
+AS_OF = "2024-01-01 00:00:00"
+
+
+def _intake_sql(body: str) -> str:
+    return with_ctes(_INTAKE + body, "s_orders", "s_items", "s_products").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def _intake(spark, root):
     shop = DriverShop(spark, root)
-    res = changes.intake_orders(_replay_carts(shop), shop.products())
-    return res.decisions.select("cart_id", "accepted", "reason",
-                                F.col("total_amount").cast("double").alias("total_amount"))
+    return changes.intake_orders(
+        _replay_carts(shop), shop.products(), as_of=F.lit(AS_OF).cast("timestamp_ntz"))
+
+
+@register("order_intake", "I1", _intake_sql("""
+    SELECT o.id AS cart_id, t.total IS NOT NULL AS accepted,
+           CASE WHEN t.total IS NULL THEN COALESCE(b.reason, s.reason, 'empty_cart') END AS reason,
+           CAST(t.total AS DOUBLE) AS total_amount
+    FROM s_orders o LEFT JOIN totals t ON t.cart_id = o.id
+    LEFT JOIN bad_carts b ON b.cart_id = o.id LEFT JOIN shorts s ON s.cart_id = o.id"""))
+def q_order_intake(spark, root):
+    return _intake(spark, root).decisions.select(
+        "cart_id", "accepted", "reason", F.col("total_amount").cast("double").alias("total_amount"))
+
+
+@register("intake_new_orders", "I1", _intake_sql(f"""
+    SELECT o.id, o.customer_id, CAST(t.total AS DOUBLE) AS total_amount, 'confirmed' AS status,
+           'mock_payment' AS payment_method, '' AS shipping_address, TIMESTAMP '{AS_OF}' AS created_at
+    FROM s_orders o JOIN totals t ON t.cart_id = o.id"""))
+def q_intake_new_orders(spark, root):
+    return _intake(spark, root).orders.withColumn(
+        "total_amount", F.col("total_amount").cast("double")).drop("seq")
+
+
+@register("intake_new_lines", "I1", _intake_sql("""
+    SELECT cart_id * 65536 + pos AS id, cart_id AS order_id, product_id,
+           CAST(quantity AS BIGINT) AS quantity, CAST(price AS DOUBLE) AS price
+    FROM taken_lines WHERE d = 'A'"""))
+def q_intake_new_lines(spark, root):
+    return _intake(spark, root).items.select(
+        "id", "order_id", "product_id", F.col("quantity").cast("bigint").alias("quantity"),
+        F.col("price").cast("double").alias("price"))
+
+
+@register("intake_stock", "I1", _intake_sql("""
+    SELECT p.id AS product_id, CAST(p.stock - COALESCE(u.used, 0) AS BIGINT) AS stock
+    FROM s_products p LEFT JOIN (
+        SELECT product_id, sum(quantity) AS used FROM taken_lines WHERE d = 'A' GROUP BY product_id) u
+      ON u.product_id = p.id"""))
+def q_intake_stock(spark, root):
+    return _intake(spark, root).products.select(
+        F.col("id").alias("product_id"), F.col("stock").cast("bigint").alias("stock"))
+
+
+@register("intake_events", "I1", _intake_sql(f"""
+    SELECT cart_id * 65536 + pos AS id, CAST(cart_id AS VARCHAR) AS session_id, customer_id AS user_id,
+           product_id, 'checkout' AS action, CAST(quantity AS BIGINT) AS quantity,
+           TIMESTAMP '{AS_OF}' AS created_at
+    FROM taken_lines WHERE d = 'A'"""))
+def q_intake_events(spark, root):
+    return _intake(spark, root).cart_events.select(
+        "id", "session_id", "user_id", "product_id", "action",
+        F.col("quantity").cast("bigint").alias("quantity"), "created_at")
 
 
 # --- C8, D19, D20: carts -----------------------------------------------------------------------
@@ -389,7 +485,7 @@ def _validated_carts(shop: DriverShop):
     SELECT c.cart_id, p.id AS productId, p.name, CAST(p.price AS DOUBLE) AS price, p.image_url,
            CASE WHEN c.quantity IS NULL OR p.stock IS NULL THEN NULL ELSE LEAST(c.quantity, p.stock) END AS quantity,
            p.stock AS availableStock
-    FROM (SELECT user_id AS cart_id, product_id, CAST(SUM(quantity) AS INTEGER) AS quantity
+    FROM (SELECT user_id AS cart_id, product_id, CAST(SUM(quantity) AS BIGINT) AS quantity
           FROM s_cart_actions WHERE action = 'add' GROUP BY 1, 2) c
     JOIN s_products p ON p.id = c.product_id""", "s_cart_actions", "s_products"))
 def q_cart_validation(spark, root):
@@ -399,7 +495,7 @@ def q_cart_validation(spark, root):
 @register("cart_totals", "D19", with_ctes("""
     SELECT c.cart_id, CAST(SUM(p.price * LEAST(c.quantity, p.stock)) AS DOUBLE) AS total,
            CAST(SUM(LEAST(c.quantity, p.stock)) AS BIGINT) AS item_count
-    FROM (SELECT user_id AS cart_id, product_id, CAST(SUM(quantity) AS INTEGER) AS quantity
+    FROM (SELECT user_id AS cart_id, product_id, CAST(SUM(quantity) AS BIGINT) AS quantity
           FROM s_cart_actions WHERE action = 'add' GROUP BY 1, 2) c
     JOIN s_products p ON p.id = c.product_id GROUP BY c.cart_id""", "s_cart_actions", "s_products"))
 def q_cart_totals(spark, root):
@@ -496,7 +592,7 @@ def q_shop_kpis(spark, root):
                      THEN p.bulk_price ELSE p.price END AS DOUBLE) AS unit_price,
            CAST(CASE WHEN COALESCE(p.bulk_price, 0) != 0 AND c.quantity >= p.min_bulk_qty
                      THEN p.bulk_price ELSE p.price END * c.quantity AS DOUBLE) AS line_amount
-    FROM (SELECT user_id AS cart_id, product_id, CAST(SUM(quantity) AS INTEGER) AS quantity
+    FROM (SELECT user_id AS cart_id, product_id, CAST(SUM(quantity) AS BIGINT) AS quantity
           FROM s_cart_actions WHERE action = 'add' GROUP BY 1, 2) c
     JOIN s_products p ON p.id = c.product_id""", "s_cart_actions", "s_products"))
 def q_bulk_quotes(spark, root):

@@ -1,8 +1,8 @@
 """Composed jobs: the offline sales report and the dashboard, end to end.
 
-Both compute the order lines once, write them to the shared checkpoint
-folder, and derive every section from that one table, instead of joining
-the four source tables again for each section.
+The report computes the order lines once, writes them to the shared
+checkpoint folder and derives every section from that one table.  The
+dashboard's figures read different tables, each with its own pruned scan.
 """
 
 from __future__ import annotations

@@ -17,7 +17,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
                'customer' AS role, CAST(NULL AS VARCHAR) AS phone, n.n_name AS address
         FROM customer c LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey"""),
     "s_artisans": ((), """
-        SELECT s.s_suppkey AS id, s.s_name AS name, s.s_name AS email,
+        SELECT 1000000000000 + s.s_suppkey AS id, s.s_name AS name, s.s_name AS email,
                'artisan' AS role, CAST(NULL AS VARCHAR) AS phone, n.n_name AS address
         FROM supplier s LEFT JOIN nation n ON s.s_nationkey = n.n_nationkey"""),
     "s_product_views": ((), """
@@ -37,7 +37,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
                COALESCE(v.views, 0) AS views
         FROM part p LEFT JOIN s_product_views v ON v.product_id = p.p_partkey"""),
     "s_product_owner": ((), """
-        SELECT l_partkey AS product_id, MIN(l_suppkey) AS artisan_id
+        SELECT l_partkey AS product_id, 1000000000000 + MIN(l_suppkey) AS artisan_id
         FROM lineitem GROUP BY 1"""),
     "s_products_owned": (("s_products", "s_product_owner"), """
         SELECT p.*, o.artisan_id FROM s_products p JOIN s_product_owner o ON o.product_id = p.id"""),
@@ -121,7 +121,7 @@ def sql_falsy(expr: str) -> str:
 
 
 def sql_parse_int(expr: str) -> str:
-    return f"TRY_CAST(NULLIF(regexp_extract({expr}, '^[\\s]*([+-]?[0-9]+)', 1), '') AS INTEGER)"
+    return f"TRY_CAST(NULLIF(regexp_extract({expr}, '^[\\s]*([+-]?[0-9]+)', 1), '') AS BIGINT)"
 
 
 CTES["s_raw_enquiries"] = ((), r"""
@@ -131,8 +131,8 @@ CTES["s_raw_enquiries"] = ((), r"""
         FROM documents""")
 CTES["s_enquiry_checked"] = (("s_raw_enquiries",), f"""
         SELECT *, CASE WHEN {sql_falsy('company_name')} OR {sql_falsy('contact_person')} OR {sql_falsy('email')}
-                       THEN 'company name, contact person and email are required'
-                       WHEN NOT {sql_email_ok('email')} THEN 'invalid email address' END AS reason
+                       THEN 'missing_fields'
+                       WHEN NOT {sql_email_ok('email')} THEN 'bad_email' END AS reason
         FROM s_raw_enquiries""")
 CTES["s_enquiries"] = (("s_enquiry_checked",), f"""
         SELECT id, {sql_sanitize('company_name', 1000)} AS company_name,

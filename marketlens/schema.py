@@ -40,7 +40,7 @@ ORDER_ITEMS = _s(
 ENQUIRIES = _s(
     ("id", L, False), ("company_name", S, False), ("contact_person", S, False),
     ("email", S, False), ("phone", S, True), ("product_category", S, True),
-    ("quantity", I, True), ("message", S, True), ("status", S, True),
+    ("quantity", L, True), ("message", S, True), ("status", S, True),
     ("created_at", TS, True),
 )
 PAGE_VIEWS = _s(

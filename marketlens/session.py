@@ -95,4 +95,18 @@ def materialize(df, name: str):
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out._materialized_at = path
+    return out
+
+
+def release(*frames) -> None:
+    """Remove the folders of frames returned by ``materialize`` that nothing
+    reads any more; other frames are left alone."""
+    for df in frames:
+        path = getattr(df, "_materialized_at", None)
+        if path is None:
+            continue
+        jvm = df.sparkSession.sparkContext._jvm
+        hadoop = jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)

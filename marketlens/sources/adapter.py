@@ -24,6 +24,8 @@ ORDER_STATUS = {"P": "cancelled", "O": "confirmed", "F": "delivered"}
 CART_EVENT_ACTION = {"click": "add", "purchase": "checkout"}
 VIEW_EVENT = "view"
 PRODUCT_PAGE_PREFIX = "/products/"
+# Suppliers become artisans in an id range of their own, above all customers.
+ARTISAN_BASE = 10**12
 # The business date the driver's order history ends on.
 AS_OF = "2001-08-01"
 
@@ -114,7 +116,7 @@ class DriverShop:
         return s.join(
             self._nation_names(), s.s_nationkey == F.col("nation_key"), "left"
         ).select(
-            F.col("s_suppkey").alias("id"),
+            (F.lit(ARTISAN_BASE) + F.col("s_suppkey")).alias("id"),
             F.col("s_name").alias("name"),
             F.col("s_name").alias("email"),
             F.lit("artisan").alias("role"),
@@ -141,7 +143,7 @@ class DriverShop:
         return (
             self.table("lineitem")
             .groupBy(F.col("l_partkey").alias("product_id"))
-            .agg(F.min("l_suppkey").alias("artisan_id"))
+            .agg((F.lit(ARTISAN_BASE) + F.min("l_suppkey")).alias("artisan_id"))
         )
 
     def products(self, with_owner: bool = False) -> DataFrame:

@@ -56,7 +56,10 @@ def write_export(df: DataFrame, path: str, columns: list[str], newest_first_by:
     Every value is quoted, a quote inside a value is doubled.  The sort runs
     on the typed column, then the projection to text keeps the order.
     """
-    ordered = df.orderBy(F.col(newest_first_by).desc_nulls_last())
+    # Ties are broken by the first identifying columns there are: the order is
+    # fixed, and rows of one second can be split over range partitions.
+    ties = [c for c in ("id", "order_id", "product", "quantity") if c in df.columns]
+    ordered = df.orderBy(F.col(newest_first_by).desc_nulls_last(), *[F.col(c).desc() for c in ties])
     (
         export_frame(ordered, columns)
         .write.mode(mode)

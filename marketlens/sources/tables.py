@@ -42,11 +42,12 @@ def read_sales_csv(spark: SparkSession, path: str) -> DataFrame:
 def type_sales_lines(raw: DataFrame) -> DataFrame:
     """Turn string sales lines into typed ones.
 
-    The export writes 0 and NULL as empty text, so every number is parsed
-    leniently and falls back to 0 (trap T5); the date key is the first ten
-    characters of ``created_at``.
+    The export writes 0 and NULL as empty text, so an empty number is 0 (trap
+    T5); a line with a number that cannot be read is left to
+    :func:`rejected_sales_lines`.  The date key is the first ten characters of
+    ``created_at``.
     """
-    return raw.select(
+    return raw.where(_unreadable().isNull()).select(
         F.col("order_id"),
         F.col("customer"),
         F.col("email"),
@@ -58,3 +59,15 @@ def type_sales_lines(raw: DataFrame) -> DataFrame:
         money_or_zero(F.col("price")).alias("price"),
         money_or_zero(F.col("total_amount")).alias("total_amount"),
     )
+
+
+def _unreadable():
+    """Name of the first number of a line that is neither empty nor readable."""
+    numbers = {"quantity": lenient_int, "price": money_or_zero, "total_amount": money_or_zero}
+    return F.coalesce(*[
+        F.when(parse(F.col(c)).isNull(), F.lit(f"bad_{c}")) for c, parse in numbers.items()])
+
+
+def rejected_sales_lines(raw: DataFrame) -> DataFrame:
+    """Export lines that :func:`type_sales_lines` leaves out, with the reason."""
+    return raw.withColumn("reason", _unreadable()).where(F.col("reason").isNotNull())

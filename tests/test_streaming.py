@@ -99,7 +99,7 @@ def test_capture_streams(spark, scratch_dir):
                             os.path.join(scratch_dir, "ck2")).awaitTermination()
     assert sorted((r.product_id, r.action, r.quantity) for r in spark.read.parquet(acc).collect()) == [(7, "add", 1)]
     assert sorted(r.reason for r in spark.read.parquet(rej).collect()) == [
-        "action not allowed", "missing data", "product id is not a number"]
+        "action_not_allowed", "bad_product_id", "missing_fields"]
 
 
 def test_dedupe_within_watermark(spark, scratch_dir):
