@@ -14,8 +14,8 @@ words an empty set).  Two documents link when 100 * intersection >= 80 * union.
    N-grams that occur once count as part of the prefix.
 3. Equal sets are one class from here on.  A pair also has to fit by size and
    by what is left of both sets from the shared n-gram on (positional
-   filter); one of the two must then be "strong", with the n-gram in its first
-   ninth.  In each bucket every class is paired with one strong centre (linear
+   filter; one of the two must then be "strong", with the n-gram in its first
+   ninth) and by the sets' parity bitmaps (bitmap filter).  In each bucket every class is paired with one strong centre (linear
    in the rows), pairs are verified, and links gathered to components.
 4. What is left in a bucket in different components is paired with all of the
    others there, and verified: no link between components is lost, while the
@@ -49,7 +49,9 @@ SHARE = 80  # per cent
 CUTS = 4
 SLICE_BYTES = 1 << 20  # bytes of text hashed at once
 BLOCK_GRAMS = 2_000_000  # n-grams of a block, and
-BLOCK_DOCS = 60_000  # documents of a block (numbered in 16 bits)
+BLOCK_DOCS = 16_000  # documents of a block (numbered in 16 bits)
+PARITY_BITS = 1024  # of a set's parity bitmap, in 64-bit words
+WORDS_64 = PARITY_BITS // 64
 LOW_BITS = 40  # of a hash kept besides its fragment
 MAX_FRAGMENTS = 1 << 22
 
@@ -137,6 +139,21 @@ def _unpack(block: bytes) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
+def _parity(grams: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Bitmap of each set: whether an odd number of its n-grams falls into each
+    of ``PARITY_BITS`` classes."""
+    out = np.zeros((len(sizes), WORDS_64), np.uint64)
+    ends = np.cumsum(sizes)
+    for at in range(0, len(sizes), 512):
+        part = sizes[at:at + 512]
+        inside = grams[ends[at] - sizes[at]:ends[at + len(part) - 1]]
+        doc = np.repeat(np.arange(len(part)), part)
+        cell = doc * PARITY_BITS + ((inside >> np.uint64(8)) % np.uint64(PARITY_BITS)).astype(np.int64)
+        odd = (np.bincount(cell, minlength=len(part) * PARITY_BITS) & 1).astype(bool)
+        out[at:at + 512] = np.packbits(odd.reshape(-1, PARITY_BITS), axis=1).view(np.uint64)
+    return out
+
+
 _ROW = "block bigint, fragment int, data binary, ids binary, sizes binary, marks binary"
 _ARROW_ROW = pa.schema([
     ("block", pa.int64()), ("fragment", pa.int32()), ("data", pa.binary()),
@@ -146,7 +163,8 @@ _ARROW_ROW = pa.schema([
 
 def _blocks(docs: DataFrame, id_col: str, text_col: str, fragments: int) -> DataFrame:
     """Packed n-grams by (block, fragment); and one row per block (without
-    data) that names its documents: ids, set sizes and 128-bit set marks."""
+    data) that names its documents: ids, set sizes, and 128-bit set marks with
+    the parity bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 24
@@ -165,6 +183,7 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, fragments: int) -> Data
                 marks[some, 0] = np.add.reduceat(_mix(grams + np.uint64(_SEED)), at)
                 marks[some, 1] = np.add.reduceat(_mix(grams ^ np.uint64(_SEED)), at)
             doc = np.repeat(np.arange(len(sets), dtype=np.uint64), sizes)
+            marks = np.column_stack([marks, _parity(grams, sizes)])
             part = ((grams >> np.uint64(40)) * np.uint64(fragments) >> np.uint64(24)).astype(np.int32)
             entry = (grams & np.uint64((1 << LOW_BITS) - 1)) << np.uint64(16) | doc
             order = np.lexsort((entry, part))
@@ -237,11 +256,11 @@ def _count(blocks: DataFrame) -> DataFrame:
 
 
 _OUT = ("kind int, doc_id bigint, n bigint, mark1 bigint, mark2 bigint, gram bigint, "
-        "rest bigint, cut int, grams binary")
+        "rest bigint, bits array<bigint>, cut int, grams binary")
 _ARROW_OUT = pa.schema([
     ("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("mark1", pa.int64()),
     ("mark2", pa.int64()), ("gram", pa.int64()), ("rest", pa.int64()),
-    ("cut", pa.int32()), ("grams", pa.binary()),
+    ("bits", pa.list_(pa.int64())), ("cut", pa.int32()), ("grams", pa.binary()),
 ])
 DOC, BUCKET, CUT = 0, 1, 2
 
@@ -255,8 +274,12 @@ def _prefixes(counted: DataFrame) -> DataFrame:
         name = table.filter(is_name)
         ids, known = np.frombuffer(name["ids"][0].as_py(), np.int64).reshape(-1, 2).T
         n = np.frombuffer(name["sizes"][0].as_py(), np.int64)
-        marks = np.frombuffer(name["marks"][0].as_py(), np.int64).reshape(-1, 2)
-        out = [_rows(DOC, n, marks, doc_id=pa.array(ids, mask=known == 0))]
+        marks = np.frombuffer(name["marks"][0].as_py(), np.int64).reshape(-1, 2 + WORDS_64)
+        marks, bits = marks[:, :2], marks[:, 2:]
+        each = pa.ListArray.from_arrays(
+            np.arange(0, len(n) * WORDS_64 + 1, WORDS_64, dtype=np.int32),
+            np.ascontiguousarray(bits).ravel())
+        out = [_rows(DOC, n, marks, doc_id=pa.array(ids, mask=known == 0), bits=each)]
         table = table.filter(pa.compute.invert(is_name))
         if table.num_rows:
             entry, level, gram = [], [], []
@@ -305,7 +328,8 @@ def _rows(kind: int, n: np.ndarray, marks: np.ndarray, **columns) -> pa.Table:
              "mark1": np.ascontiguousarray(marks[:, 0]), "mark2": np.ascontiguousarray(marks[:, 1])}
     given |= columns
     return pa.Table.from_arrays(
-        [pa.array(given[f.name], f.type) if f.name in given else pa.nulls(len(n), f.type)
+        [(given[f.name] if isinstance(given[f.name], pa.Array) else pa.array(given[f.name], f.type))
+         if f.name in given else pa.nulls(len(n), f.type)
          for f in _ARROW_OUT], schema=_ARROW_OUT)
 
 
@@ -331,19 +355,33 @@ def _verified(pairs: DataFrame, cuts: DataFrame) -> DataFrame:
     )
 
 
-def _fits(x: str, rest_x: str, y: str, rest_y: str) -> Column:
-    """Whether two rows of a bucket can link by their sizes and by what is
-    left of each from the bucket's n-gram on (positional filter)."""
-    return (100 + SHARE) * F.least(rest_x, rest_y) >= SHARE * (F.col(x) + F.col(y))
+_SEAT = ["node", "n", "rest", "bits"]
+
+
+def _seat(prefix: str = "") -> list[Column]:
+    """A bucket row's columns, renamed with a prefix."""
+    return [F.col(c).alias(prefix + c) for c in _SEAT]
+
+
+def _fits(x: str, y: str) -> Column:
+    """Whether rows with prefixes ``x`` and ``y`` of one bucket can link: by
+    what is left of each from the bucket's n-gram on (positional filter), and
+    because each bit in which the parity bitmaps differ stands for at least one
+    n-gram that only one of the sets has (bitmap filter)."""
+    both = F.col(f"{x}n") + F.col(f"{y}n")
+    apart = sum(F.bit_count(F.col(f"{x}bits")[k].bitwiseXOR(F.col(f"{y}bits")[k]))
+                for k in range(WORDS_64))
+    return (((100 + SHARE) * F.least(f"{x}rest", f"{y}rest") >= SHARE * both)
+            & ((100 + SHARE) * (both - apart) >= 2 * SHARE * both))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b, na, nb) with a < b of rows (x, nx, y, ny)."""
-    first = F.col("x") < F.col("y")
+    """Distinct pairs (a, b, na, nb) with a < b of rows with prefixes x_, y_."""
+    first = F.col("x_node") < F.col("y_node")
     return pairs.select(
-        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"),
-        F.when(first, F.col("nx")).otherwise(F.col("ny")).alias("na"),
-        F.when(first, F.col("ny")).otherwise(F.col("nx")).alias("nb")).distinct()
+        F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"),
+        F.when(first, F.col("x_n")).otherwise(F.col("y_n")).alias("na"),
+        F.when(first, F.col("y_n")).otherwise(F.col("x_n")).alias("nb")).distinct()
 
 
 def connected(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -381,60 +419,58 @@ def link_documents(
     found = materialize(_prefixes(_count(blocks)), "ngram-rows")
 
     # Classes of equal sets; a written table keeps their numbers fixed.
-    rows = found.filter(F.col("kind") == DOC).select("doc_id", "n", "mark1", "mark2")
+    rows = found.filter(F.col("kind") == DOC).select("doc_id", "n", "mark1", "mark2", "bits")
     nodes = materialize(
-        rows.groupBy("mark1", "mark2").agg(F.max("n").alias("n"), F.min("doc_id").alias("first"))
+        rows.groupBy("mark1", "mark2").agg(
+            F.max("n").alias("n"), F.min("doc_id").alias("first"), F.any_value("bits").alias("bits"))
         .withColumn("node", F.monotonically_increasing_id()), "ngram-classes")
+    rows = rows.drop("bits")
+    bits = nodes.select("node", "bits")
     number = nodes.select("mark1", "mark2", "node")
     marks = ["mark1", "mark2"]
     seats = (
-        found.filter(F.col("kind") == BUCKET).select("gram", "n", "rest", *marks).distinct()
-        .join(number, marks)
+        found.filter(F.col("kind") == BUCKET).select("gram", "n", "rest", *marks)
+        .dropDuplicates(["gram", *marks]).join(number, marks)
         .select("gram", "node", "n", "rest",
                 ((100 + SHARE) * F.col("rest") >= 2 * SHARE * F.col("n")).alias("strong")))
-    centre = F.min_by(
-        F.struct("node", "n", "rest"), F.when(F.col("strong"), F.xxhash64("gram", "node")))
+    centre = F.min_by(F.struct("node", "n", "rest"), F.when(F.col("strong"), F.xxhash64("gram", "node")))
     full = seats.groupBy("gram").agg(
         F.count("*").alias("k"), F.bool_or("strong").alias("any_strong"), centre.alias("c"),
     ).filter("k > 1 and any_strong").select("gram", "c")
-    seats = materialize(
-        seats.join(full, "gram").select(
-            "gram", "node", "n", "rest", "strong", F.col("c.node").alias("centre"),
-            F.col("c.n").alias("nc"), F.col("c.rest").alias("rest_c")),
-        "ngram-buckets")
+    seats = seats.join(full, "gram").join(bits, "node").select(
+        "gram", *_SEAT, "strong", *[F.col(f"c.{c}").alias(f"y_{c}") for c in ("node", "n", "rest")])
+    far = bits.select(F.col("node").alias("y_node"), F.col("bits").alias("y_bits"))
+    seats = materialize(seats.join(far, "y_node"), "ngram-buckets")
     cuts = materialize(
         found.filter(F.col("kind") == CUT).select("cut", "grams", *marks)
         .join(number, marks).join(seats.select("node").distinct(), "node", "left_semi")
         .dropDuplicates(["node", "cut"]).select("node", "cut", "grams"), "ngram-cuts")
 
+    starred = seats.select("gram", *_seat("x_"), *[f"y_{c}" for c in _SEAT])
     stars = materialize(_ordered(
-        seats.filter((F.col("node") != F.col("centre")) & _fits("n", "rest", "nc", "rest_c"))
-        .select(F.col("node").alias("x"), F.col("n").alias("nx"),
-                F.col("centre").alias("y"), F.col("nc").alias("ny"))), "ngram-stars")
+        starred.filter((F.col("x_node") != F.col("y_node")) & _fits("x_", "y_"))), "ngram-stars")
     links = materialize(_verified(stars, cuts), "ngram-links")
     parts = connected(links, "ngram-parts")
 
     # Buckets that still hold several components: everything outside a
     # bucket's largest component meets the classes of other components there.
     # A strong class takes part in every pair that fits.
-    seats = seats.join(parts, "node", "left").select(
-        "gram", "node", "n", "rest", "strong", F.coalesce("root", "node").alias("part"))
+    seats = seats.select("gram", *_SEAT, "strong").join(parts, "node", "left").select(
+        "gram", *_SEAT, "strong", F.coalesce("root", "node").alias("part"))
     sizes = seats.groupBy("gram", "part").agg(F.count("*").alias("k"))
     torn = sizes.groupBy("gram").agg(
         F.count("*").alias("parts"), F.max_by("part", F.struct("k", "part")).alias("main")
     ).filter("parts > 1").select("gram", "main")
     open_seats = materialize(seats.join(torn, "gram"), "ngram-open")
     x = open_seats.filter(F.col("part") != F.col("main")).select(
-        "gram", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("rest").alias("rx"),
-        F.col("part").alias("px"), F.col("strong").alias("sx"))
+        "gram", *_seat("x_"), F.col("part").alias("px"), F.col("strong").alias("sx"))
     y = open_seats.select(
-        "gram", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("rest").alias("ry"),
-        F.col("part").alias("py"), F.col("strong").alias("sy"))
-    fits = (F.col("px") != F.col("py")) & _fits("nx", "rx", "ny", "ry")
-    rest = _ordered(
+        "gram", *_seat("y_"), F.col("part").alias("py"), F.col("strong").alias("sy"))
+    fits = (F.col("px") != F.col("py")) & _fits("x_", "y_")
+    rest = materialize(_ordered(
         x.filter("sx").join(y, "gram").filter(fits)
         .unionByName(x.filter("not sx").join(y.filter("sy"), "gram").filter(fits))
-    ).join(stars.select("a", "b"), ["a", "b"], "left_anti")
+    ).join(stars.select("a", "b"), ["a", "b"], "left_anti"), "ngram-rest")
     named = rows.filter(F.col("doc_id").isNotNull()).join(number, marks).select("doc_id", "node")
     span = named.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z"))
     same = named.join(span.filter("a < z"), "doc_id").filter("node > a").select(
