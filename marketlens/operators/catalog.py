@@ -139,16 +139,17 @@ def related_products(products: DataFrame, k: int = 4) -> DataFrame:
         products.select("id", "category")
         .withColumn("cat_rank", F.row_number().over(w_cat))
         .where(F.col("cat_rank") <= k + 1)
-        .select(F.col("id").alias("related_id"), "category")
+        .select(F.col("id").alias("related_id"), "category", "cat_rank")
     )
     pairs = (
         products.select(F.col("id").alias("product_id"), "category")
         .join(firsts, "category")
         .where(F.col("product_id") != F.col("related_id"))
     )
-    w_prod = Window.partitionBy("product_id").orderBy("related_id")
+    # Among the others of a product, one that follows it moves up by one.
+    follows = (F.col("product_id") < F.col("related_id")).cast("int")
     return (
-        pairs.withColumn("position", F.row_number().over(w_prod))
+        pairs.withColumn("position", F.col("cat_rank") - follows)
         .where(F.col("position") <= k)
         .select("product_id", "related_id", "position")
     )

@@ -83,7 +83,8 @@ def cancel_orders(requests: DataFrame, orders: DataFrame, items: DataFrame,
         .when(~F.coalesce(F.col("_status").isin(*CANCELLABLE), F.lit(False)),
               F.concat(F.lit("not_cancellable:"), F.coalesce(F.col("_status"), F.lit("null"))))
     )
-    r = r.withColumn("reason", reason)
+    # Written once: the three results below all start from it.
+    r = materialize(r.withColumn("reason", reason), "cancellations")
     winners = r.where(F.col("reason").isNull()).groupBy("order_id").agg(F.min("seq").alias("_win"))
     labeled = r.join(winners, "order_id", "left").withColumn(
         "reason",

@@ -26,15 +26,25 @@ def _enquiries(shop: DriverShop):
 
 # --- I3: order status changes --------------------------------------------------------
 
+def _requests(df, *wanted):
+    """Requests made of a table's rows in one scan: for each (condition,
+    columns) of ``wanted`` a row where the condition holds."""
+    made = F.array(*[F.when(when, F.struct(*columns)) for when, columns in wanted])
+    rows = df.select(F.explode(F.filter(made, lambda r: r.isNotNull())).alias("r"))
+    return rows.select("r.*")
+
+
+def _status_change(key, status, seq):
+    return [F.col(key).alias("id"), F.lit(status).alias("status"), F.lit(seq).cast("bigint").alias("seq")]
+
+
 def _status_changes(shop: DriverShop):
-    o = shop.table("orders")
-    urgent_or_high = o.where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).select(
-        F.col("o_orderkey").alias("id"), F.lit("shipped").alias("status"), F.lit(1).cast("bigint").alias("seq"))
-    delivered = o.where((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "F")).select(
-        F.col("o_orderkey").alias("id"), F.lit("delivered").alias("status"), F.lit(2).cast("bigint").alias("seq"))
-    invalid = o.where(F.col("o_orderpriority") == "5-LOW").select(
-        F.col("o_orderkey").alias("id"), F.lit("lost").alias("status"), F.lit(3).cast("bigint").alias("seq"))
-    return urgent_or_high.unionByName(delivered).unionByName(invalid)
+    priority = F.col("o_orderpriority")
+    return _requests(
+        shop.table("orders").where(priority.isin("1-URGENT", "2-HIGH", "5-LOW")),
+        (priority.isin("1-URGENT", "2-HIGH"), _status_change("o_orderkey", "shipped", 1)),
+        ((priority == "1-URGENT") & (F.col("o_orderstatus") == "F"), _status_change("o_orderkey", "delivered", 2)),
+        (priority == "5-LOW", _status_change("o_orderkey", "lost", 3)))
 
 
 CTES["s_status_changes"] = ((), """
@@ -97,13 +107,20 @@ def q_enquiry_list(spark, root):
 
 def _enquiry_changes(e):
     # Every enquiry is reviewed; German-language ones are then accepted and
-    # English ones get an status_not_allowed.
-    reviewed = e.select("id", F.lit("reviewed").alias("status"), F.lit(1).cast("bigint").alias("seq"))
-    accepted = e.where(F.col("contact_person") == "de").select(
-        "id", F.lit("accepted").alias("status"), F.lit(2).cast("bigint").alias("seq"))
-    invalid = e.where(F.col("contact_person") == "en").select(
-        "id", F.lit("archived").alias("status"), F.lit(3).cast("bigint").alias("seq"))
-    return reviewed.unionByName(accepted).unionByName(invalid)
+    # English ones get a status that is not allowed.
+    return _requests(
+        e, (F.lit(True), _status_change("id", "reviewed", 1)),
+        (F.col("contact_person") == "de", _status_change("id", "accepted", 2)),
+        (F.col("contact_person") == "en", _status_change("id", "archived", 3)))
+
+
+@register("enquiry_status_rejected", "I4", with_ctes("""
+    SELECT id, 'archived' AS status, CAST(3 AS BIGINT) AS seq, 'status_not_allowed' AS reason
+    FROM s_enquiries WHERE contact_person = 'en'""", "s_enquiries"))
+def q_enquiry_status_rejected(spark, root):
+    e = _enquiries(DriverShop(spark, root))
+    _, rejected = changes.apply_status(e, _enquiry_changes(e), changes.ENQUIRY_STATUSES)
+    return rejected
 
 
 @register("enquiry_status_apply", "I4", with_ctes("""
@@ -123,16 +140,16 @@ def q_enquiry_status_apply(spark, root):
 # --- I2: cancellations --------------------------------------------------------------------
 
 def _cancel_requests(shop: DriverShop):
-    o = shop.table("orders")
-    own = o.where(F.col("o_orderpriority") == "5-LOW")
-    first = own.select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("requester_id"),
-                       (F.col("o_orderkey") * 2).alias("seq"))
-    again = own.select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("requester_id"),
-                       (F.col("o_orderkey") * 2 + 1).alias("seq"))
-    stranger = o.where(F.col("o_orderpriority") == "4-NOT SPECIFIED").select(
-        F.col("o_orderkey").alias("order_id"), (F.col("o_custkey") + 1).alias("requester_id"),
-        (F.col("o_orderkey") * 2).alias("seq"))
-    return first.unionByName(again).unionByName(stranger)
+    priority = F.col("o_orderpriority")
+
+    def request(stranger, again):
+        return [F.col("o_orderkey").alias("order_id"), (F.col("o_custkey") + stranger).alias("requester_id"),
+                (F.col("o_orderkey") * 2 + again).alias("seq")]
+
+    own = priority == "5-LOW"
+    return _requests(
+        shop.table("orders").where(priority.isin("5-LOW", "4-NOT SPECIFIED")),
+        (own, request(0, 0)), (own, request(0, 1)), (~own, request(1, 0)))
 
 
 CTES["s_cancel_requests"] = ((), """
@@ -354,6 +371,24 @@ def q_registration_intake(spark, root):
     return accepted
 
 
+@register("registration_rejected", "I8", with_ctes(f"""
+    SELECT seq, reason FROM (
+        SELECT seq, CASE
+            WHEN shape IS NOT NULL THEN shape
+            WHEN em IN (SELECT email FROM s_customers UNION ALL SELECT email FROM s_artisans)
+                OR seq != min(seq) FILTER (WHERE shape IS NULL) OVER (PARTITION BY em) THEN 'email_taken' END AS reason
+        FROM (SELECT *, {sql_sanitize('email', 255)} AS em, CASE
+                WHEN {sql_falsy('name')} OR {sql_falsy('email')} OR {sql_falsy('role')} THEN 'missing_fields'
+                WHEN role NOT IN ('customer', 'artisan') THEN 'role_not_allowed'
+                WHEN NOT {sql_email_ok('email')} THEN 'bad_email' END AS shape
+              FROM s_registrations))
+    WHERE reason IS NOT NULL""", "s_registrations", "s_customers", "s_artisans"))
+def q_registration_rejected(spark, root):
+    shop = DriverShop(spark, root)
+    _, rejected = changes.intake_users(_registrations(shop), shop.customers.unionByName(shop.artisans))
+    return rejected
+
+
 # --- I1: order intake (sequential rule; checked against a loop in tests) ---------------------------------
 
 def _replay_carts(shop: DriverShop):

@@ -44,6 +44,9 @@ def build_session(
     if master:
         builder = builder.master(master)
     conf = dict(BASE_CONF)
+    if not shuffle_partitions and not (master or "").startswith("local"):
+        # Start wide; adaptive execution merges what turns out small.
+        conf["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] = "4000"
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
