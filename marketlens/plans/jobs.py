@@ -33,6 +33,7 @@ def sales_report_job(spark: SparkSession, lines: DataFrame, out_dir: str,
         "category_performance": sales.category_performance(stored),
         "customer_segments": sales.customer_segments(stored),
     }
+    sections["totals"] = sales.report_totals(sections["sales_trend"], sections["category_performance"], stored)
     write_report(spark, sections, out_dir, stored.agg(F.count(F.lit(1)).alias("total_records")),
                  generated_at=generated_at)
     return sections

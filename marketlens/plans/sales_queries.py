@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import sales
+from ..session import materialize
 from ..sources.adapter import AS_OF, DriverShop
 from .oracle import with_ctes
 from .registry import register
@@ -153,7 +154,9 @@ def q_category_performance(spark, root):
                GROUP BY substr(CAST(created_at AS VARCHAR), 1, 10))) AS total_orders,
            (SELECT COUNT(*) FROM s_lines) AS total_records""", "s_lines"))
 def q_report_totals(spark, root):
-    lines = _lines(DriverShop(spark, root))
+    # Written once: the three totals share one run of the join.
+    columns = ["order_id", "created_at", "category", "quantity", "line_total_cents"]
+    lines = materialize(_lines(DriverShop(spark, root)).select(*columns), "report-lines")
     return sales.report_totals(sales.line_sales_trend(lines), sales.category_performance(lines), lines)
 
 
