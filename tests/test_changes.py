@@ -60,7 +60,7 @@ def test_registration_uniqueness(spark, seed):
     raw = spark.createDataFrame([
         ("Neo", "neo@x.com", "customer", None, None, 1),
         ("Neo2", "neo@x.com", "customer", None, None, 2),
-        ("Ann", "arjun@customer.com", "customer", None, None, 3),
+        ("Ann", "buyer5@shop.example", "customer", None, None, 3),
         ("Boss", "boss@x.com", "admin", None, None, 4),
         ("Bad", "bad@x", "artisan", None, None, 5),
         ("Q", "'q@x.com'", "artisan", None, None, 6),
@@ -79,7 +79,7 @@ def test_profiles_last_change_wins(spark, seed):
     users = changes.apply_profiles(seed["users"], ch)
     r = users.where("id = 5").first()
     assert (r.name, r.phone, r.address) == ("Arjun", "", "Home")
-    assert users.where("id = 6").first().name == "Priya Bose"
+    assert users.where("id = 6").first().name == "Buyer Six"
 
 
 def test_view_counters(spark, seed):

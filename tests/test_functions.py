@@ -101,5 +101,5 @@ def test_clamp_to_stock_keeps_null(spark):
 
 
 def test_city_and_first_ten(spark):
-    assert _one(spark, text.city, "Salt Lake, Kolkata") == "Salt Lake"
+    assert _one(spark, text.city, "North Side, Town") == "North Side"
     assert _one(spark, text.first_ten, "2024-01-15 10:00:00") == "2024-01-15"

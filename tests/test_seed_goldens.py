@@ -82,9 +82,9 @@ def test_customer_segments(seed):
     got = {r.email: (r.segment, r.orders, r.lifetime_value)
            for r in sales.customer_segments(_lines(seed)).collect()}
     assert got == {
-        "arjun@customer.com": ("loyal", 3, 8550.0),
-        "priya@customer.com": ("loyal", 3, 4050.0),
-        "rahul@customer.com": ("new", 1, 2400.0),
+        "buyer5@shop.example": ("loyal", 3, 8550.0),
+        "buyer6@shop.example": ("loyal", 3, 4050.0),
+        "buyer7@shop.example": ("new", 1, 2400.0),
     }
     counts = {r.segment: r.customers for r in sales.segment_counts(sales.customer_segments(_lines(seed))).collect()}
     assert counts == {"champions": 0, "loyal": 2, "at_risk": 0, "new": 1}

@@ -76,7 +76,7 @@ def test_report_sections(spark, seed, scratch_dir):
     summary = [json.loads(x) for p in glob.glob(f"{out}/summary/part-*") for x in open(p)]
     assert summary == [{"generated_at": "t0", "total_records": 7}]
     segs = [json.loads(x) for p in glob.glob(f"{out}/customer_segments/part-*") for x in open(p)]
-    assert sorted(s["email"] for s in segs) == ["arjun@customer.com", "priya@customer.com", "rahul@customer.com"]
+    assert sorted(s["email"] for s in segs) == ["buyer5@shop.example", "buyer6@shop.example", "buyer7@shop.example"]
 
 
 def test_command_line_export_then_report(spark, seed, scratch_dir):
