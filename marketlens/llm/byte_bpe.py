@@ -30,10 +30,10 @@ from pyspark.sql import functions as F
 
 from .registry import load, register
 
-CACHE_PIECES = 250_000
+CACHE_PIECES = 400_000
 SLICE_CHARS = 1_000_000  # characters cut into pieces at once
 LANE_BYTES = 64  # pieces up to this length share a tree array
-LANE_CELLS = 1 << 20  # bytes of such pieces in one array
+LANE_CELLS = 1 << 17  # bytes of such pieces in one array
 _NONE = np.int64(1) << 62
 
 
@@ -96,9 +96,10 @@ class Encoder:
 
     def learn(self, pieces: set[str]) -> None:
         """Encode the pieces that are not remembered."""
-        if len(self.known) + len(pieces) > CACHE_PIECES:
+        new = pieces.difference(self.known)
+        if len(self.known) + len(new) > CACHE_PIECES:
             self.known.clear()
-        new = [p for p in pieces if p not in self.known]
+            new = pieces
         lanes: dict[int, list[tuple[str, bytes]]] = {}
         for p in new:
             raw = p.encode()
