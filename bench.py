@@ -25,6 +25,9 @@ HEADLINE = [
     "category_performance", "order_product_names", "related_products", "catalog_search",
     "catalog_page", "constraint_audit", "referential_orphans", "order_cancellation",
     "enquiry_intake", "cart_totals", "stream_page_counts", "order_intake", "sales_report",
+    "report_totals", "category_share", "dashboard", "weekly_sales_trend", "order_detail",
+    "cancellation_restock", "cancellation_rejected", "product_upsert", "entity_delete",
+    "registration_intake", "artisan_sales", "stream_cart_actions", "stream_view_counters",
 ]
 
 
