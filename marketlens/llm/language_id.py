@@ -143,13 +143,13 @@ def train_network(
 ) -> ByteNet:
     """Network trained on a bounded sample: a window's length of characters
     from a hashed place in each sampled text."""
-    rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
+    rows = docs.filter(F.col(lang_col).isNotNull())
     at = F.pmod(F.xxhash64(F.col(id_col), F.lit(1)),
                 F.greatest(F.lit(1), F.char_length(text_col) - F.lit(WINDOW)).cast("long"))
     cut = rows.select(
         F.col(id_col).alias("id"), F.col(lang_col).alias("lang"),
         F.substring(F.col(text_col), (at + 1).cast("int"), F.lit(WINDOW)).alias("text"))
-    got = bounded_sample(cut, F.col("id"), TRAIN_ROWS).collect()
+    got = bounded_sample(cut, F.col("id"), TRAIN_ROWS).filter(F.col("text").rlike(r"\p{L}")).collect()
     languages = sorted({r.lang for r in got})
     net = ByteNet(languages)
     if got:
