@@ -73,27 +73,21 @@ def render(messages: DataFrame, conv: str = "conv_id") -> DataFrame:
     head = F.concat(F.lit(START), F.replace(escape(role), F.lit("\n"), F.lit(LINE)), F.lit("\n"))
     piece = messages.select(
         conv, "turn", role.alias("role"), head.alias("head"), text.alias("body"))
-    listed = F.sort_array(F.collect_list(F.struct(
-        "turn", "role", "body", "head", (F.col("role") == "assistant").alias("masked"))))
-    rows = piece.groupBy(conv).agg(listed.alias("m"))
-    # Whole-array joins keep the string linear in its length; starts come from
-    # running sums over messages.
-    sizes = F.transform("m", lambda x: F.length(x["head"]) + F.length(x["body"]) + len(END))
-    starts = F.aggregate(
-        "sizes", F.array(F.lit(0).cast("long")),
-        lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
-    return (
-        rows.withColumn("sizes", sizes).withColumn("starts", starts)
-        .select(
-            conv,
-            F.array_join(F.transform("m", lambda x: F.concat(
-                x["head"], x["body"], F.lit(END))), "").alias("formatted"),
-            F.filter(
-                F.transform("m", lambda x, i: F.when(x["masked"], F.struct(
-                    (F.col("starts")[i] + F.length(x["head"])).alias("start"),
-                    F.length(x["body"]).alias("length")))),
-                lambda s: s.isNotNull()).alias("loss_spans"),
-        )
+    # A text starts after all earlier messages and its own head.
+    order = ["turn", "role", "body", "head"]
+    earlier = (Window.partitionBy(conv).orderBy(*[F.col(c).asc_nulls_first() for c in order])
+               .rowsBetween(Window.unboundedPreceding, -1))
+    size = F.length("head") + F.length("body") + len(END)
+    before = F.coalesce(F.sum(size.cast("long")).over(earlier), F.lit(0))
+    placed = piece.withColumn("start", before + F.length("head"))
+    listed = F.sort_array(F.collect_list(F.struct(*order, "start")))
+    return placed.groupBy(conv).agg(listed.alias("m")).select(
+        conv,
+        F.array_join(F.transform("m", lambda x: F.concat(
+            x["head"], x["body"], F.lit(END))), "").alias("formatted"),
+        F.transform(
+            F.filter("m", lambda x: x["role"] == "assistant"),
+            lambda x: F.struct(x["start"], F.length(x["body"]).alias("length"))).alias("loss_spans"),
     )
 
 
