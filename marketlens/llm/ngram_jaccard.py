@@ -47,8 +47,8 @@ from .registry import load, register
 WORDS = 5
 SHARE = 80  # per cent
 CUTS = 4
-SLICE_BYTES = 1 << 20  # bytes of text hashed at once
-BLOCK_GRAMS = 2_000_000  # n-grams of a block, and
+SLICE_BYTES = 1 << 18  # bytes of text hashed at once
+BLOCK_GRAMS = 700_000  # n-grams of a block, and
 BLOCK_DOCS = 16_000  # documents of a block (numbered in 16 bits)
 PARITY_BITS = 1024  # of a set's parity bitmap, in 64-bit words
 WORDS_64 = PARITY_BITS // 64
