@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .registry import load, register
 
-CACHE_PIECES = 300_000
+CACHE_PIECES = 200_000
 SLICE_CHARS = 1_000_000  # characters cut into pieces at once
 LANE_BYTES = 64  # pieces up to this length share a tree array
 LANE_CELLS = 1 << 17  # bytes of such pieces in one array
