@@ -5,23 +5,19 @@ non-ASCII characters), so case, punctuation and line breaks do not matter.  A
 document leaks an item of n words when some run of its words is within edit
 distance floor(``TOLERANCE`` * n) of it.
 
-* CGK embedding: a random walk reads a window and, at each step, notes the
-  word it stands on and moves on or not by a random bit of that word.  Equal
-  stretches bring two walks back in step, so edit distance turns into Hamming
-  distance between the noted words.
-* Items fall into size classes.  A class has windows of ``w`` words, half to
-  three quarters of its items' length, at every ``w // 3`` words of a document;
-  an item is embedded at as many offsets, so some window starts level with one.
-* Bit-sampling LSH: each of ``TABLES`` tables keys a window by ``SAMPLES``
-  noted words; ``WALKS`` independent walks repeat this.  With a fraction p of
-  equal notes, a pair is missed with probability (1 - p**SAMPLES) ** TABLES
-  per walk: about 1 % a walk at p = 0.75.
+* Seeds: an item of n words with k = floor(``TOLERANCE`` * n) is cut into k + 1
+  runs of words.  k edits touch at most k of them, so any leak holds one run
+  unchanged: no leak is missed, whatever the item's length and wherever and
+  of whatever kind the edits are.  Runs have three to five words.
+* The hashes of all a document's runs of those lengths are looked up among the
+  seeds.  A seed found sets the item's place there; the leak begins and ends
+  within k words of it.  Places whose surroundings overlap are taken together.
 * Each candidate is verified by the exact edit distance of the item to the
-  best-fitting run of words around its place.
+  best-fitting run of words around its places.
 
 Items are the stated query set.  They are taken in blocks of at most
-``BLOCK_ITEMS``, and each block's tables (a few kB an item) travel with the
-function; documents are never shuffled.
+``BLOCK_ITEMS``, and each block's words and seeds (8 bytes a word, 16 a
+seed) travel with the function; documents are never shuffled.
 
 Defined results: items of fewer than ``MIN_WORDS`` words or null text are no
 evidence of a leak and are left out; null and empty documents leak nothing;
@@ -31,8 +27,6 @@ is read whole.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,15 +37,9 @@ from .registry import load, register
 
 TOLERANCE = 0.2
 MIN_WORDS = 8
-WALKS = 2
-TABLES = 16
-SAMPLES = 4
 BLOCK_ITEMS = 5_000
 SLICE_CHARS = 1 << 20
-WINDOWS_AT_ONCE = 1 << 15
-PLACE_WORDS = 4  # candidates this close are one place
 
-_ONE = np.uint64(1)
 _BYTES = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 _POWER = np.uint64(0xE7037ED1A0B428DB)
 _IS_WORD = np.zeros(256, bool)
@@ -80,116 +68,94 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.searchsorted(starts, begin)
 
 
-class SizeClass:
-    """Windows of ``w`` words at every ``stride`` words, and the LSH tables of
-    the class's items."""
-
-    def __init__(self, w: int, items: list[int]):
-        self.w, self.items = w, items
-        self.stride = max(1, w // 3)
-        self.steps = 2 * w
-        rng = np.random.default_rng(w)
-        self.places = rng.integers(0, self.steps, (WALKS, TABLES, SAMPLES))
-        self.keys: list[list[np.ndarray]] = []
-        self.rows: list[list[np.ndarray]] = []
-        self.maybe: list[list[np.ndarray]] = []
-
-    def embed(self, words: np.ndarray, starts: np.ndarray, walk: int) -> np.ndarray:
-        """(TABLES, windows) keys of windows at ``starts`` of mixed words."""
-        at = starts.copy()
-        keys = np.zeros((TABLES, len(starts)), np.uint64)
-        uses: dict[int, list[tuple[int, int]]] = {}
-        for table in range(TABLES):
-            for k, j in enumerate(self.places[walk, table].tolist()):
-                uses.setdefault(j, []).append((table, k))
-        last = max(uses)
-        for j in range(last + 1):
-            seen = words[at]
-            for table, k in uses.get(j, ()):
-                keys[table] += seen * np.uint64(2 * k + 3)
-            at += ((seen >> np.uint64(j % 64)) & _ONE).astype(np.int64)
-        return keys
-
-    def build(self, mixed: list[np.ndarray], begin: np.ndarray) -> None:
-        """Tables of the items; a row is item << 16 | offset."""
-        starts, rows = [], []
-        for i in self.items:
-            for o in range(self.stride):
-                starts.append(begin[i] + o)
-                rows.append(i << 16 | o)
-        starts, rows = np.array(starts), np.array(rows)
-        for walk in range(WALKS):
-            keys = self.embed(mixed[walk], starts, walk)
-            order = np.argsort(keys, axis=1, kind="stable")
-            self.keys.append(list(np.take_along_axis(keys, order, 1)))
-            self.rows.append([rows[o] for o in order])
-            marks = []
-            for k in self.keys[-1]:
-                m = np.zeros(1 << 16, bool)
-                m[k >> np.uint64(48)] = True
-                marks.append(m)
-            self.maybe.append(marks)
-
-    def matches(self, mixed: np.ndarray, starts: np.ndarray, walk: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(window start, item row) pairs of each table."""
-        keys = self.embed(mixed, starts, walk)
-        for table in range(TABLES):
-            key = keys[table]
-            some = np.flatnonzero(self.maybe[walk][table][key >> np.uint64(48)])
-            if not len(some):
-                continue
-            known = self.keys[walk][table]
-            lo = np.searchsorted(known, key[some], "left")
-            n = np.searchsorted(known, key[some], "right") - lo
-            hit = n > 0
-            some, lo, n = some[hit], lo[hit], n[hit]
-            if len(some):
-                which = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                yield np.repeat(starts[some], n), self.rows[walk][table][which]
+def _runs(words: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of all runs of ``length`` words."""
+    n = max(0, len(words) - length + 1)
+    out = np.zeros(n, np.uint64)
+    for k in range(length):
+        out = out * _POWER + words[k:k + n]
+    return _mix(out)
+
+
+def tolerated(n: int) -> int:
+    """Edits at which a run still counts as a copy of an item of n words."""
+    return int(TOLERANCE * n)
+
+
+class Seeds:
+    """The seeds of one length: where each one lies in its item."""
+
+    def __init__(self, length: int, keys: list[np.uint64], items: list[int], offsets: list[int]):
+        self.length = length
+        order = np.argsort(np.array(keys, np.uint64), kind="stable")
+        self.keys = np.array(keys, np.uint64)[order]
+        self.items, self.offsets = np.array(items)[order], np.array(offsets)[order]
+        bits = min(24, max(12, (16 * len(keys)).bit_length()))
+        self.shift = np.uint64(64 - bits)
+        self.maybe = np.zeros(1 << bits, bool)
+        self.maybe[self.keys >> self.shift] = True
+
+    def matches(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where seeds are found, their items, and where those would begin."""
+        key = _runs(words, self.length)
+        at = np.flatnonzero(self.maybe[key >> self.shift])
+        lo = np.searchsorted(self.keys, key[at], "left")
+        n = np.searchsorted(self.keys, key[at], "right") - lo
+        which = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        at = np.repeat(at, n)
+        return at, self.items[which], at - self.offsets[which]
 
 
 class LeakIndex:
-    """Tables of a block of items."""
+    """Seeds of a block of items."""
 
     def __init__(self, ids: list[int | None], texts: list[str]):
         hashes, begin = word_hashes(texts)
         self.words = [hashes[a:b] for a, b in zip(begin[:-1], begin[1:])]
+        self.sizes = np.diff(begin)
         self.ids = ids
-        padded, at = _spaced(hashes, begin)
-        classes: dict[int, list[int]] = {}
+        found: dict[int, tuple[list, list, list]] = {}
         for i, words in enumerate(self.words):
-            if len(words) >= MIN_WORDS:
-                classes.setdefault(_class_of(len(words)), []).append(i)
-        self.classes = [SizeClass(w, items) for w, items in sorted(classes.items())]
-        mixed = [_mixed(padded, walk) for walk in range(WALKS)]
-        for c in self.classes:
-            c.build(mixed, at)
+            n = len(words)
+            if n < MIN_WORDS:
+                continue
+            runs = tolerated(n) + 1
+            cuts = [n * j // runs for j in range(runs + 1)]
+            keys = {size: _runs(words, size) for size in {b - a for a, b in zip(cuts, cuts[1:])}}
+            for a, b in zip(cuts, cuts[1:]):
+                for known, value in zip(found.setdefault(b - a, ([], [], [])), (keys[b - a][a], i, a)):
+                    known.append(value)
+        self.seeds = [Seeds(size, *known) for size, known in sorted(found.items())]
+
+    def candidates(self, words: np.ndarray, begin: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(text, item, least and largest place of the item) of seeds found
+        among ``words``, where texts begin at ``begin``."""
+        if not self.seeds:
+            return []
+        at, item, place = map(np.concatenate, zip(*(s.matches(words) for s in self.seeds)))
+        if not len(at):
+            return []
+        text = np.searchsorted(begin, at, "right") - 1
+        order = np.lexsort((place, item, text))
+        text, item, place = text[order], item[order], place[order]
+        size = self.sizes[item[1:]]
+        apart = np.diff(place) > size + 2 * (TOLERANCE * size).astype(np.int64)
+        new = np.flatnonzero(np.diff(text).astype(bool) | np.diff(item).astype(bool) | apart) + 1
+        first = np.concatenate([[0], new])
+        last = np.concatenate([new, [len(at)]]) - 1
+        return list(zip(text[first].tolist(), item[first].tolist(), place[first].tolist(), place[last].tolist()))
 
     def leaks(self, texts: list[str | None]) -> list[list[tuple[int | None, int, int, int]]]:
         """Per text: (item id, first word, words of the item, distance)."""
         hashes, begin = word_hashes(texts)
         padded, at = _spaced(hashes, begin)
         sizes = np.diff(begin)
-        found: set[tuple[int, int]] = set()  # place in ``padded`` (rounded), item
-        for walk in range(WALKS):
-            mixed = _mixed(padded, walk)
-            for c in self.classes:
-                n = -(-sizes // c.stride)
-                first = np.repeat(at, n)
-                step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                starts = first + step * c.stride
-                for k in range(0, len(starts), WINDOWS_AT_ONCE):
-                    for place, row in c.matches(mixed, starts[k:k + WINDOWS_AT_ONCE], walk):
-                        level = (place - (row & 0xFFFF)) // PLACE_WORDS
-                        found.update(zip(level.tolist(), (row >> 16).tolist()))
         out: list[dict[int, tuple[int, int]]] = [{} for _ in texts]
-        for level, item in sorted(found):
+        for text, item, least, largest in self.candidates(padded, at):
             words = self.words[item]
-            most = int(TOLERANCE * len(words))
-            text = int(np.searchsorted(at, level * PLACE_WORDS + PLACE_WORDS + len(words) // 2, "right")) - 1
-            text = min(max(text, 0), len(texts) - 1)
-            lo = max(int(at[text]), level * PLACE_WORDS - most)
-            hi = min(int(at[text] + sizes[text]), level * PLACE_WORDS + PLACE_WORDS + len(words) + most)
+            most = tolerated(len(words))
+            lo = max(int(at[text]), least - most)
+            hi = min(int(at[text] + sizes[text]), largest + len(words) + most)
             region = padded[lo:hi]
             if np.isin(words, region).sum() < len(words) - most:
                 continue
@@ -202,17 +168,6 @@ class LeakIndex:
         ]
 
 
-def _class_of(n: int) -> int:
-    """Window words for items of n words: sizes grow by half, and an item has
-    room for the class's offsets."""
-    w = 6
-    while True:
-        nxt = w * 3 // 2
-        if nxt + nxt // 3 - 1 > n:
-            return w
-        w = nxt
-
-
 def _spaced(hashes: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Texts' words with a gap of one null word after each, and a long one at
     the end; and where each text begins there."""
@@ -224,10 +179,6 @@ def _spaced(hashes: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out, begin[:-1] + np.arange(n)
 
 
-def _mixed(words: np.ndarray, walk: int) -> np.ndarray:
-    return _mix(words + np.uint64(0x9E3779B97F4A7C15 * (walk + 1) % 2**64))
-
-
 def fit_distance(item: np.ndarray, region: np.ndarray) -> tuple[int, int]:
     """Least edit distance of ``item`` to any run of ``region``, and where the
     best run ends."""

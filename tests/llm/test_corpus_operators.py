@@ -111,6 +111,44 @@ def test_leaks_with_edits_case_and_punctuation(spark):
     assert all(r.leaks == [] for r in none.collect())
 
 
+def edited(rng, words, kind, share, fresh):
+    """``words`` with a share of edits of a kind, all over or clustered."""
+    w, k = list(words), int(share * len(words))
+    if kind == "clustered":
+        a = rng.randrange(len(w) - k + 1)
+        w[a:a + k] = [fresh() for _ in range(k)]
+    for at in sorted(rng.sample(range(len(w)), k), reverse=True) if kind != "clustered" else ():
+        w[at:at + 1] = {"delete": [], "insert": [w[at], fresh()], "replace": [fresh()]}[kind]
+    return w
+
+
+@pytest.mark.parametrize("size", [8, 11, 15, 16, 25, 39, 54, 100, 200, 420])
+def test_every_leak_within_the_tolerance_is_found(size):
+    rng = random.Random(size)
+
+    def fresh():
+        return f"w{rng.randrange(1 << 20):x}"
+
+    items = [[fresh() for _ in range(size)] for _ in range(12)]
+    index = decontamination.LeakIndex(list(range(len(items))), [" ".join(i) for i in items])
+    texts, want = [], []
+    for kind in ("delete", "insert", "replace", "clustered"):
+        for share in (0.05, 0.1, 0.2):
+            for i, item in enumerate(items):
+                around = [[fresh() for _ in range(rng.randrange(60))] for _ in range(2)]
+                texts.append(" ".join([*around[0], *edited(rng, item, kind, share, fresh), *around[1]]))
+                want.append(i)
+    words, begin = decontamination.word_hashes(texts)
+    most = int(decontamination.TOLERANCE * size)
+    recalled = brute = 0
+    for t, (i, found) in enumerate(zip(want, index.leaks(texts))):
+        best = decontamination.fit_distance(index.words[i], words[begin[t]:begin[t + 1]])[0]
+        brute += best <= most
+        recalled += [(x[0], x[3]) for x in found] == [(i, best)]
+    assert brute == len(texts)
+    assert recalled == brute
+
+
 def test_fit_distance_is_the_edit_distance_to_the_best_run():
     rng = random.Random(2)
 
