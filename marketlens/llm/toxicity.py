@@ -14,9 +14,13 @@ at least ``MIN_DOCS`` sampled toxic documents and ``MIN_RATIO`` times as often
 there as in ordinary ones.
 
 Training uses bounded samples of labelled rows (``TRAIN_TOXIC`` and
-``TRAIN_ORDINARY`` documents, ``TRAIN_CHARS`` characters of each).  The curve is
-fitted on distances to dictionaries trained without the row's half.  Every
-text is scored whole.
+``TRAIN_ORDINARY`` documents), and whole texts of those: the curve is fitted on
+distances that tasks measure on whole texts, to dictionaries trained without
+the row's half.  Dictionaries are trained on whole texts too; only if a kind's
+sampled texts exceed ``TRAIN_BYTES`` together, each gives the same share of its
+windows, spread evenly over all of it.  The ordinary dictionary takes at most
+``ORDINARY_WINDOWS`` of a text, likewise spread, so that a few long texts do
+not fill it.  Every text is scored whole.
 
 Defined results: null and empty texts have no window and score as a document
 that saves nothing; without labels of both kinds every score is 0; repeated
@@ -34,6 +38,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marketlens.session import materialize, release
+
 from .registry import load, register
 from .sample import bounded_sample, fold
 
@@ -44,7 +50,8 @@ TOXIC_BYTES = 2_048
 SEGMENT = 16  # bytes of a segment that the toxic dictionary may take
 TRAIN_TOXIC = 2_000
 TRAIN_ORDINARY = 4_000
-TRAIN_CHARS = 6_000
+TRAIN_BYTES = 16 << 20
+ORDINARY_WINDOWS = 120  # of a text, for the ordinary dictionary
 GRAMS = (8,)  # bytes
 MIN_DOCS = 3
 MIN_SHARE = 0.006
@@ -64,6 +71,20 @@ def windows(text: str | None) -> list[bytes]:
     return [b" %b " % b" ".join(w[i:i + WINDOW_WORDS]) for i in range(0, len(w), WINDOW_WORDS)]
 
 
+def spread(text: str, share: float) -> str:
+    """``text``, or that share of its windows from all over it."""
+    if share >= 1:
+        return text
+    w = windows(text)
+    return b"".join(evenly(w, max(1, int(share * len(w))))).decode()
+
+
+def evenly(w: list[bytes], most: int) -> list[bytes]:
+    """At most ``most`` of the windows, from all over the text."""
+    keep = min(most, len(w))
+    return [w[i * len(w) // keep] for i in range(keep)]
+
+
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     plain = zstandard.ZstdCompressionParameters.from_level(
         LEVEL, write_content_size=0, write_checksum=0, write_dict_id=0,
@@ -89,17 +110,18 @@ def _grams(text: bytes, size: int) -> np.ndarray:
 
 def _telling(toxic: list[bytes], ordinary: list[bytes], size: int) -> np.ndarray:
     """Grams that tell toxic documents from ordinary ones."""
-    def frequency(texts):
-        return np.unique(np.concatenate(
-            [np.unique(_grams(t, size)) for t in texts] or [np.zeros(0, np.uint64)]), return_counts=True)
-
-    grams, often = frequency(toxic)
-    other, n = frequency(ordinary)
-    at = np.minimum(np.searchsorted(other, grams), max(0, len(other) - 1))
-    there = np.where(other[at] == grams, n[at], 0) if len(other) else np.zeros(len(grams))
-    share = (there + 1) / max(1, len(ordinary))
+    grams, often = np.unique(np.concatenate(
+        [np.unique(_grams(t, size)) for t in toxic] or [np.zeros(0, np.uint64)]), return_counts=True)
     rate = often / max(1, len(toxic))
-    return grams[(often >= MIN_DOCS) & (rate >= MIN_SHARE) & (rate >= MIN_RATIO * share)]
+    common = (often >= MIN_DOCS) & (rate >= MIN_SHARE)
+    grams, rate = grams[common], rate[common]
+    there = np.zeros(len(grams))
+    for t in ordinary if len(grams) else ():
+        here = np.unique(_grams(t, size))
+        at = np.minimum(np.searchsorted(grams, here), len(grams) - 1)
+        there[at[grams[at] == here]] += 1
+    share = (there + 1) / max(1, len(ordinary))
+    return grams[rate >= MIN_RATIO * share]
 
 
 def _spans(text: bytes, telling: dict[int, np.ndarray]) -> list[bytes]:
@@ -170,23 +192,61 @@ def _with_dictionaries(toxic: list[str], ordinary: list[str]) -> ToxicityModel:
         spans = _spans(text, telling)
         samples += [b" %b " % b" ".join(spans[i:i + 8]) for i in range(0, len(spans), 8)]
     return ToxicityModel(
-        _trained(ORDINARY_BYTES, [w for t in ordinary for w in windows(t)], 32),
+        _trained(ORDINARY_BYTES, [w for t in ordinary for w in evenly(windows(t), ORDINARY_WINDOWS)], 32),
         _trained(TOXIC_BYTES, samples, SEGMENT))
 
 
-def train(toxic: list[str], ordinary: list[str]) -> ToxicityModel:
-    """Dictionaries from all texts; the curve from each half's distances to
-    dictionaries of the other half."""
-    if len(toxic) < 2 or len(ordinary) < 2:
+def _halves(rows: DataFrame) -> dict[tuple[int, int], int]:
+    """Half of each (kind, key) of the sampled rows, in turn by key."""
+    keys = sorted((r.toxic, r.k) for r in rows.select("toxic", "k").distinct().collect())
+    toxic = sum(kind for kind, _ in keys)
+    return {key: (n if key[0] == 0 else n - len(keys) + toxic) % 2 for n, key in enumerate(keys)}
+
+
+def _training_texts(rows: DataFrame) -> list:
+    """Sampled rows with the part of their text that dictionaries see."""
+    shares = {
+        r.toxic: min(1.0, TRAIN_BYTES / r.size)
+        for r in rows.groupBy("toxic").agg(F.sum(F.octet_length("text")).alias("size")).collect()}
+
+    @F.arrow_udf("string")
+    def part(kinds: pa.Array, texts: pa.Array) -> pa.Array:
+        return pa.array([spread(t, shares[y]) for y, t in zip(kinds.to_pylist(), texts.to_pylist())], pa.string())
+
+    text = F.col("text") if min(shares.values(), default=1) == 1 else part("toxic", "text")
+    return sorted(rows.select("toxic", "k", text.alias("text")).collect())
+
+
+def _measured(rows: DataFrame, models: list[ToxicityModel], halves: dict) -> list:
+    """Sampled rows with the features of their whole text, each by the model
+    of the other half."""
+
+    @F.arrow_udf("array<double>")
+    def run(kinds: pa.Array, keys: pa.Array, texts: pa.Array) -> pa.Array:
+        half = np.array([halves[key] for key in zip(kinds.to_pylist(), keys.to_pylist())], int)
+        texts = np.array(texts.to_pylist(), object)
+        out = np.zeros((len(texts), 6))
+        for h in (0, 1):
+            out[half == h] = models[1 - h].measure(texts[half == h].tolist())
+        return pa.array(out.tolist(), pa.list_(pa.float64()))
+
+    return sorted(rows.select("toxic", "k", run("toxic", "k", "text").alias("features")).collect())
+
+
+def train(rows: DataFrame) -> ToxicityModel:
+    """Dictionaries from all rows (toxic, k, text); the curve from each half's
+    distances to dictionaries of the other half."""
+    halves = _halves(rows)
+    if {(kind, half) for (kind, _), half in halves.items()} != {(0, 0), (0, 1), (1, 0), (1, 1)}:
         return ToxicityModel()
-    features, y = [], []
-    for half in (0, 1):
-        part = _with_dictionaries(toxic[half::2], ordinary[half::2])
-        held_t, held_o = toxic[1 - half::2], ordinary[1 - half::2]
-        features.append(part.measure(held_t + held_o))
-        y += [1.0] * len(held_t) + [0.0] * len(held_o)
-    model = _with_dictionaries(toxic, ordinary)
-    model.fit(np.concatenate(features), np.array(y))
+    texts = _training_texts(rows)
+
+    def of(kind: int, half: int | None = None) -> list[str]:
+        return [r.text for r in texts if r.toxic == kind and half in (None, halves[r.toxic, r.k])]
+
+    measured = _measured(rows, [_with_dictionaries(of(1, h), of(0, h)) for h in (0, 1)], halves)
+    model = _with_dictionaries(of(1), of(0))
+    model.fit(np.array([r.features for r in measured]), np.array([float(r.toxic) for r in measured]))
     return model
 
 
@@ -196,13 +256,13 @@ def train_model(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     sample = (
         bounded_sample(known.filter("toxic = 1"), F.col("doc_id"), TRAIN_TOXIC)
         .unionByName(bounded_sample(known.filter("toxic = 0"), F.col("doc_id"), TRAIN_ORDINARY)))
-    rows = (
+    rows = materialize(
         docs.join(F.broadcast(sample.select("doc_id", "toxic")), "doc_id")  # a bounded sample
-        .select("toxic", F.xxhash64("doc_id").alias("k"),
-                F.substring("text", 1, TRAIN_CHARS).alias("text"))
-        .filter(F.col("text") != "").collect())
-    rows.sort(key=lambda r: (r.k, r.text))
-    return train([r.text for r in rows if r.toxic == 1], [r.text for r in rows if r.toxic == 0])
+        .select(F.col("toxic").cast("int").alias("toxic"), F.xxhash64("doc_id").alias("k"), "text")
+        .filter(F.col("text") != ""), "toxicity-sample")
+    model = train(rows)
+    release(rows)
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", out: str = "score") -> DataFrame:

@@ -125,6 +125,35 @@ def test_toxicity_finds_planted_words(spark, edge):
     assert {r.score for r in toxicity.score_toxicity(edge, blank).collect()} == {0.0}
 
 
+def test_toxicity_learns_what_stands_late_in_a_text(spark):
+    rng = random.Random(4)
+
+    def text(toxic):
+        w = ["".join(rng.choices(["an", "er", "th", "on", "in", "es", "re"], k=rng.randint(1, 4))) for _ in range(1500)]
+        for at in rng.sample(range(1300, 1500), 12 * toxic):
+            w[at] = rng.choice(["worthless", "disgusting", "pathetic", "stupid"])
+        return " ".join(w)
+
+    docs = spark.createDataFrame([(i, text(i % 3 == 0)) for i in range(240)], "doc_id long, text string")
+    assert docs.filter(F.substring("text", 1, 6000).rlike("worthless|disgusting|pathetic|stupid")).count() == 0
+    labels = docs.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("toxic"))
+    model = toxicity.train_model(docs, labels.filter("doc_id < 160"))
+    held = toxicity.score_toxicity(docs.filter("doc_id >= 160"), model).collect()
+    assert np.mean([(r.score >= 0.5) == (r.doc_id % 3 == 0) for r in held]) > 0.95
+
+
+def test_toxicity_training_takes_windows_from_all_over_a_text(spark, monkeypatch):
+    text = " ".join(f"w{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}" for i in range(400))
+    part = toxicity.spread(text, 0.25).split()
+    assert len(part) == 12 * 8
+    places = [text.split().index(w) for w in part]
+    assert places == sorted(places) and max(np.diff(places)) <= 40 and places[-1] >= 360
+    assert toxicity.spread(text, 1.0) == text
+    monkeypatch.setattr(toxicity, "TRAIN_BYTES", 2000)
+    rows = spark.createDataFrame([(k % 2, k, text) for k in range(8)], "toxic int, k long, text string")
+    assert {len(r.text) < len(text) / 2 for r in toxicity._training_texts(rows)} == {True}
+
+
 def test_op2_digests(spark):
     from marketlens.llm.registry import load_all
 
