@@ -169,11 +169,10 @@ class LeakIndex:
 
 
 def _spaced(hashes: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Texts' words with a gap of one null word after each, and a long one at
-    the end; and where each text begins there."""
+    """Texts' words with a gap of one null word after each, and where each
+    text begins there."""
     n = len(begin) - 1
-    longest = 2 * int(np.diff(begin).max(initial=0)) + 256
-    out = np.zeros(len(hashes) + n + min(longest, 1 << 16), np.uint64)
+    out = np.zeros(len(hashes) + n, np.uint64)
     text = np.repeat(np.arange(n), np.diff(begin))
     out[np.arange(len(hashes)) + text] = hashes
     return out, begin[:-1] + np.arange(n)

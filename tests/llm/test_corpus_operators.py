@@ -149,6 +149,15 @@ def test_every_leak_within_the_tolerance_is_found(size):
     assert recalled == brute
 
 
+@pytest.mark.parametrize("size", [474, 1000])
+def test_long_items_and_a_short_document_alone(size):
+    item = " ".join(f"w{i}" for i in range(size))
+    index = decontamination.LeakIndex([7], [item])
+    for text in ("", "w0", "w0 w1 w2 w3 w4", " ".join(f"x{i}" for i in range(30))):
+        assert index.leaks([text]) == [[]]
+    assert index.leaks(["w0 w1 w2 w3 w4", item]) == [[], [(7, 0, size, 0)]]
+
+
 def test_fit_distance_is_the_edit_distance_to_the_best_run():
     rng = random.Random(2)
 
