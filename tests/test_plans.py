@@ -31,7 +31,7 @@ def test_no_cross_or_nested_loop_join(spark, name):
 
 def test_related_products_limits_groups_before_the_shuffle(spark):
     tree = plan_of(spark, "related_products").split("\n\n\n")[0]
-    assert tree.count("WindowGroupLimit") == 4  # partial + final, for both windows
+    assert tree.count("WindowGroupLimit") == 2  # partial + final of the one window
 
 
 def test_flagship_prunes_and_pre_aggregates(spark):
