@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 MODULES = ("language_id", "byte_bpe", "decontamination", "toxicity", "chat_format", "quality", "url_filter", "ngram_jaccard", "pii",
-           "fingerprint")
+           "fingerprint", "periodic_runs", "prefix_trie", "site_template")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
