@@ -197,7 +197,8 @@ def identify(docs: DataFrame, net: ByteNet, text_col: str = "text", out: str = "
             [pa.array([b[0] for b in both], pa.string()),
              pa.array([b[1] for b in both], pa.float64())], ["lang", "score"])
 
-    return docs.withColumn(out, run(F.col(text_col)))
+    once = run.asNondeterministic()  # a filter on the result must not run the network again
+    return docs.withColumn(out, once(F.col(text_col)))
 
 
 @register("op1_language_id")

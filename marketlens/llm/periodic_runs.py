@@ -40,7 +40,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .registry import load, register
@@ -272,35 +272,28 @@ _find.__annotations__ = {"texts": pa.Array, "return": pa.Array}
 def collapse_runs(docs: DataFrame, text_col: str = "text", out: str = "periodic") -> DataFrame:
     """``docs`` with a struct column ``out``: ``runs`` (by start, then period)
     and ``collapsed``, the text's kept words joined by one space."""
-    found = F.arrow_udf(_find, _RESULT).asNondeterministic()  # evaluated once
-    return docs.withColumn(out, found(F.col(text_col)))
+    return docs.withColumn(out, F.arrow_udf(_find, _RESULT)(F.col(text_col)))
 
 
-def with_planted_run(text: Column, doc_id: Column) -> Column:
-    """The text; where crc32(doc_id) ends in 0, its words from the a-th on
-    become repetitions of the first p of them."""
-    h = F.crc32(doc_id.cast("string"))
-    g = F.floor(h / 10)
-    words = F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
-
-    def planted(ws: Column) -> Column:
-        n = F.size(ws).cast("long")
-        a = (g % n).cast("int")
-        p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))
-        tail = F.transform(
-            F.sequence(F.lit(0), (n - a - 1).cast("int")),
-            lambda i: F.get(ws, (a + i % p).cast("int")))
-        return F.array_join(F.concat(F.slice(ws, F.lit(1), a), tail), " ")
-
-    changed = F.transform(F.array(words), lambda ws: F.when(F.size(ws) > 0, planted(ws)))[0]
-    return F.when(h % 10 == 0, F.coalesce(changed, text)).otherwise(text)
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): where crc32(doc_id) ends in 0, a text's words from the
+    a-th on become repetitions of the first p of them."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(
+        h % 10 == 0, F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))).alias("w"))
+    places = words.select("*", F.size("w").alias("n"), (F.col("g") % F.nullif(F.size("w"), F.lit(0))).alias("a"))
+    left = F.col("n") - F.col("a")
+    places = places.withColumn("p", F.lit(1) + F.floor(left / (F.lit(3) + F.col("g") % 8)))
+    unit = F.slice("w", (F.col("a") + 1).cast("int"), F.col("p").cast("int"))
+    tail = F.slice(F.flatten(F.array_repeat(unit, F.ceil(left / F.col("p")).cast("int"))), F.lit(1), left.cast("int"))
+    planted = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a").cast("int")), tail), " ")
+    return places.select("doc_id", F.coalesce(planted, F.col("text")).alias("text"))
 
 
 @register("op11_periodic_runs")
 def op11_periodic_runs(spark, sf_dir):
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    docs = docs.withColumn("text", with_planted_run(F.col("text"), F.col("doc_id")))
-    found = collapse_runs(docs).select("doc_id", "periodic.*")
+    found = collapse_runs(with_planted_runs(docs)).select("doc_id", "periodic.*")
     # Lengths and periods are below 2**31, so their products fit a bigint.
     best = F.reduce(
         "runs", F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>"),
