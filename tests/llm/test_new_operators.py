@@ -330,3 +330,66 @@ def test_trie_without_conversations(spark):
     assert prefix_trie.prefix_trie(prefix_trie.rebuilt(none)).count() == 0
     turnless = spark.createDataFrame([(5, bytearray()), (3, bytearray())], "conv_id long, key binary")
     assert trie_rows(turnless) == plain_trie({5: [], 3: []})
+
+
+# --- cases mended in earlier operators ------------------------------------------------------
+
+def test_iban_before_words_in_capitals():
+    from marketlens.llm import pii
+
+    text = "IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFF, then GB82 WEST 1234 5698 7654 32"
+    got = [text[a:b] for kind, a, b, *_ in pii.spans_of(text) if kind == "iban"]
+    assert got == ["DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"]
+
+
+def test_host_of_very_many_labels(spark):
+    from marketlens.llm import url_filter
+
+    rules = spark.createDataFrame([("example.org", "/a/", "block"), ("org", "/", "allow")],
+                                  "host string, path string, verdict string")
+    url = "http://" + "x." * 100_000 + "example.org/a/b"
+    pages = spark.createDataFrame([(1, url), (2, "http://org/"), (3, "http://" + "y." * 100_000)], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.filter_urls(pages, rules, default="none").collect()}
+    assert got == {1: ("example.org/a/", "block"), 2: ("org/", "allow"), 3: (None, "none")}
+
+
+def test_shared_ids_with_an_empty_row_do_not_link(spark):
+    from marketlens.llm import ngram_jaccard
+
+    rows = [(1, "one two three four five six"), (1, None), (2, "a b c d e f g"), (2, ""), (3, "  ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.component_id) for r in ngram_jaccard.link_documents(docs).collect()}
+    assert got == {(1, 1), (2, 2), (3, 3)}
+
+
+def test_short_and_unspaced_items():
+    from marketlens.llm import decontamination
+
+    han = "机器学习是人工智能的一个分支它使计算机能够从数据中学习而无需明确编程" * 2
+    items = ["The capital of France is Paris", "Paris", "no no", "", han]
+    index = decontamination.LeakIndex([0, 1, 2, 3, 4], items)
+    texts = ["They say: the capital of France is Paris!", "The capital of France was Paris", "paris", "Paris is nice",
+             "no, no", "no", "", None, f"前言。{han[:20]}{han[21:]}后记", "机器 is not 学习"]
+    got = [[x[0] for x in found] for found in index.leaks(texts)]
+    assert got == [[0], [], [1], [], [2], [], [], [], [4], []]
+
+
+@pytest.mark.parametrize("size", [8, 9, 10, 14, 15, 20, 29, 30, 35, 64, 128, 420])
+def test_recall_of_walks_and_samples(size):
+    """At least 0.9 of copies with edits of every kind at the tolerance."""
+    from marketlens.llm import decontamination as d
+
+    for kind in ("delete", "insert", "replace", "cluster"):
+        pairs = [(f"w{'_'.join(map(str, item[:1]))}", item, copy) for item, copy in d._copies(77, size, kind, 60)]
+        index = d.LeakIndex(list(range(len(pairs))), [" ".join(f"w{x}" for x in item) for _, item, _ in pairs])
+        found = index.leaks([" ".join(f"w{x}" for x in copy) for _, _, copy in pairs])
+        assert sum(any(x[0] == i for x in f) for i, f in enumerate(found)) >= 0.9 * len(pairs), kind
+
+
+def test_results_are_filtered_without_a_second_search(spark):
+    import corpus_pipeline
+
+    docs = load(spark, SF, "documents")
+    for stage in (corpus_pipeline.keep_known_languages, corpus_pipeline.drop_benchmark_leaks):
+        plan = stage(spark, docs, SF)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1
