@@ -471,7 +471,8 @@ def link_documents(
         x.filter("sx").join(y, "gram").filter(fits)
         .unionByName(x.filter("not sx").join(y.filter("sy"), "gram").filter(fits))
     ).join(stars.select("a", "b"), ["a", "b"], "left_anti"), "ngram-rest")
-    named = rows.filter(F.col("doc_id").isNotNull()).join(number, marks).select("doc_id", "node")
+    # Sets without shingles link with nothing, so they pass no link on either.
+    named = rows.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0)).join(number, marks).select("doc_id", "node")
     span = named.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z"))
     same = named.join(span.filter("a < z"), "doc_id").filter("node > a").select(
         "a", F.col("node").alias("b"))

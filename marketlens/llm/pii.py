@@ -106,9 +106,18 @@ def _phones(text: str):
 
 
 def _ibans(text: str):
-    for m in _IBAN.finditer(text):
-        if 15 <= len(m.group().replace(" ", "")) <= 34 and mod97_ok(m.group()):
-            yield m.span()
+    """The longest end at a space that mod-97 confirms, as words in capitals
+    may follow a number."""
+    m = _IBAN.search(text)
+    while m:
+        found, done = m.group(), m.end()
+        while len(found.replace(" ", "")) >= 15:
+            if len(found.replace(" ", "")) <= 34 and mod97_ok(found):
+                done = m.start() + len(found)
+                yield m.start(), done
+                break
+            found = found.rpartition(" ")[0]
+        m = _IBAN.search(text, done)
 
 
 _FINDERS = (

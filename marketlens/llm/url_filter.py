@@ -67,18 +67,23 @@ def filter_urls(
             F.length("host").alias("host_len"), "rule_verdict",
         )
     )
-    # Lengths of rule paths: one row, no longer than the longest rule path.
+    # Lengths of rule paths and label counts of rule hosts: one row each, no
+    # longer than the longest rule.  Only suffixes and prefixes of such sizes
+    # are built, so a host of very many labels costs no more than its length.
     lengths = rules.agg(F.array_sort(F.collect_set(F.length("rule") - F.col("host_len"))).alias("a"))
+    rule_host = F.substring(F.col("rule"), F.lit(1), F.col("host_len"))
+    counts = rules.agg(F.array_sort(F.collect_set(F.size(F.split(rule_host, r"\.")))).alias("a"))
     urls = pages.select(F.col(id_col), host.alias("host"), path.alias("path")).withColumns({
         "lengths": F.coalesce(lengths.scalar(), F.array().cast("array<int>")),
+        "counts": F.coalesce(counts.scalar(), F.array().cast("array<int>")),
         "labels": F.split("host", r"\."),
     })
     # Same URL parts give the same verdict: judge each distinct (host, path)
     # once, so a URL that fills a third of the table is expanded once.
-    parts = urls.select("host", "path", "labels", "lengths").distinct()
+    parts = urls.select("host", "path", "labels", "lengths", "counts").distinct()
     suffixes = F.transform(
-        F.sequence(F.lit(1), F.size("labels")),
-        lambda i: F.array_join(F.slice("labels", i, F.size("labels")), "."),
+        F.filter("counts", lambda n: n <= F.size("labels")),
+        lambda n: F.array_join(F.slice("labels", F.size("labels") - n + 1, n), "."),
     )
     prefixes = F.transform(
         F.filter("lengths", lambda n: n <= F.length("path")),
