@@ -40,7 +40,7 @@ def q_stream_page_counts(spark, root):
     shop = DriverShop(spark, root)
     out, ck = _scratch(spark, "page-counts")
     counts = live.live_page_counts(views_from_events(shop.stream("events")))
-    _run(live.write_upserts(counts, out, ck))
+    _run(live.write_upserts(counts, out, ck, keys=["window_start", "page"]))
     result = live.read_upserts(spark, out, ["window_start", "page"])
     return result.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "page", "views")
 
@@ -71,12 +71,77 @@ def q_stream_view_counters(spark, root):
     shop = DriverShop(spark, root)
     out, ck = _scratch(spark, "view-deltas")
     _run(live.write_view_deltas(views_from_events(shop.stream("events")), out, ck))
-    deltas = spark.read.parquet(out).groupBy("product_id").agg(F.sum("views").alias("_n"))
+    deltas = live.view_deltas(out).read(spark).withColumnRenamed("views", "_n")
     p = shop.products()
     return p.join(deltas, p.id == deltas.product_id, "left").select(
         "id", (F.col("views") + F.coalesce(F.col("_n"), F.lit(0))).alias("views"))
 
 
+def _delivered(spark, shop, name: str, parts: int):
+    """The event log as a stream of ``parts`` files, one a micro-batch."""
+    src, _ = _scratch(spark, name)
+    events = shop.table("events")
+    events.repartitionByRange(parts, "ts").write.parquet(src)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(src)
+
+
+@register("stream_compacted_counters", "J5", with_ctes("""
+    SELECT product_id, COUNT(*) AS views FROM s_page_views GROUP BY product_id""", "s_page_views"))
+def q_stream_compacted_counters(spark, root):
+    """View counters of 25 micro-batches through a sink folded every ten."""
+    shop = DriverShop(spark, root)
+    out, ck = _scratch(spark, "compacted-counters")
+    _run(live.write_view_deltas(views_from_events(_delivered(spark, shop, "compacted-events", 25)), out, ck))
+    return live.view_deltas(out).read(spark)
+
+
+@register("stream_live_visitors", "J3 D7", with_ctes("""
+    SELECT COALESCE(CAST(CAST(created_at AS DATE) AS VARCHAR), 'all') AS span, COUNT(*) AS views,
+           COUNT(DISTINCT session_id) AS visitors, TRUE AS within_bound
+    FROM s_page_views GROUP BY GROUPING SETS ((CAST(created_at AS DATE)), ())""", "s_page_views"))
+def q_stream_live_visitors(spark, root):
+    """Visitors of every day and of all days from merged sketches, stated
+    against the exact figure: does the estimate lie within the bound?"""
+    shop = DriverShop(spark, root)
+    out, ck = _scratch(spark, "visitors")
+    _run(live.write_visitor_sketches(views_from_events(_delivered(spark, shop, "visitor-events", 8)), out, ck, every=3))
+    sketches = live.visitor_sketches(out).read(spark)
+    span = F.coalesce(F.col("day").cast("string"), F.lit("all")).alias("span")
+    found = live.visitors_of(sketches, "day").select(span, "views", "visitors").unionByName(
+        live.visitors_of(sketches).select(F.lit("all").alias("span"), "views", "visitors"))
+    days = shop.page_views.withColumn("day", F.to_date("created_at"))
+    exact = days.groupBy("day").agg(F.count_distinct("session_id").alias("exact")).select(span, "exact").unionByName(
+        behavior.unique_visitors(days).select(F.lit("all").alias("span"), F.col("visitors").alias("exact")))
+    return found.join(exact, "span").select(
+        "span", "views", F.col("exact").alias("visitors"),
+        live.within_bound(F.col("visitors"), F.col("exact")).alias("within_bound"))
+
+
+@register("stream_deduplicated_views", "J1", with_ctes("""
+    SELECT id, session_id, user_id, page, product_id, created_at FROM s_page_views""", "s_page_views"))
+def q_stream_deduplicated_views(spark, root):
+    """Page views of a log delivered in three parts, each event twice and the
+    last half hour of a part once more with the next; the stream is stopped
+    and started between the parts and keeps each id once."""
+    shop = DriverShop(spark, root)
+    src, ck = _scratch(spark, "redelivered")
+    out, _ = _scratch(spark, "deduplicated")
+    events = shop.table("events")
+    span = events.agg(F.unix_micros(F.min("ts").cast("timestamp")).alias("a"),
+                      F.unix_micros(F.max("ts").cast("timestamp")).alias("z")).first()
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    cuts = [span.a + (span.z + 1 - span.a) * k // 3 for k in range(4)]
+    half_hour = 30 * 60 * 10**6
+    for k, (a, z) in enumerate(zip(cuts[:-1], cuts[1:])):
+        part = events.where((at >= a) & (at < z))
+        again = events.where((at >= a - half_hour) & (at < z))
+        part.unionByName(again).write.parquet(f"{src}/part{k}")
+        stream = spark.readStream.schema(events.schema).parquet(f"{src}/*")
+        views = live.dedupe_events(views_from_events(stream))
+        _run(live.write_append(views, out, ck))
+    return spark.read.parquet(out).withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
+
+
 @register("stream_page_view_capture", "J1 H3 H4", f"""
     SELECT CAST(page_id AS VARCHAR) AS session_id, CAST(NULL AS BIGINT) AS user_id, path AS page,
            TRY_CAST(NULLIF(regexp_extract(path, '{DRIVER_ID_PATTERN}', 1), '') AS BIGINT) AS product_id,

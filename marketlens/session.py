@@ -9,6 +9,7 @@ grows with the input.
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 
@@ -90,13 +91,48 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return scratch
 
 
+def _folder(spark: SparkSession, path: str):
+    """(file system, Hadoop path) of a folder, wherever it is stored."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def list_folder(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it does not exist."""
+    files, folder = _folder(spark, path)
+    return sorted(f.getPath().getName() for f in files.listStatus(folder)) if files.exists(folder) else []
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    files, folder = _folder(spark, path)
+    files.delete(folder, True)
+
+
+# Folders written by ``materialize`` that nothing has released yet.
+_HELD: set[str] = set()
+
+
+def _release_held() -> None:
+    """At the end of the driver: what its lazy results read is needed no more."""
+    from pyspark import SparkContext
+
+    spark = SparkSession.getActiveSession() if SparkContext._active_spark_context is not None else None
+    while spark is not None and _HELD:
+        remove_folder(spark, _HELD.pop())
+
+
+atexit.register(_release_held)
+
+
 def materialize(df, name: str):
     """Cut lineage by writing ``df`` as Parquet under the shared checkpoint
-    folder and reading it back (one job; survives the loss of executors)."""
+    folder and reading it back (one job; survives the loss of executors).
+    The folder goes with ``release``, or else when the driver ends."""
     import uuid
 
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    _HELD.add(path)
     df.write.parquet(path)
     out = spark.read.parquet(path)
     out._materialized_at = path
@@ -110,6 +146,5 @@ def release(*frames) -> None:
         path = getattr(df, "_materialized_at", None)
         if path is None:
             continue
-        jvm = df.sparkSession.sparkContext._jvm
-        hadoop = jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+        remove_folder(df.sparkSession, path)
+        _HELD.discard(path)

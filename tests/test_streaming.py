@@ -124,3 +124,77 @@ def test_live_visitors_close_to_exact(spark, scratch_dir):
     r = live.read_upserts(spark, out, ["window_start", "page"]).first()
     assert r.views == 4000
     assert abs(r.approx_visitors - 400) <= 0.05 * 400   # default relative error of the sketch
+
+
+def _sink_rows(sink, spark):
+    return {r.product_id: r.views for r in sink.read(spark).collect()}
+
+
+def test_fifty_batches_leave_one_snapshot_and_an_open_tail(spark, scratch_dir):
+    from marketlens.session import list_folder
+
+    views, src = _views(spark), os.path.join(scratch_dir, "views")
+    views.repartition(50, "id").write.option("maxRecordsPerFile", 2).parquet(src)
+    files = len([n for n in list_folder(spark, src) if n.startswith("part-")])
+    assert files >= 50
+    out, ck = os.path.join(scratch_dir, "out"), os.path.join(scratch_dir, "ck")
+    stream = spark.readStream.schema(S.PAGE_VIEWS).option("maxFilesPerTrigger", 1).parquet(src)
+    live.write_view_deltas(stream, out, ck, every=10).awaitTermination()
+    sink = live.view_deltas(out, every=10)
+    assert _sink_rows(sink, spark) == {0: 30, 1: 30, 2: 30, 3: 30}
+    assert len(list_folder(spark, f"{out}/_folded")) == 1
+    assert len(sink.tail(spark)) < 10 and sink.folded_through(spark) >= 39
+    # Replays of folded and of open batches change nothing.
+    wrong = spark.createDataFrame([(0, 1000)], "product_id long, views long")
+    sink.write(wrong, 3)
+    last = sink.tail(spark)[-1]
+    same = spark.read.parquet(f"{out}/batch_id={last}")
+    kept = same.collect()
+    sink.write(spark.createDataFrame(kept, same.schema), last)
+    assert _sink_rows(sink, spark) == {0: 30, 1: 30, 2: 30, 3: 30}
+
+
+def test_an_unfinished_fold_is_not_seen(spark, scratch_dir):
+    out = os.path.join(scratch_dir, "out")
+    sink = live.view_deltas(out, every=100)
+    for i in range(4):
+        sink.write(spark.createDataFrame([(1, 1), (i, 5)], "product_id long, views long"), i)
+    want = _sink_rows(sink, spark)
+    # A fold that stopped before its marker: rows but no _SUCCESS.
+    spark.createDataFrame([(9, 9)], "product_id long, views long").write.parquet(f"{out}/_folded/through=3")
+    os.remove(f"{out}/_folded/through=3/_SUCCESS")
+    assert sink.folded_through(spark) == -1 and _sink_rows(sink, spark) == want
+    sink.fold(spark)
+    assert sink.folded_through(spark) == 3 and sink.tail(spark) == [] and _sink_rows(sink, spark) == want
+
+
+def test_upserts_keep_the_last_row_of_a_key_over_folds(spark, scratch_dir):
+    from marketlens.streaming.compaction import FoldedSink, latest
+
+    sink = FoldedSink(os.path.join(scratch_dir, "out"), latest(["k"]), every=3)
+    for i in range(8):
+        rows = [(i % 3, i), (None, i), (100 + i, 0)]
+        sink.write(spark.createDataFrame(rows, "k long, v long"), i)
+    got = {r.k: r.v for r in sink.read(spark).collect()}
+    assert got == {0: 6, 1: 7, 2: 5, None: 7} | {100 + i: 0 for i in range(8)}
+
+
+def test_sketches_of_days_merge_to_any_span(spark, scratch_dir):
+    t0 = dt.datetime(2024, 1, 15, 10)
+    rows = [(i, f"s{i % 900}" if i % 10 else None, None, f"/p{i % 2}", None, t0 + dt.timedelta(minutes=i))
+            for i in range(6000)]
+    src = os.path.join(scratch_dir, "views")
+    spark.createDataFrame(rows, S.PAGE_VIEWS).repartition(9).write.parquet(src)
+    stream = spark.readStream.schema(S.PAGE_VIEWS).option("maxFilesPerTrigger", 1).parquet(src)
+    out, ck = os.path.join(scratch_dir, "out"), os.path.join(scratch_dir, "ck")
+    live.write_visitor_sketches(stream, out, ck, every=4).awaitTermination()
+    sketches = live.visitor_sketches(out).read(spark)
+    views = spark.createDataFrame(rows, S.PAGE_VIEWS)
+    for by in ((), ("page",), ("day",), ("day", "page")):
+        got = {tuple(r[c] for c in by): (r.views, r.visitors) for r in live.visitors_of(sketches, *by).collect()}
+        want = views.withColumn("day", F.to_date("created_at")).groupBy(*by).agg(
+            F.count(F.lit(1)).alias("n"), F.count_distinct("session_id").alias("v")).collect()
+        assert len(got) == len(want)
+        for r in want:
+            n, v = got[tuple(r[c] for c in by)]
+            assert n == r.n and abs(v - r.v) <= 3 * 1.04 / 64 * r.v + 1
