@@ -559,18 +559,22 @@ def _audit_tables(shop: DriverShop) -> dict:
         "users": shop.customers.unionByName(shop.artisans),
         "products": shop.products(with_owner=True),
         "orders": shop.orders,
-        "order_items": shop.order_items,
+        "order_items": shop.order_items.withColumn("id", F.col("order_id") * LINES_OF_AN_ORDER + F.col("line_number")),
         "b2b_enquiries": _enquiries(shop),
         "page_views": shop.page_views,
         "cart_actions": shop.cart_actions,
     }
 
 
+# Places of lines in an order's key range (line numbers run from 1 to 7).
+LINES_OF_AN_ORDER = 8
+CTES["s_keyed_items"] = (("s_items",), f"""
+        SELECT *, order_id * {LINES_OF_AN_ORDER} + line_number AS id FROM s_items""")
 CTES["s_users"] = (("s_customers", "s_artisans"), """
         SELECT * FROM s_customers UNION ALL SELECT * FROM s_artisans""")
 _AUDIT_SQL_TABLES = {
     "users": "s_users", "products": "s_products_owned", "orders": "s_orders",
-    "order_items": "s_items", "b2b_enquiries": "s_enquiries", "page_views": "s_page_views",
+    "order_items": "s_keyed_items", "b2b_enquiries": "s_enquiries", "page_views": "s_page_views",
     "cart_actions": "s_cart_actions",
 }
 

@@ -50,7 +50,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         FROM orders"""),
     "s_items": ((), """
         SELECT l_orderkey AS order_id, l_partkey AS product_id, l_suppkey AS supplier_id,
-               CAST(l_quantity AS INTEGER) AS quantity,
+               l_linenumber AS line_number, CAST(l_quantity AS INTEGER) AS quantity,
                CAST(CAST(CAST(FLOOR(l_extendedprice * 100 / l_quantity + 0.5) AS BIGINT)
                          AS DECIMAL(18,0)) * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(18,2)) AS price,
                CAST(l_extendedprice AS DECIMAL(18,2)) AS line_total

@@ -203,6 +203,7 @@ class DriverShop:
             F.col("l_orderkey").alias("order_id"),
             F.col("l_partkey").alias("product_id"),
             F.col("l_suppkey").alias("supplier_id"),
+            F.col("l_linenumber").alias("line_number"),
             qty.alias("quantity"),
             unit_price.alias("price"),
             money(F.col("l_extendedprice")).alias("line_total"),

@@ -171,3 +171,22 @@ def test_bulk_quote_applies_from_minimum_quantity(spark, seed):
     lines = spark.createDataFrame([(1, 4, 25), (2, 4, 5), (3, 4, 20)], "cart_id long, product_id long, quantity int")
     got = {r.cart_id: (r.unit_price, r.line_amount) for r in bulk_quote(lines, seed["products"]).collect()}
     assert got == {1: (480.0, 12000.0), 2: (600.0, 3000.0), 3: (480.0, 9600.0)}
+
+
+def test_one_missing_order_of_a_million_lines(spark, seed):
+    """Each line is a row of its own, and the counts are whole."""
+    n = 1_000_000
+    lines = spark.range(n).selectExpr("id", "999 AS order_id", "1L AS product_id", "1 AS quantity",
+                                      "CAST(1 AS DECIMAL(18,2)) AS price").withColumn("order_id", F.col("order_id").cast("long"))
+    found = quality.referential_orphans(seed["orders"], lines, seed["products"], seed["users"])
+    counts = {r.check_name: r["count"] for r in found.groupBy("check_name").count().collect()}
+    assert counts == {"line_without_order": n, "order_without_lines": seed["orders"].count()}
+    tables = {**seed, "order_items": lines}
+    audit = {(r.table_name, r.rule): r.violations for r in quality.constraint_audit(tables).collect()}
+    assert audit[("order_items", "foreign:order_id->orders.id")] == n
+    assert audit[("order_items", "unique:id")] == 0 and sum(audit.values()) == n
+
+
+def test_audit_shuffles_all_keys_once(spark, seed):
+    plan = quality.constraint_audit(dict(seed))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 3  # numbers, texts, and one row a rule and task
