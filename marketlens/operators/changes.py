@@ -13,7 +13,7 @@ from __future__ import annotations
 import functools
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.numeric import as_double, clamp_to_stock, js_or, parse_float_js, parse_int_js
@@ -117,7 +117,7 @@ class IntakeResult:
     items: DataFrame       # new order lines, price snapshot
     products: DataFrame    # products with stock taken off
     cart_events: DataFrame  # one checkout action per accepted line
-    open_lines: list[int]   # undecided lines at the start of each round, then 0
+    open_lines: list[int]   # undecided contended lines at the start of each round, then 0
 
 
 def _cart_lines(carts: DataFrame, products: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -161,7 +161,28 @@ def _cart_lines(carts: DataFrame, products: DataFrame) -> tuple[DataFrame, DataF
     return headers, good, pre_rejected
 
 
-def intake_orders(carts: DataFrame, products: DataFrame, buckets: int = 256,
+def _contended(lines: DataFrame) -> DataFrame:
+    """Lines of products that an undecided cart wants and whose demand
+    (accepted and undecided lines) exceeds the stock."""
+    wanted = lines.groupBy("product_id").agg(
+        F.sum("qty_sum").alias("_demand"), F.bool_or(~F.col("accepted")).alias("_open"), F.max("stock").alias("_stock"))
+    scarce = wanted.where(F.col("_open") & (F.col("_demand") > F.col("_stock"))).select("product_id")
+    return lines.join(scarce, "product_id", "left_semi")
+
+
+def _written(lines: DataFrame, name: str) -> tuple[DataFrame, tuple[int, int]]:
+    """The lines as a table, with the numbers of undecided lines and of all
+    lines in play (counted while they are written)."""
+    if "refused" not in lines.columns:
+        lines = lines.withColumn("refused", F.lit(False))
+    seen = Observation()
+    left = F.coalesce(~F.col("refused"), F.lit(True))
+    out = materialize(lines.observe(
+        seen, F.count_if(left & ~F.col("accepted")).alias("open"), F.count_if(left).alias("all")), name)
+    return out, (seen.get["open"], seen.get["all"])
+
+
+def intake_orders(carts: DataFrame, products: DataFrame, bucket_rows: int = 1 << 20,
                   bucket_width: int | None = None, as_of: Column | None = None) -> IntakeResult:
     """Place many orders at once with the reference's sequential stock rule.
 
@@ -171,74 +192,72 @@ def intake_orders(carts: DataFrame, products: DataFrame, buckets: int = 256,
     left after the earlier accepted carts.  Each line is checked alone, all
     are deducted; the total uses the table price.
 
-    Acceptance is sequential, so the decision runs in rounds.  Per product
+    Contention comes first: a product whose total demand fits its stock is
+    never short, so its lines leave, and a cart without other lines is accepted.
+
+    Acceptance is sequential, so what is left is decided in rounds.  Per product
     and earlier carts: ``taken`` sums accepted carts, ``maybe`` sums accepted
-    and undecided ones.  A cart is surely accepted when ``left - maybe`` is
-    enough on every line, surely refused when ``left - taken`` is short on
+    and undecided ones.  A cart is surely accepted when ``stock - maybe`` is
+    enough on every line, surely refused when ``stock - taken`` is short on
     one.  The earliest undecided cart is always decided, so every round makes
     progress; there is no cap on rounds, whose number follows the longest
     chain of carts that compete for the same stock.
 
-    A round costs what is still open: lines of refused carts leave at once,
-    accepted lines before a product's first undecided one are folded into the
-    stock ``left``, and products without an undecided line leave the loop.
-    Running sums are taken in ``buckets`` ranges of ``seq`` measured once (or
-    ranges of ``bucket_width``).  Folders of finished rounds are removed.
+    A round writes one table: the lines still in play and those of carts it
+    refused.  The next round starts from those not refused, without products
+    that are contended no more (none undecided, or what is left of the demand
+    fits), so it costs what is still open.  Running sums are taken in ranges of
+    ``seq`` of about ``bucket_rows`` lines (or of ``bucket_width``), so a
+    product that every cart wants is no single task.
     """
     spark = carts.sparkSession
     checkpoint_dir(spark)
     headers, good, pre_rejected = _cart_lines(carts, products)
-    active = materialize(
-        good.groupBy("cart_id", "seq", "product_id").agg(
-            F.sum("quantity").alias("qty_sum"), F.max("quantity").alias("qty_max"),
-            F.first("stock").cast("bigint").alias("left"),
-        ).withColumn("accepted", F.lit(False)),
-        "intake-lines")
-    bounds = None if bucket_width else seq_bounds(active, "seq", buckets)
-    decided = []
+    lines = good.groupBy("cart_id", "seq", "product_id").agg(
+        F.sum("quantity").alias("qty_sum"), F.max("quantity").alias("qty_max"),
+        F.first("stock").cast("bigint").alias("stock"),
+    ).withColumn("accepted", F.lit(False))
     open_c = ~F.col("accepted")
-    rows = [active.count()]
-    while rows[-1]:
+    state, rows = _written(_contended(lines), "intake-lines")
+    states, open_lines = [state], [rows[0]]
+    bounds = None
+    while open_lines[-1]:
+        active = state.where(~F.col("refused")).drop("refused")
+        if len(states) > 1:
+            active = _contended(active)
+        if bucket_width is None:
+            bounds = seq_bounds(active, "seq", -(-rows[1] // bucket_rows)) if rows[1] > bucket_rows else []
         sums = sum_before(
             active, "product_id", "seq",
             {"taken": F.when(F.col("accepted"), F.col("qty_sum")).otherwise(F.lit(0)),
              "maybe": F.col("qty_sum")},
             bucket_width, bounds,
         )
-        new = materialize(
+        new = (
             sums.where(open_c).groupBy("cart_id").agg(
-                F.bool_and(F.col("left") - F.col("maybe") >= F.col("qty_max")).alias("_ok"),
-                F.bool_or(F.col("left") - F.col("taken") < F.col("qty_max")).alias("_short"))
-            .where(F.col("_ok") | F.col("_short"))
-            .select("cart_id", (~F.col("_short")).alias("decision")),
-            "intake-decisions")
-        decided.append(new)
+                F.bool_and(F.col("stock") - F.col("maybe") >= F.col("qty_max")).alias("_ok"),
+                F.bool_or(F.col("stock") - F.col("taken") < F.col("qty_max")).alias("_short"))
+            .where(F.col("_ok") | F.col("_short")))
         judged = (
             active.join(new, "cart_id", "left")
-            .where(F.col("accepted") | F.coalesce("decision", F.lit(True)))
-            .withColumn("accepted", F.col("accepted") | F.coalesce("decision", F.lit(False)))
-            .drop("decision"))
-        first = judged.where(open_c).groupBy("product_id").agg(F.min("seq").alias("_first"))
-        still = judged.join(first, "product_id")
-        before = F.col("seq") < F.col("_first")
-        folded = still.where(before).groupBy("product_id").agg(F.sum("qty_sum").alias("_used"))
-        after = materialize(
-            still.where(~before).join(folded, "product_id", "left")
-            .withColumn("left", F.col("left") - F.coalesce("_used", F.lit(0)))
-            .drop("_first", "_used"),
-            "intake-round")
-        release(active)
-        active = after
-        rows.append(active.where(open_c).count())
-        if rows[-1] >= rows[-2]:
+            .withColumn("refused", open_c & F.coalesce("_short", F.lit(False)))
+            .withColumn("accepted", F.col("accepted") | F.coalesce(F.col("_ok") & ~F.col("_short"), F.lit(False)))
+            .drop("_ok", "_short"))
+        state, rows = _written(judged, "intake-round")
+        states.append(state)
+        open_lines.append(rows[0])
+        if open_lines[-1] >= open_lines[-2]:
             raise RuntimeError("order intake made no progress")
-    release(active)
-    none = good.select("cart_id", F.lit(False).alias("decision")).limit(0)
-    verdicts = functools.reduce(DataFrame.unionByName, decided, none)
-
+    refused = functools.reduce(DataFrame.unionByName, states).where("refused").select("cart_id").distinct()
+    verdicts = good.select("cart_id").distinct().join(
+        refused.withColumn("_refused", F.lit(True)), "cart_id", "left").select(
+        "cart_id", F.col("_refused").isNull().alias("decision"))
     # Exact reasons: with every decision final, ``taken`` is the stock used.
-    settled = materialize(good.join(verdicts, "cart_id"), "intake-settled")
+    settled = good.join(verdicts, "cart_id")
     accepted_c = F.col("decision")
+    if bucket_width is None:
+        buckets = -(-good.count() // bucket_rows)
+        bounds = seq_bounds(good, "seq", buckets) if buckets > 1 else []
     grouped = settled.groupBy("cart_id", "seq", "product_id").agg(
         F.sum("quantity").alias("qty_sum"), F.first("decision").alias("decision"))
     final = sum_before(
@@ -246,7 +265,7 @@ def intake_orders(carts: DataFrame, products: DataFrame, buckets: int = 256,
         {"taken": F.when(accepted_c, F.col("qty_sum")).otherwise(F.lit(0))}, bucket_width, bounds,
     ).select("cart_id", "product_id", "taken")
     lines = materialize(settled.join(final, ["cart_id", "product_id"]), "intake-final-lines")
-    release(settled, *decided)
+    release(*states)
     short_reason = (
         lines.where(~accepted_c & (F.col("stock") - F.col("taken") < F.col("quantity")))
         .groupBy("cart_id")
@@ -288,7 +307,7 @@ def intake_orders(carts: DataFrame, products: DataFrame, buckets: int = 256,
         F.col("customer_id").alias("user_id"), "product_id", F.lit("checkout").alias("action"),
         "quantity", created.alias("created_at"), "cart_id", "pos",
     )
-    return IntakeResult(decisions, new_orders, new_items, new_products, events, rows)
+    return IntakeResult(decisions, new_orders, new_items, new_products, events, open_lines)
 
 
 # --- I5: enquiry intake --------------------------------------------------------------

@@ -25,7 +25,11 @@ def sum_before(df: DataFrame, key: str, order: str, values: dict[str, "F.Column"
     ``bucket_width``: the running sum runs inside each (key, bucket), bucket
     totals are summed per key (one row per bucket), and the two are added.  ``order`` must be an integral column,
     unique within a key.
+    Without cut points there is one bucket, whose running sum is the result.
     """
+    if bounds is not None and not bounds:
+        w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.select("*", *[F.coalesce(F.sum(v).over(w), F.lit(0)).alias(n) for n, v in values.items()])
     if bounds is not None:
         cuts = F.array(*[F.lit(b) for b in bounds]).cast("array<bigint>")
         bucket = F.size(F.filter(cuts, lambda b: b <= F.col(order))).cast("bigint")
