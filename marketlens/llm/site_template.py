@@ -14,7 +14,8 @@
   adverts, forms, reader comments; scripts, styles and comments.  If the page
   declares an ``article`` or ``main``, text outside them goes as well.
 
-Inside a declared article only boxes (``div``, ``section`` and the like) can be
+Elements inside one that is declared no article go with it and are not counted
+themselves.  Inside a declared article only boxes (``div``, ``section`` and the like) can be
 template: a paragraph, heading, list or table there is the article's own even
 if many articles share it, such as a licence line.  The page's root, its
 article and what encloses it are never template.
@@ -40,6 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .registry import load, register
 
 MIN_PAGES = 5  # different surroundings that make a subtree part of the template
@@ -266,8 +268,8 @@ class Page:
         digest = top.hash.digest()
         above.hash.update(digest)
         above.texts += top.texts
-        if top.tag in INLINE or top.tag in ("html", "body") or top.holds_main:
-            return
+        if top.tag in INLINE or top.tag in ("html", "body") or top.holds_main or above.gone:
+            return  # the last: it goes with what it is in
         if top.in_main and top.tag not in BOXES:
             return
         value = int.from_bytes(digest, "big", signed=True)
@@ -331,17 +333,20 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """``pages`` with a column ``out``: the page's main text."""
     rows = pages.select(F.struct(*[pages[c] for c in pages.columns]).alias("row"))
     field = lambda c: F.col("row").getField(c)
-    rows = rows.select(
-        "row", field(html_col).alias("html"), site_of(field(url_col)).alias("host")).withColumn(
-        "key", F.struct(F.coalesce(field(id_col).cast("string"), F.lit("")).alias("id"),
-                        "host", F.xxhash64("html").alias("content")))
+    host = site_of(field(url_col))
+    # 128 bits name a row; equal rows share what is deleted from them.
+    of_row = [field(id_col), host, field(html_col)]
+    key = F.struct(F.xxhash64(*of_row).alias("a"), F.xxhash64(F.lit(1), *of_row).alias("b"))
     pairs = F.arrow_udf(_subtrees, _PAIRS).asNondeterministic()  # evaluated once, though explode filters
-    found = rows.where(F.col("host") != "").select("key", "host", F.explode(pairs("html")).alias("p")).select(
-        "key", "host", "p.*")
+    found = rows.where(host != "").select(
+        key.alias("key"), host.alias("host"), F.explode(pairs(field(html_col))).alias("p"))
+    # Written once: read for the counts and for the pages they concern.
+    found = materialize(found.select("key", "host", "p.*"), "page-subtrees")
     hits = found.select("key", "host", "subtree").join(site_templates(found, min_pages), ["host", "subtree"])
     deleted = hits.groupBy("key").agg(F.collect_set("subtree").alias("deleted"))
     text = F.arrow_udf(_texts, "string").asNondeterministic()
-    return rows.join(deleted, "key", "left").select("row.*", text("html", "deleted").alias(out))
+    return rows.withColumn("key", key).join(deleted, "key", "left").select(
+        "row.*", text(field(html_col), "deleted").alias(out))
 
 
 @register("op12_html_extraction")
