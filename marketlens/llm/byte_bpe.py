@@ -20,6 +20,7 @@ every input row gives one output row; texts of any length are encoded whole.
 from __future__ import annotations
 
 import base64
+from collections.abc import Iterable
 from itertools import islice
 
 import numpy as np
@@ -28,6 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .memory import give_back
 from .registry import load, register
 
 CACHE_PIECES = 200_000
@@ -67,7 +69,7 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         self._pairs: dict[int, int] | None = None
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         out, held, chars = [], [], 0
         for text in texts:
@@ -240,10 +242,13 @@ def tokenize(
         if not made:
             made.append(Encoder(vocabulary))
         encoder = made[0]
-        ids = encoder.encode(texts.to_pylist())
+        ids = encoder.encode(t.as_py() for t in texts)
         back = [encoder.decode(i) if decode else None for i in ids]
-        return pa.StructArray.from_arrays(
+        out = pa.StructArray.from_arrays(
             [pa.array(ids, pa.binary()), pa.array(back, pa.binary())], ["ids", "decoded"])
+        del ids, back
+        give_back()
+        return out
 
     return docs.withColumn(out, run(F.col(text_col)))
 

@@ -49,6 +49,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ngram_jaccard import _mix
+from .memory import give_back
 from .registry import load, register
 
 TOLERANCE = 0.2
@@ -419,6 +420,7 @@ def _leak_function(index: LeakIndex):
                 held, size = [], 0
         if held:
             out += index.leaks(held)
+        give_back()
         return pa.array([[dict(zip(_NAMES, x)) for x in row] for row in out], _ARROW_LEAK)
 
     run.__annotations__ = {"texts": pa.Array, "return": pa.Array}

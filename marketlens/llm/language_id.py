@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .memory import give_back
 from .registry import load, register
 from .sample import bounded_sample, fold
 
@@ -193,6 +194,7 @@ def identify(docs: DataFrame, net: ByteNet, text_col: str = "text", out: str = "
             flush()
         found = iter(zip(langs, scores))
         both = [next(found) if k else (UNKNOWN, 0.0) for k in known]
+        give_back()
         return pa.StructArray.from_arrays(
             [pa.array([b[0] for b in both], pa.string()),
              pa.array([b[1] for b in both], pa.float64())], ["lang", "score"])

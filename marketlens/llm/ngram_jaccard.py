@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 
 from marketlens.session import materialize
 
+from .memory import give_back
 from .registry import load, register
 
 WORDS = 5
@@ -218,6 +219,7 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, fragments: int) -> Data
                         held = 0
         if sets:
             yield flush()
+        give_back()
 
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, _ROW)
 
@@ -318,6 +320,7 @@ def _prefixes(counted: DataFrame) -> DataFrame:
             grams = [gram[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
             out.append(_rows(CUT, n[doc[at]], marks[doc[at]], cut=cut[at].astype(np.int32),
                              grams=pa.array(grams, pa.binary())))
+        give_back()
         return pa.concat_tables(out)
 
     return counted.groupBy("block").applyInArrow(run, _OUT)

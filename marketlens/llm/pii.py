@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .memory import give_back
 from .registry import load, register
 
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -182,7 +183,9 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_
 
     @F.arrow_udf("string")
     def clean(texts: pa.Array) -> pa.Array:
-        return pa.array([redacted(t.as_py()) for t in texts], pa.string())
+        out = pa.array([redacted(t.as_py()) for t in texts], pa.string())
+        give_back()
+        return out
 
     out = docs.withColumn(text_col, clean(F.col(text_col)))
     if length_col and length_col in docs.columns:
