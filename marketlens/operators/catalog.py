@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import as_double
 from ..functions.text import PRODUCT_TEXT_MAX, ascii_lower, sanitize
+from .customers import newest_first, owned_rows
+from .windows import RangeRanked
 
 ALL_CATEGORIES = "All"
 LIKE_ESCAPE = "!"
@@ -78,6 +80,45 @@ def catalog_page_after(products: DataFrame, users: DataFrame, after_views: int,
     return _catalog_columns(page.orderBy(F.col("views").desc(), F.col("id").asc()).limit(limit))
 
 
+class PageDirectory:
+    """Deep pages of one listing (B1, F2): the filtered catalogue written once in
+    page order, so that any page is read from the one or two ranges that hold it.
+
+    ``page(n)`` equals ``catalog_page(..., limit=size, offset=n * size)`` without
+    sorting what comes before it.
+    """
+
+    def __init__(self, products: DataFrame, users: DataFrame, category: str | None = None,
+                 search: str | None = None, size: int = 20):
+        self.size = size
+        self.order = [F.col("views").desc(), F.col("id").asc()]
+        listing = _catalog_columns(with_artisan(filter_catalog(products, category, search), users))
+        self.listing = RangeRanked(listing, self.order, "catalog-pages")
+
+    @property
+    def pages(self) -> int:
+        return -(-self.listing.total // self.size)
+
+    def page(self, number: int) -> DataFrame:
+        return self.listing.between(number * self.size, self.size).orderBy(*self.order)
+
+    def start_keys(self) -> DataFrame:
+        """First row of every page, the key that keyset paging continues from."""
+        return self.listing.ranked().where(F.col("rank") % self.size == 0).select(
+            F.floor(F.col("rank") / self.size).alias("page"), "views", "id")
+
+
+def own_products(products: DataFrame, principals: DataFrame) -> DataFrame:
+    """Each artisan's own products, newest first (B9, batch form)."""
+    return newest_first(owned_rows(products, "artisan_id", principals))
+
+
+def all_products(products: DataFrame, users: DataFrame) -> DataFrame:
+    """The admin's list of products with the artisan's name, newest first."""
+    a = users.select(F.col("id").alias("artisan_id"), F.col("name").alias("artisan_name"))
+    return newest_first(products.join(a, "artisan_id"))
+
+
 def _catalog_columns(df: DataFrame) -> DataFrame:
     return df.select(
         "id", "name", "description", as_double(F.col("price")).alias("price"),
@@ -127,19 +168,26 @@ def order_detail(orders: DataFrame, items: DataFrame, products: DataFrame, users
     )
 
 
-def related_products(products: DataFrame, k: int = 4) -> DataFrame:
+def related_products(products: DataFrame, k: int = 4, users: DataFrame | None = None) -> DataFrame:
     """Up to ``k`` other products of the same category, lowest ids first.
 
+    With ``users``, products whose artisan is gone neither relate nor are
+    related, and the related product's artisan is named.
+
     The k others of any product are always among the first k+1 of its
     category, so only those are kept per category (a partial top-(k+1)
     runs before the shuffle), then joined back on category: linear, exact.
     """
+    if users is not None:
+        a = users.select(F.col("id").alias("artisan_id"), F.col("name").alias("artisan_name"))
+        products = products.select("id", "category", "artisan_id").join(a, "artisan_id")
+    named = ["artisan_name"] if users is not None else []
     w_cat = Window.partitionBy("category").orderBy("id")
     firsts = (
-        products.select("id", "category")
+        products.select("id", "category", *named)
         .withColumn("cat_rank", F.row_number().over(w_cat))
         .where(F.col("cat_rank") <= k + 1)
-        .select(F.col("id").alias("related_id"), "category", "cat_rank")
+        .select(F.col("id").alias("related_id"), "category", "cat_rank", *named)
     )
     pairs = (
         products.select(F.col("id").alias("product_id"), "category")
@@ -151,7 +199,7 @@ def related_products(products: DataFrame, k: int = 4) -> DataFrame:
     return (
         pairs.withColumn("position", F.col("cat_rank") - follows)
         .where(F.col("position") <= k)
-        .select("product_id", "related_id", "position")
+        .select("product_id", "related_id", "position", *named)
     )
 
 

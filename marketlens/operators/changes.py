@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import as_double, clamp_to_stock, js_or, parse_float_js, parse_int_js
 from ..functions.text import ENQUIRY_TEXT_MAX, PRODUCT_TEXT_MAX, USER_TEXT_MAX, email_ok, sanitize
 from ..session import checkpoint_dir, materialize, release
-from .windows import last_per_key, seq_bounds, sum_before
+from .windows import RangeRanked, last_per_key, seq_bounds, sum_before
 
 # Allowed states, defaults and roles.
 ORDER_STATUSES = ["pending", "confirmed", "shipped", "delivered", "cancelled"]
@@ -33,7 +33,11 @@ DEFAULT_IMAGE_URL = "/frontend/images/placeholder.jpg"
 DEFAULT_PAYMENT = "mock_payment"
 NEW_ORDER_STATUS = "confirmed"
 NEW_ENQUIRY_STATUS = "pending"
-LINE_ROOM = 1 << 16  # places of lines within one order's id range
+
+
+def _created(as_of: Column | None) -> Column:
+    """Creation time of new rows: the time of the run, or what the caller states."""
+    return (F.current_timestamp() if as_of is None else as_of).cast("timestamp_ntz")
 
 
 def _replace(df: DataFrame, updates: dict[str, Column]) -> DataFrame:
@@ -112,12 +116,46 @@ def cancel_orders(requests: DataFrame, orders: DataFrame, items: DataFrame,
 
 @dataclass
 class IntakeResult:
+    """What order intake decided.  Rows for the orders, lines and cart events
+    tables are made when asked for; their ids follow the largest ids those
+    tables hold (``last_ids``) without gaps, in the order of carts and places."""
+
     decisions: DataFrame   # cart_id, seq, accepted, reason, total_amount
-    orders: DataFrame      # new orders
-    items: DataFrame       # new order lines, price snapshot
     products: DataFrame    # products with stock taken off
-    cart_events: DataFrame  # one checkout action per accepted line
-    open_lines: list[int]   # undecided contended lines at the start of each round, then 0
+    open_lines: list[int]  # undecided contended lines at the start of each round, then 0
+    accepted_carts: DataFrame  # columns of an order without id, cart_id, seq
+    accepted_lines: DataFrame  # cart_id, seq, pos, product_id, quantity, price
+    last_ids: dict[str, Column | int]
+
+    def _next_id(self, table: str) -> Column:
+        last = self.last_ids.get(table, 0)
+        return F.coalesce(last if isinstance(last, Column) else F.lit(last), F.lit(0)) + 1 + F.col("_rank")
+
+    @functools.cached_property
+    def orders(self) -> DataFrame:
+        """New orders."""
+        ranked = RangeRanked(self.accepted_carts, ["seq", "cart_id"], "intake-orders").ranked("_rank")
+        return ranked.select(self._next_id("orders").alias("id"), *self.accepted_carts.columns)
+
+    @functools.cached_property
+    def _lines(self) -> DataFrame:
+        carts = self.orders.select("cart_id", F.col("id").alias("order_id"), "customer_id", "created_at")
+        return RangeRanked(self.accepted_lines.join(carts, "cart_id"), ["seq", "cart_id", "pos"],
+                           "intake-lines").ranked("_rank")
+
+    @property
+    def items(self) -> DataFrame:
+        """New order lines with the price of the day."""
+        return self._lines.select(self._next_id("order_items").alias("id"), "order_id", "product_id",
+                                  "quantity", "price")
+
+    @property
+    def cart_events(self) -> DataFrame:
+        """One checkout action per accepted line."""
+        return self._lines.select(
+            self._next_id("cart_actions").alias("id"), F.col("cart_id").cast("string").alias("session_id"),
+            F.col("customer_id").alias("user_id"), "product_id", F.lit("checkout").alias("action"),
+            "quantity", "created_at")
 
 
 def _cart_lines(carts: DataFrame, products: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -183,7 +221,8 @@ def _written(lines: DataFrame, name: str) -> tuple[DataFrame, tuple[int, int]]:
 
 
 def intake_orders(carts: DataFrame, products: DataFrame, bucket_rows: int = 1 << 20,
-                  bucket_width: int | None = None, as_of: Column | None = None) -> IntakeResult:
+                  bucket_width: int | None = None, as_of: Column | None = None,
+                  last_ids: dict[str, Column | int] | None = None) -> IntakeResult:
     """Place many orders at once with the reference's sequential stock rule.
 
     Carts are taken in ``seq`` order.  A cart is refused when it has no usable
@@ -209,6 +248,10 @@ def intake_orders(carts: DataFrame, products: DataFrame, bucket_rows: int = 1 <<
     fits), so it costs what is still open.  Running sums are taken in ranges of
     ``seq`` of about ``bucket_rows`` lines (or of ``bucket_width``), so a
     product that every cart wants is no single task.
+
+    ``last_ids``: the largest id of the tables ``orders``, ``order_items`` and
+    ``cart_actions`` that the new rows will join (a number or a scalar column;
+    0 where left out or NULL).
     """
     spark = carts.sparkSession
     checkpoint_dir(spark)
@@ -273,10 +316,7 @@ def intake_orders(carts: DataFrame, products: DataFrame, bucket_rows: int = 1 <<
                       F.col("pos")).alias("reason"))
     )
     acc_lines = lines.where(accepted_c)
-    created = (F.current_timestamp() if as_of is None else as_of).cast("timestamp_ntz")
-    # A line's id comes from its order and place: no two lines share one while
-    # a cart has fewer than LINE_ROOM lines and ids stay below 2**63 / LINE_ROOM.
-    line_id = F.col("cart_id") * F.lit(LINE_ROOM) + F.col("pos")
+    created = _created(as_of)
     totals = acc_lines.groupBy("cart_id").agg(F.sum(F.col("price") * F.col("quantity")).alias("total_amount"))
     reasons = pre_rejected.unionByName(short_reason)
     decisions = (
@@ -288,36 +328,32 @@ def intake_orders(carts: DataFrame, products: DataFrame, bucket_rows: int = 1 <<
     new_orders = (
         headers.join(totals, "cart_id")
         .select(
-            F.col("cart_id").alias("id"), "customer_id", "total_amount",
+            "customer_id", "total_amount",
             F.lit(NEW_ORDER_STATUS).alias("status"),
             js_or(F.col("payment_method"), DEFAULT_PAYMENT, text=True).alias("payment_method"),
             F.coalesce(F.col("shipping_address"), F.lit("")).alias("shipping_address"),
-            created.alias("created_at"), "seq",
+            created.alias("created_at"), "seq", "cart_id",
         )
     )
-    new_items = acc_lines.select(
-        line_id.alias("id"), F.col("cart_id").alias("order_id"), "product_id", "quantity", "price", "pos")
     used = acc_lines.groupBy("product_id").agg(F.sum("quantity").alias("_used"))
     new_products = _replace(
         products.join(used, products.id == used.product_id, "left"),
         {"stock": F.col("stock") - F.coalesce(F.col("_used"), F.lit(0))},
     ).select(*products.columns)
-    events = acc_lines.join(headers.select("cart_id", "customer_id"), "cart_id").select(
-        line_id.alias("id"), F.col("cart_id").cast("string").alias("session_id"),
-        F.col("customer_id").alias("user_id"), "product_id", F.lit("checkout").alias("action"),
-        "quantity", created.alias("created_at"), "cart_id", "pos",
-    )
-    return IntakeResult(decisions, new_orders, new_items, new_products, events, open_lines)
+    return IntakeResult(
+        decisions, new_products, open_lines, new_orders,
+        acc_lines.select("cart_id", "seq", "pos", "product_id", "quantity", "price"), last_ids or {})
 
 
 # --- I5: enquiry intake --------------------------------------------------------------
 
-def intake_enquiries(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+def intake_enquiries(raw: DataFrame, as_of: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """Wholesale enquiries -> (accepted rows, rejected rows).
 
     Company, contact and email are required; the email shape is tested on
     the raw text, before sanitising; every text field is sanitised to 1000
-    characters; quantity is ``parseInt``-ed when given, else NULL.
+    characters; quantity is ``parseInt``-ed when given, else NULL.  ``as_of``
+    (a column of ``raw`` or a constant) is the time of creation, else now.
     """
     missing = (js_or(_text("company_name"), None, text=True).isNull()
                | js_or(_text("contact_person"), None, text=True).isNull()
@@ -337,6 +373,7 @@ def intake_enquiries(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.when(qty.isNotNull(), parse_int_js(qty)).alias("quantity"),
         sanitize(F.coalesce(_text("message"), F.lit("")), n).alias("message"),
         F.lit(NEW_ENQUIRY_STATUS).alias("status"),
+        _created(as_of).alias("created_at"),
     )
     rejected = tagged.where(F.col("reason").isNotNull()).select("id", "reason")
     return accepted, rejected
@@ -344,7 +381,8 @@ def intake_enquiries(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 # --- I8: registration ----------------------------------------------------------------
 
-def intake_users(raw: DataFrame, users: DataFrame) -> tuple[DataFrame, DataFrame]:
+def intake_users(raw: DataFrame, users: DataFrame, as_of: Column | None = None
+                 ) -> tuple[DataFrame, DataFrame]:
     """Registrations -> (accepted users, rejected rows) (I8).
 
     Name, email and role are required; role must be customer or artisan;
@@ -378,6 +416,7 @@ def intake_users(raw: DataFrame, users: DataFrame) -> tuple[DataFrame, DataFrame
         _text("role").alias("role"),
         sanitize(F.coalesce(_text("phone"), F.lit("")), n).alias("phone"),
         sanitize(F.coalesce(_text("address"), F.lit("")), n).alias("address"),
+        _created(as_of).alias("created_at"),
         "seq",
     )
     rejected = (
@@ -417,8 +456,8 @@ def apply_view_counts(products: DataFrame, view_events: DataFrame) -> DataFrame:
 
 # --- I6, I7: product upsert and deletes ---------------------------------------------------
 
-def upsert_products(products: DataFrame, changes: DataFrame, principals: DataFrame
-                    ) -> tuple[DataFrame, DataFrame]:
+def upsert_products(products: DataFrame, changes: DataFrame, principals: DataFrame,
+                    as_of: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """Create or edit products -> (products, rejected).
 
     ``changes``: seq, product_id (NULL = create), requester_id and the form
@@ -426,7 +465,8 @@ def upsert_products(products: DataFrame, changes: DataFrame, principals: DataFra
     artisan only their own.  A create needs name, price and category and
     takes the reference's defaults; an edit replaces every field, the last
     edit per product wins.  New ids follow the largest id in the order of
-    ``seq``, the smallest ``seq`` of the creates coming first.
+    ``seq``, the smallest ``seq`` of the creates coming first; ``as_of`` is
+    their time of creation, else now.
     """
     n = PRODUCT_TEXT_MAX
     who = principals.select(F.col("user_id").alias("requester_id"), F.col("role").alias("_role"))
@@ -474,6 +514,7 @@ def upsert_products(products: DataFrame, changes: DataFrame, principals: DataFra
         sanitize(js_or(_text("image_url"), DEFAULT_IMAGE_URL, text=True), n).alias("image_url"),
         F.coalesce(parse_int_js(js_or(_text("stock"), None, text=True)), F.lit(DEFAULT_STOCK)).alias("stock"),
         F.lit(0).cast("bigint").alias("views"),
+        _created(as_of).alias("created_at"),
     )
     edits = last_per_key(
         ok.where(~is_create).select(

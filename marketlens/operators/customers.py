@@ -34,13 +34,32 @@ def owned_rows(df: DataFrame, owner_col: str, principals: DataFrame) -> DataFram
     """Batch form of B5 for non-admin principals: each row paired with the
     principal that owns it (an equi-join, no pairs beyond ownership).
 
-    Admins see every row; pairing them with all rows would only copy the
-    table, so callers use :func:`visible_rows` for an admin session.
+    An admin sees every row; pairing admins with all rows would only copy the
+    table, so an admin among the principals is an error.  :func:`session_scopes`
+    takes principals of any role, :func:`visible_rows` one session.
     """
-    p = principals.where(F.col("role") != ADMIN).select(F.col("user_id").alias("viewer_id"))
+    viewer = F.when(F.col("role") == ADMIN, F.raise_error(F.lit("an admin owns no rows: use session_scopes")))
+    p = principals.select(viewer.otherwise(F.col("user_id")).alias("viewer_id"))
     return df.join(p, df[owner_col] == p.viewer_id)
 
 
+def session_scopes(df: DataFrame, owner_col: str, principals: DataFrame) -> DataFrame:
+    """What each principal may see of ``df`` (B5): scope ``all`` for admins and
+    ``own`` for others, with the number of visible rows.
+
+    Rows are counted per owner before the join; the count of all rows is a
+    scalar, so no row is paired with an admin.
+    """
+    own = df.groupBy(F.col(owner_col).alias("user_id")).agg(F.count(F.lit(1)).alias("_own"))
+    everything = df.select(F.count(F.lit(1))).scalar()
+    is_admin = F.col("role") == ADMIN
+    return principals.join(own, "user_id", "left").select(
+        F.col("user_id").alias("viewer_id"), "role",
+        F.when(is_admin, F.lit("all")).otherwise(F.lit("own")).alias("scope"),
+        F.when(is_admin, everything).otherwise(F.coalesce("_own", F.lit(0))).alias("visible_rows"),
+    )
+
+
 def orders_with_customer(orders: DataFrame, users: DataFrame) -> DataFrame:
     """Orders with the customer's name and email; orders of a deleted user drop out."""
     u = users.select(F.col("id").alias("customer_id"), F.col("name").alias("customer_name"),

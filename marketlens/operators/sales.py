@@ -206,6 +206,11 @@ def line_sales_trend(lines: DataFrame) -> DataFrame:
     )
 
 
+def last_days(trend: DataFrame, k: int = 7) -> DataFrame:
+    """The last ``k`` entries of a trend, oldest first."""
+    return trend.orderBy(F.col("date").desc()).limit(k).orderBy("date")
+
+
 # Segment thresholds (line count, revenue) and the labels.
 CHAMPION_MIN_LINES = 5
 CHAMPION_MIN_REVENUE = 10000

@@ -57,6 +57,55 @@ def sum_before(df: DataFrame, key: str, order: str, values: dict[str, "F.Column"
     return out.drop(*drop)
 
 
+PLACE_BITS = 33  # monotonically_increasing_id: partition above, row below
+
+
+class RangeRanked:
+    """Rows written once in the total order of ``order``, one file a range.
+
+    Rows are dealt to ranges of the order (one shuffle), sorted there and
+    written with their place, ``_place`` = range and row within it.  Only the
+    rows of each range are counted on the driver (one number a shuffle
+    partition), which turns a place into a rank over all rows and a rank into
+    the range that holds it.  ``order`` must name a total order, so equal keys
+    that fill a range are no concern: the last key is unique.
+    """
+
+    def __init__(self, df: DataFrame, order: list, name: str):
+        from ..session import materialize
+
+        self.rows = materialize(
+            df.repartitionByRange(*order).sortWithinPartitions(*order)
+            .withColumn("_place", F.monotonically_increasing_id()), name)
+        self.columns = df.columns
+        counts = self.rows.groupBy(F.shiftright("_place", PLACE_BITS).alias("r")).count().collect()
+        self.ranges, self.total = [], 0
+        for r, n in sorted((c["r"], c["count"]) for c in counts):
+            self.ranges.append((r, self.total, n))
+            self.total += n
+
+    def ranked(self, out: str = "rank") -> DataFrame:
+        """All rows with their rank from 0; one row a range is broadcast."""
+        starts = self.rows.sparkSession.createDataFrame(
+            [(r, first) for r, first, _ in self.ranges], "_range bigint, _first bigint")
+        place = F.col("_place").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+        return (
+            self.rows.withColumn("_range", F.shiftright("_place", PLACE_BITS))
+            .join(F.broadcast(starts), "_range")
+            .select(*self.columns, (F.col("_first") + place).alias(out))
+        )
+
+    def between(self, first: int, count: int) -> DataFrame:
+        """The rows of ranks ``first`` up to ``first + count``, unsorted; files of
+        other ranges are skipped by the least and greatest place they hold."""
+        wanted = F.lit(False)
+        for r, start, n in self.ranges:
+            low, high = max(first - start, 0), min(first + count - start, n) - 1
+            if low <= high:
+                wanted = wanted | F.col("_place").between((r << PLACE_BITS) + low, (r << PLACE_BITS) + high)
+        return self.rows.where(wanted).select(*self.columns)
+
+
 def last_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
     """The row with the greatest ``order`` per key, as a partial aggregate.
 

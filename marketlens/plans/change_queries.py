@@ -13,15 +13,26 @@ from pyspark.sql import functions as F
 
 from ..functions.text import first_at_token
 from ..operators import changes, customers, kpis, quality
-from ..sources.adapter import DriverShop
+from ..sources.adapter import ADMIN_BASE, ARTISAN_BASE, DriverShop
 from .oracle import CTES, sql_email_ok, sql_falsy, sql_sanitize, with_ctes
 from .registry import register
 from .shop_queries import DRIVER_ID_PATTERN
 
 
+# Places of lines in a stored order's key range (line numbers run from 1 to 7).
+LINES_OF_AN_ORDER = 8
+AS_OF = "2024-01-01 00:00:00"  # the business time of the intakes
+
+
+def _as_of(seconds=None):
+    start = F.lit(AS_OF).cast("timestamp_ntz")
+    return start if seconds is None else start + F.make_dt_interval(secs=F.col(seconds))
+
+
 def _enquiries(shop: DriverShop):
-    accepted, _ = changes.intake_enquiries(shop.raw_enquiries)
-    return accepted.withColumn("created_at", F.lit(None).cast("timestamp_ntz"))
+    # Forms arrive one a second, in the order of their ids.
+    accepted, _ = changes.intake_enquiries(shop.raw_enquiries, _as_of("id"))
+    return accepted
 
 
 # --- I3: order status changes --------------------------------------------------------
@@ -82,11 +93,11 @@ def q_order_status_rejected(spark, root):
 # --- I4, I5, B9: enquiries -----------------------------------------------------------------
 
 @register("enquiry_intake", "I5 H1 H2 H13", with_ctes("""
-    SELECT id, company_name, contact_person, email, phone, product_category, quantity, message, status
+    SELECT id, company_name, contact_person, email, phone, product_category, quantity, message, status,
+           created_at
     FROM s_enquiries""", "s_enquiries"))
 def q_enquiry_intake(spark, root):
-    accepted, _ = changes.intake_enquiries(DriverShop(spark, root).raw_enquiries)
-    return accepted
+    return _enquiries(DriverShop(spark, root))
 
 
 @register("enquiry_rejections", "I5", with_ctes("""
@@ -105,6 +116,15 @@ def q_enquiry_list(spark, root):
                                             "created_at")
 
 
+@register("enquiries_newest", "B9 F5", with_ctes("""
+    SELECT id, company_name, status, created_at FROM s_enquiries
+    ORDER BY created_at DESC, id DESC LIMIT 50""", "s_enquiries"))
+def q_enquiries_newest(spark, root):
+    """The first screen of the list: its order decides which rows these are."""
+    e = _enquiries(DriverShop(spark, root))
+    return customers.newest_first(e).limit(50).select("id", "company_name", "status", "created_at")
+
+
 def _enquiry_changes(e):
     # Every enquiry is reviewed; German-language ones are then accepted and
     # English ones get a status that is not allowed.
@@ -248,7 +268,7 @@ def q_view_counters(spark, root):
 # --- I6, I7: product upsert and deletes ---------------------------------------------------------
 
 def _product_changes(shop: DriverShop):
-    p = shop.products(with_owner=True)
+    p = shop.owned_products()
     owner_edit = p.where(F.col("stock") >= 46).select(
         F.col("id").alias("product_id"), F.col("artisan_id").alias("requester_id"),
         F.concat(F.col("name"), F.lit(" (restocked)")).alias("name"),
@@ -284,20 +304,20 @@ def _product_changes(shop: DriverShop):
                      ELSE p.price END AS DOUBLE) AS price,
            CAST(CASE WHEN e.id IS NOT NULL THEN NULL ELSE p.bulk_price END AS DOUBLE) AS bulk_price,
            p.min_bulk_qty, p.category, p.artisan_id,
-           CASE WHEN e.id IS NOT NULL THEN 80 ELSE p.stock END AS stock
+           CASE WHEN e.id IS NOT NULL THEN 80 ELSE p.stock END AS stock, p.created_at
     FROM s_products_owned p LEFT JOIN (SELECT id FROM s_products_owned WHERE stock >= 46) e ON e.id = p.id
     UNION ALL
     SELECT (SELECT MAX(id) FROM s_products_owned) + 1 + a.id - (SELECT MIN(id) FROM s_artisans), a.name || ' special', 99.90, 80.0, 5,
-           'PROMO', a.id, 100
-    FROM s_artisans a""".replace("{SAN_NAME}", sql_sanitize("p.name || ' (restocked)'", 500)),
+           'PROMO', a.id, 100, TIMESTAMP '{AS_OF}'
+    FROM s_artisans a""".replace("{AS_OF}", AS_OF).replace("{SAN_NAME}", sql_sanitize("p.name || ' (restocked)'", 500)),
     "s_products_owned", "s_artisans"))
 def q_product_upsert(spark, root):
     shop = DriverShop(spark, root)
     principals = shop.artisans.select(F.col("id").alias("user_id"), "role")
-    new, _ = changes.upsert_products(shop.products(with_owner=True), _product_changes(shop), principals)
+    new, _ = changes.upsert_products(shop.owned_products(), _product_changes(shop), principals, _as_of())
     return new.select("id", "name", F.col("price").cast("double").alias("price"),
                       F.col("bulk_price").cast("double").alias("bulk_price"), "min_bulk_qty", "category",
-                      "artisan_id", "stock")
+                      "artisan_id", "stock", "created_at")
 
 
 @register("product_upsert_rejected", "I6", with_ctes("""
@@ -308,12 +328,12 @@ def q_product_upsert(spark, root):
 def q_product_upsert_rejected(spark, root):
     shop = DriverShop(spark, root)
     principals = shop.artisans.select(F.col("id").alias("user_id"), "role")
-    _, rejected = changes.upsert_products(shop.products(with_owner=True), _product_changes(shop), principals)
+    _, rejected = changes.upsert_products(shop.owned_products(), _product_changes(shop), principals, _as_of())
     return rejected
 
 
 def _delete_requests(shop: DriverShop):
-    p = shop.products(with_owner=True)
+    p = shop.owned_products()
     mine = p.where(F.col("stock") == 50).select("id", F.col("artisan_id").alias("requester_id"))
     theirs = p.where(F.col("stock") == 49).select("id", (F.col("artisan_id") + 1).alias("requester_id"))
     return mine.unionByName(theirs)
@@ -324,10 +344,74 @@ def _delete_requests(shop: DriverShop):
 def q_entity_delete(spark, root):
     shop = DriverShop(spark, root)
     principals = shop.artisans.select(F.col("id").alias("user_id"), "role")
-    kept, _ = changes.delete_rows(shop.products(with_owner=True), _delete_requests(shop), principals)
+    kept, _ = changes.delete_rows(shop.owned_products(), _delete_requests(shop), principals)
     return kept.select("id", "name")
 
 
+@register("entity_delete_rejected", "I7", with_ctes("""
+    SELECT id, artisan_id + 1 AS requester_id,
+           CASE WHEN artisan_id + 1 IN (SELECT id FROM s_artisans) THEN 'not_owner'
+                ELSE 'not_permitted' END AS reason
+    FROM s_products_owned WHERE stock = 49""", "s_products_owned", "s_artisans"))
+def q_entity_delete_rejected(spark, root):
+    shop = DriverShop(spark, root)
+    principals = shop.artisans.select(F.col("id").alias("user_id"), "role")
+    _, rejected = changes.delete_rows(shop.owned_products(), _delete_requests(shop), principals)
+    return rejected
+
+
+# Accounts are deleted by the administrator of their nation: suppliers with a
+# balance under 2,000.  Customers in debt ask to delete themselves, and so does
+# every administrator; neither may.
+def _user_deletion(shop: DriverShop):
+    users = shop.customers.unionByName(shop.artisans).unionByName(shop.admins)
+    s = shop.table("supplier").where(F.col("s_acctbal") < 2000)
+    closed = s.select((F.lit(ARTISAN_BASE) + F.col("s_suppkey")).alias("id"),
+                      (F.lit(ADMIN_BASE) + F.col("s_nationkey")).alias("requester_id"))
+    c = shop.table("customer").where(F.col("c_acctbal") < 0)
+    own = c.select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("requester_id"))
+    admins = shop.admins.select("id", F.col("id").alias("requester_id"))
+    principals = users.select(F.col("id").alias("user_id"), "role")
+    return changes.delete_rows(users, closed.unionByName(own).unionByName(admins), principals,
+                               owner_col=None, admin_only=True)
+
+
+@register("user_delete", "I7", with_ctes(f"""
+    SELECT id, name, role FROM s_customers
+    UNION ALL SELECT id, name, role FROM s_artisans WHERE id NOT IN (
+        SELECT {ARTISAN_BASE} + s_suppkey FROM supplier WHERE s_acctbal < 2000 AND s_nationkey IS NOT NULL)
+    UNION ALL SELECT id, name, role FROM s_admins""", "s_customers", "s_artisans", "s_admins"))
+def q_user_delete(spark, root):
+    kept, _ = _user_deletion(DriverShop(spark, root))
+    return kept.select("id", "name", "role")
+
+
+@register("user_delete_rejected", "I7", with_ctes("""
+    SELECT c_custkey AS id, c_custkey AS requester_id, 'not_permitted' AS reason FROM customer WHERE c_acctbal < 0
+    UNION ALL SELECT id, id, 'own_account' FROM s_admins""", "s_admins"))
+def q_user_delete_rejected(spark, root):
+    _, rejected = _user_deletion(DriverShop(spark, root))
+    return rejected
+
+
+@register("related_after_deletions", "C7 E3 F3 I7", with_ctes(f"""
+    , kept AS (
+        SELECT p.id, p.category, a.name FROM s_products_owned p JOIN s_artisans a ON a.id = p.artisan_id
+        WHERE a.id NOT IN (
+            SELECT {ARTISAN_BASE} + s_suppkey FROM supplier WHERE s_acctbal < 2000 AND s_nationkey IS NOT NULL))
+    SELECT product_id, related_id, CAST(position AS INTEGER) AS position, artisan_name FROM (
+      SELECT a.id AS product_id, b.id AS related_id, b.name AS artisan_name,
+             ROW_NUMBER() OVER (PARTITION BY a.id ORDER BY b.id) AS position
+      FROM kept a JOIN kept b ON a.category = b.category AND a.id != b.id)
+    WHERE position <= 4""", "s_products_owned", "s_artisans"))
+def q_related_after_deletions(spark, root):
+    from ..operators.catalog import related_products
+
+    shop = DriverShop(spark, root)
+    kept, _ = _user_deletion(shop)
+    return related_products(shop.owned_products(), k=4, users=kept)
+
+
 # --- I8: registration ------------------------------------------------------------------------------
 
 def _registrations(shop: DriverShop):
@@ -356,7 +440,7 @@ CTES["s_registrations"] = ((), r"""
                - (SELECT MIN(seq) FROM s_registrations) AS id,
            {sql_sanitize('name', 255)} AS name, em AS email, role,
            {sql_sanitize("COALESCE(phone, '')", 255)} AS phone,
-           {sql_sanitize("COALESCE(address, '')", 255)} AS address, seq
+           {sql_sanitize("COALESCE(address, '')", 255)} AS address, TIMESTAMP '{AS_OF}' AS created_at, seq
     FROM (SELECT *, {sql_sanitize('email', 255)} AS em,
                  MIN(seq) OVER (PARTITION BY {sql_sanitize('email', 255)}) AS first_seq
           FROM s_registrations
@@ -367,7 +451,8 @@ CTES["s_registrations"] = ((), r"""
     "s_registrations", "s_customers", "s_artisans"))
 def q_registration_intake(spark, root):
     shop = DriverShop(spark, root)
-    accepted, _ = changes.intake_users(_registrations(shop), shop.customers.unionByName(shop.artisans))
+    accepted, _ = changes.intake_users(
+        _registrations(shop), shop.customers.unionByName(shop.artisans), _as_of())
     return accepted
 
 
@@ -444,17 +529,18 @@ shorts AS (
     FROM taken_lines WHERE d = 'R' AND stock - taken < quantity GROUP BY cart_id),
 totals AS (SELECT cart_id, sum(price * quantity) AS total FROM taken_lines WHERE d = 'A' GROUP BY cart_id)
 """
-AS_OF = "2024-01-01 00:00:00"
-
-
 def _intake_sql(body: str) -> str:
-    return with_ctes(_INTAKE + body, "s_orders", "s_items", "s_products").replace("WITH ", "WITH RECURSIVE ", 1)
+    return with_ctes(_INTAKE + body, "s_orders", "s_items", "s_products", "s_cart_actions").replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 def _intake(spark, root):
     shop = DriverShop(spark, root)
-    return changes.intake_orders(
-        _replay_carts(shop), shop.products(), as_of=F.lit(AS_OF).cast("timestamp_ntz"))
+    # The new rows join the tables that hold the order history already.
+    line_key = F.col("order_id") * LINES_OF_AN_ORDER + F.col("line_number")
+    last_ids = {"orders": shop.orders.select(F.max("id")).scalar(),
+                "order_items": shop.order_items.select(F.max(line_key)).scalar(),
+                "cart_actions": shop.cart_actions.select(F.max("id")).scalar()}
+    return changes.intake_orders(_replay_carts(shop), shop.products(), as_of=_as_of(), last_ids=last_ids)
 
 
 @register("order_intake", "I1", _intake_sql("""
@@ -469,18 +555,23 @@ def q_order_intake(spark, root):
 
 
 @register("intake_new_orders", "I1", _intake_sql(f"""
-    SELECT o.id, o.customer_id, CAST(t.total AS DOUBLE) AS total_amount, 'confirmed' AS status,
+    SELECT (SELECT MAX(id) FROM s_orders) + row_number() OVER (ORDER BY o.id) AS id,
+           o.customer_id, CAST(t.total AS DOUBLE) AS total_amount, 'confirmed' AS status,
            'mock_payment' AS payment_method, '' AS shipping_address, TIMESTAMP '{AS_OF}' AS created_at
     FROM s_orders o JOIN totals t ON t.cart_id = o.id"""))
 def q_intake_new_orders(spark, root):
     return _intake(spark, root).orders.withColumn(
-        "total_amount", F.col("total_amount").cast("double")).drop("seq")
+        "total_amount", F.col("total_amount").cast("double")).drop("seq", "cart_id")
 
 
 @register("intake_new_lines", "I1", _intake_sql("""
-    SELECT cart_id * 65536 + pos AS id, cart_id AS order_id, product_id,
-           CAST(quantity AS BIGINT) AS quantity, CAST(price AS DOUBLE) AS price
-    FROM taken_lines WHERE d = 'A'"""))
+    SELECT (SELECT MAX(order_id * {per_order} + line_number) FROM s_items)
+               + row_number() OVER (ORDER BY l.cart_id, l.pos) AS id, n.order_id, l.product_id,
+           CAST(l.quantity AS BIGINT) AS quantity, CAST(l.price AS DOUBLE) AS price
+    FROM taken_lines l JOIN (
+        SELECT cart_id, (SELECT MAX(id) FROM s_orders) + row_number() OVER (ORDER BY cart_id) AS order_id
+        FROM totals) n ON n.cart_id = l.cart_id
+    WHERE l.d = 'A'""".format(per_order=LINES_OF_AN_ORDER)))
 def q_intake_new_lines(spark, root):
     return _intake(spark, root).items.select(
         "id", "order_id", "product_id", F.col("quantity").cast("bigint").alias("quantity"),
@@ -498,7 +589,8 @@ def q_intake_stock(spark, root):
 
 
 @register("intake_events", "I1", _intake_sql(f"""
-    SELECT cart_id * 65536 + pos AS id, CAST(cart_id AS VARCHAR) AS session_id, customer_id AS user_id,
+    SELECT (SELECT MAX(id) FROM s_cart_actions) + row_number() OVER (ORDER BY cart_id, pos) AS id,
+           CAST(cart_id AS VARCHAR) AS session_id, customer_id AS user_id,
            product_id, 'checkout' AS action, CAST(quantity AS BIGINT) AS quantity,
            TIMESTAMP '{AS_OF}' AS created_at
     FROM taken_lines WHERE d = 'A'"""))
@@ -537,6 +629,30 @@ def q_cart_totals(spark, root):
     return changes.cart_totals(_validated_carts(DriverShop(spark, root)))
 
 
+def _cart_bodies(shop: DriverShop):
+    """Request bodies of checkouts as text: one cart per purchase event; without
+    a product the body breaks off, as a request cut short would."""
+    e = shop.cart_actions.where(F.col("action") == "checkout")
+    product = F.col("product_id").cast("string")
+    body = F.concat(F.lit('[{"productId": '), product, F.lit(', "quantity": '),
+                    F.col("quantity").cast("string"), F.lit('}, {"productId": 1}]'))
+    return e.select(F.col("id").alias("cart_id"), F.coalesce(body, F.lit('[{"productId": ')).alias("body"))
+
+
+@register("cart_bodies", "H19", with_ctes("""
+    SELECT id AS cart_id, product_id IS NOT NULL AS readable, unnest(CASE WHEN product_id IS NULL THEN [0] ELSE [0, 1] END) AS pos,
+           unnest(CASE WHEN product_id IS NULL THEN [CAST(NULL AS BIGINT)] ELSE [product_id, 1] END) AS product_id,
+           unnest(CASE WHEN product_id IS NULL THEN [CAST(NULL AS INTEGER)] ELSE [quantity, NULL] END) AS quantity
+    FROM s_cart_actions WHERE action = 'checkout'""", "s_cart_actions"))
+def q_cart_bodies(spark, root):
+    """Carts that arrive as JSON text, as the lines that intake takes."""
+    carts = changes.cart_requests_from_json(_cart_bodies(DriverShop(spark, root)))
+    lines = carts.select("cart_id", F.col("items").isNotNull().alias("readable"),
+                         F.posexplode_outer("items").alias("pos", "item"))
+    return lines.select("cart_id", "readable", F.coalesce("pos", F.lit(0)).alias("pos"),
+                        F.col("item.productId").alias("product_id"), F.col("item.quantity").alias("quantity"))
+
+
 # --- C9, I12: quality -------------------------------------------------------------------------------
 
 @register("referential_orphans", "C9", with_ctes("""
@@ -557,7 +673,7 @@ def q_referential_orphans(spark, root):
 def _audit_tables(shop: DriverShop) -> dict:
     return {
         "users": shop.customers.unionByName(shop.artisans),
-        "products": shop.products(with_owner=True),
+        "products": shop.owned_products(),
         "orders": shop.orders,
         "order_items": shop.order_items.withColumn("id", F.col("order_id") * LINES_OF_AN_ORDER + F.col("line_number")),
         "b2b_enquiries": _enquiries(shop),
@@ -566,8 +682,6 @@ def _audit_tables(shop: DriverShop) -> dict:
     }
 
 
-# Places of lines in an order's key range (line numbers run from 1 to 7).
-LINES_OF_AN_ORDER = 8
 CTES["s_keyed_items"] = (("s_items",), f"""
         SELECT *, order_id * {LINES_OF_AN_ORDER} + line_number AS id FROM s_items""")
 CTES["s_users"] = (("s_customers", "s_artisans"), """

@@ -37,10 +37,15 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
                COALESCE(v.views, 0) AS views
         FROM part p LEFT JOIN s_product_views v ON v.product_id = p.p_partkey"""),
     "s_product_owner": ((), """
-        SELECT l_partkey AS product_id, 1000000000000 + MIN(l_suppkey) AS artisan_id
+        SELECT l_partkey AS product_id, 1000000000000 + MIN(l_suppkey) AS artisan_id,
+               MIN(l_shipdate) AS created_at
         FROM lineitem GROUP BY 1"""),
+    "s_admins": ((), """
+        SELECT 2000000000000 + n_nationkey AS id, n_name AS name, n_name AS email, 'admin' AS role,
+               CAST(NULL AS VARCHAR) AS phone, n_name AS address
+        FROM nation"""),
     "s_products_owned": (("s_products", "s_product_owner"), """
-        SELECT p.*, o.artisan_id FROM s_products p JOIN s_product_owner o ON o.product_id = p.id"""),
+        SELECT p.*, o.artisan_id, o.created_at FROM s_products p JOIN s_product_owner o ON o.product_id = p.id"""),
     "s_orders": ((), """
         SELECT o_orderkey AS id, o_custkey AS customer_id,
                CAST(o_totalprice AS DECIMAL(18,2)) AS total_amount,
@@ -142,5 +147,5 @@ CTES["s_enquiries"] = (("s_enquiry_checked",), f"""
                {sql_sanitize("COALESCE(product_category, '')", 1000)} AS product_category,
                CASE WHEN NOT {sql_falsy('quantity')} THEN {sql_parse_int('quantity')} END AS quantity,
                {sql_sanitize("COALESCE(message, '')", 1000)} AS message,
-               'pending' AS status, CAST(NULL AS TIMESTAMP) AS created_at
+               'pending' AS status, TIMESTAMP '2024-01-01 00:00:00' + to_seconds(id) AS created_at
         FROM s_enquiry_checked WHERE reason IS NULL""")

@@ -104,6 +104,25 @@ def q_line_sales_trend(spark, root):
     return sales.line_sales_trend(_lines(DriverShop(spark, root)))
 
 
+@register("trend_last_days", "D13 F4", with_ctes("""
+    SELECT substr(CAST(created_at AS VARCHAR), 1, 10) AS date,
+           COUNT(DISTINCT order_id) AS orders,
+           CAST(ROUND(SUM(line_total), 2) AS DOUBLE) AS revenue,
+           CAST(SUM(quantity) AS BIGINT) AS units_sold
+    FROM s_lines GROUP BY 1 ORDER BY 1 DESC LIMIT 7""", "s_lines"))
+def q_trend_last_days(spark, root):
+    return sales.last_days(sales.line_sales_trend(_lines(DriverShop(spark, root))), 7)
+
+
+@register("top_five_products", "D15 F4", with_ctes("""
+    SELECT name, category, units, CAST(ROUND(rev, 2) AS DOUBLE) AS revenue FROM (
+      SELECT product AS name, MAX(category) AS category,
+             CAST(SUM(quantity) AS BIGINT) AS units, SUM(line_total) AS rev
+      FROM s_lines GROUP BY product ORDER BY rev DESC, name ASC LIMIT 5)""", "s_lines"))
+def q_top_five_products(spark, root):
+    return sales.top_products_by_revenue(_lines(DriverShop(spark, root)), k=5)
+
+
 _SEGMENT_SQL = """
     SELECT CASE WHEN n >= 5 AND rev >= 10000 THEN 'champions'
                 WHEN n >= 3 THEN 'loyal' WHEN n >= 2 THEN 'at_risk' ELSE 'new' END AS segment,
@@ -195,4 +214,4 @@ def q_weekly_sales_trend(spark, root):
     GROUP BY a.id, a.name""", "s_items", "s_products_owned", "s_artisans"))
 def q_artisan_sales(spark, root):
     shop = DriverShop(spark, root)
-    return sales.artisan_sales(shop.order_items, shop.products(with_owner=True), shop.artisans)
+    return sales.artisan_sales(shop.order_items, shop.owned_products(), shop.artisans)

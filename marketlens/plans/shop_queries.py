@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..functions.text import (ENQUIRY_TEXT_MAX, PRODUCT_TEXT_MAX, USER_TEXT_MAX, email_ok,
+from ..functions.text import (ENQUIRY_TEXT_MAX, PRODUCT_TEXT_MAX, USER_TEXT_MAX, city, email_ok,
                               first_at_token, sanitize)
-from ..operators import behavior, catalog, customers
+from ..operators import behavior, catalog, customers, search
+from ..session import checkpoint_dir
 from ..sources.adapter import DriverShop
 from .oracle import sql_email_ok, sql_sanitize, with_ctes
 from .registry import register
@@ -27,7 +30,7 @@ _CATALOG_SELECT = """
 
 
 def _owned(shop: DriverShop):
-    return shop.products(with_owner=True)
+    return shop.owned_products()
 
 
 # --- catalogue ----------------------------------------------------------------
@@ -49,6 +52,40 @@ def q_catalog_page_deep(spark, root):
     return catalog.catalog_page(_owned(shop), shop.artisans, offset=DEEP_OFFSET)
 
 
+_RANKED_PAGES = """, listing AS (
+    SELECT row_number() OVER (ORDER BY views DESC, id ASC) - 1 AS rank, * FROM (""" + _CATALOG_SELECT + """))
+"""
+
+
+@register("catalog_page_keys", "B1 F2", with_ctes(_RANKED_PAGES + """
+    SELECT CAST(rank // 20 AS BIGINT) AS page, views, id FROM listing WHERE rank % 20 = 0""",
+    "s_products_owned", "s_artisans"))
+def q_catalog_page_keys(spark, root):
+    shop = DriverShop(spark, root)
+    return catalog.PageDirectory(_owned(shop), shop.artisans).start_keys()
+
+
+@register("catalog_page_last", "B1 F2", with_ctes(_RANKED_PAGES + """
+    SELECT * EXCLUDE (rank) FROM listing WHERE rank // 20 = (SELECT MAX(rank) // 20 FROM listing)""",
+    "s_products_owned", "s_artisans"))
+def q_catalog_page_last(spark, root):
+    shop = DriverShop(spark, root)
+    directory = catalog.PageDirectory(_owned(shop), shop.artisans)
+    return directory.page(max(directory.pages - 1, 0))
+
+
+@register("catalog_page_keyset", "B1 F2", with_ctes(
+    _CATALOG_SELECT + f"""
+    ORDER BY p.views DESC, p.id ASC LIMIT 20 OFFSET {DEEP_OFFSET}""", "s_products_owned", "s_artisans"))
+def q_catalog_page_keyset(spark, root):
+    """The page that follows the last row shown, found by its key."""
+    shop = DriverShop(spark, root)
+    shown = catalog.catalog_page(_owned(shop), shop.artisans, limit=1, offset=DEEP_OFFSET - 1).first()
+    if shown is None:  # fewer rows than the pages before
+        return catalog.catalog_page(_owned(shop), shop.artisans, offset=DEEP_OFFSET)
+    return catalog.catalog_page_after(_owned(shop), shop.artisans, shown["views"], shown["id"])
+
+
 _needle = SEARCH_TEXT.lower()
 
 
@@ -62,6 +99,61 @@ def q_catalog_search(spark, root):
     return catalog.catalog_page(_owned(shop), shop.artisans, search=SEARCH_TEXT)
 
 
+@register("catalog_search_indexed", "B2 H1 H5", with_ctes(
+    _CATALOG_SELECT + f"""
+    WHERE COALESCE({_LOWER.format(c='p.name')} LIKE '%{_needle}%' ESCAPE '!', FALSE)
+       OR COALESCE({_LOWER.format(c='p.description')} LIKE '%{_needle}%' ESCAPE '!', FALSE)""",
+    "s_products_owned", "s_artisans"))
+def q_catalog_search_indexed(spark, root):
+    """Every match of a search, by stored trigrams."""
+    shop = DriverShop(spark, root)
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/search/{uuid.uuid4().hex}"
+    search.write_postings(_owned(shop), folder)
+    found = search.search_products(_owned(shop), search.read_postings(spark, folder), SEARCH_TEXT)
+    return catalog._catalog_columns(catalog.with_artisan(found, shop.artisans))
+
+
+@register("artisan_products", "B9", with_ctes("""
+    SELECT id, name, category, stock, created_at, artisan_id AS viewer_id FROM s_products_owned
+    WHERE artisan_id IN (SELECT id FROM s_artisans)""", "s_products_owned", "s_artisans"))
+def q_artisan_products(spark, root):
+    shop = DriverShop(spark, root)
+    principals = shop.artisans.select(F.col("id").alias("user_id"), "role")
+    return catalog.own_products(_owned(shop), principals).select(
+        "id", "name", "category", "stock", "created_at", "viewer_id")
+
+
+_ADMIN_PRODUCTS = """
+    SELECT p.id, p.name, p.category, p.stock, p.created_at, a.name AS artisan_name
+    FROM s_products_owned p JOIN s_artisans a ON a.id = p.artisan_id"""
+
+
+@register("admin_products", "B9", with_ctes(_ADMIN_PRODUCTS, "s_products_owned", "s_artisans"))
+def q_admin_products(spark, root):
+    shop = DriverShop(spark, root)
+    return catalog.all_products(_owned(shop), shop.artisans).select(
+        "id", "name", "category", "stock", "created_at", "artisan_name")
+
+
+@register("admin_products_newest", "B9 F5", with_ctes(
+    _ADMIN_PRODUCTS + "\n    ORDER BY p.created_at DESC, p.id DESC LIMIT 50", "s_products_owned", "s_artisans"))
+def q_admin_products_newest(spark, root):
+    """The first screen of the list: its order decides which rows these are."""
+    return q_admin_products(spark, root).limit(50)
+
+
+@register("products_by_city", "H9 C1", with_ctes("""
+    SELECT split_part(concat_ws(', ', a.address, a.role), ',', 1) AS city, COUNT(*) AS products
+    FROM s_products_owned p JOIN s_artisans a ON a.id = p.artisan_id GROUP BY 1""",
+    "s_products_owned", "s_artisans"))
+def q_products_by_city(spark, root):
+    """Products per city: the part of the artisan's address before the first comma."""
+    shop = DriverShop(spark, root)
+    artisans = shop.artisans.withColumn("address", F.concat_ws(", ", "address", "role"))
+    located = catalog.with_artisan(_owned(shop), artisans)
+    return located.groupBy(city(F.col("artisan_location")).alias("city")).agg(F.count(F.lit(1)).alias("products"))
+
+
 @register("catalog_total", "D11", "SELECT COUNT(*) AS total FROM part")
 def q_catalog_total(spark, root):
     return catalog.catalog_total(DriverShop(spark, root).products())
@@ -98,12 +190,11 @@ def q_product_detail(spark, root):
            a.name AS artisan_name
     FROM s_items i JOIN s_products_owned p ON p.id = i.product_id
     JOIN s_artisans a ON a.id = p.artisan_id
-    WHERE i.order_id IN (SELECT id FROM s_orders WHERE status = 'confirmed')""",
+    WHERE i.order_id IN (SELECT id FROM s_orders)""",
     "s_items", "s_products_owned", "s_artisans", "s_orders"))
 def q_order_detail(spark, root):
     shop = DriverShop(spark, root)
-    open_orders = shop.orders.where(F.col("status") == "confirmed")
-    return catalog.order_detail(open_orders, shop.order_items, _owned(shop), shop.artisans)
+    return catalog.order_detail(shop.orders, shop.order_items, _owned(shop), shop.artisans)
 
 
 @register("related_products", "C7 E3 F3", with_ctes("""
@@ -145,6 +236,29 @@ def q_orders_with_customer(spark, root):
     return customers.orders_with_customer(shop.orders, shop.customers)
 
 
+@register("admin_orders_newest", "B9 C2 F5", with_ctes("""
+    SELECT o.id, o.customer_id, CAST(o.total_amount AS DOUBLE) AS total_amount, o.status,
+           o.created_at, u.name AS customer_name, u.email AS customer_email
+    FROM s_orders o JOIN s_customers u ON o.customer_id = u.id
+    ORDER BY o.created_at DESC, o.id DESC LIMIT 50""", "s_orders", "s_customers"))
+def q_admin_orders_newest(spark, root):
+    """The first screen of the admin's orders; ``orders_with_customer`` has them all."""
+    shop = DriverShop(spark, root)
+    return customers.newest_first(customers.orders_with_customer(shop.orders, shop.customers)).limit(50)
+
+
+@register("order_scopes", "B5", with_ctes("""
+    SELECT u.id AS viewer_id, u.role, CASE u.role WHEN 'admin' THEN 'all' ELSE 'own' END AS scope,
+           CASE u.role WHEN 'admin' THEN (SELECT COUNT(*) FROM s_orders) ELSE COALESCE(o.n, 0) END AS visible_rows
+    FROM (SELECT id, role FROM s_customers UNION ALL SELECT id, role FROM s_admins) u
+    LEFT JOIN (SELECT customer_id, COUNT(*) AS n FROM s_orders GROUP BY 1) o ON o.customer_id = u.id""",
+    "s_orders", "s_customers", "s_admins"))
+def q_order_scopes(spark, root):
+    shop = DriverShop(spark, root)
+    people = shop.customers.unionByName(shop.admins).select(F.col("id").alias("user_id"), "role")
+    return customers.session_scopes(shop.orders, "customer_id", people)
+
+
 @register("visible_orders", "B5", with_ctes("""
     SELECT o.id, o.customer_id, CAST(o.total_amount AS DOUBLE) AS total_amount, o.status,
            o.created_at, u.id AS viewer_id

@@ -17,6 +17,7 @@ from ..operators import behavior
 from ..session import checkpoint_dir
 from ..sources.adapter import CART_EVENT_ACTION, DriverShop, cart_from_events, requests_from_pages, views_from_events
 from ..streaming import live
+from .change_queries import _enquiries
 from .oracle import with_ctes
 from .registry import register
 from .shop_queries import DRIVER_ID_PATTERN
@@ -158,7 +159,7 @@ def q_stream_page_view_capture(spark, root):
     return spark.read.parquet(out)
 
 
-def _tracked_actions(events):
+def _tracked_actions(events, *more):
     """Tracked cart requests as typed by the browser: text product id, an
     action word (error events send 'remove', views an unknown word, sign-ups none)."""
     action = F.when(F.lit(False), F.lit(None))
@@ -171,6 +172,7 @@ def _tracked_actions(events):
         F.col("user_id").cast("string").alias("session_id"),
         F.col("user_id"),
         F.col("ts"),
+        *more,
     )
 
 
@@ -190,6 +192,38 @@ def q_stream_cart_actions(spark, root):
     return spark.read.parquet(f"{out}/accepted").drop("batch_id")
 
 
+@register("cart_action_rejected", "J2", """
+    SELECT * FROM (
+        SELECT event_id, CASE
+            WHEN COALESCE(json_extract_string(props, '$.k'), '') = '' OR event_type NOT IN ('click', 'purchase', 'error', 'view')
+              THEN 'missing_fields'
+            WHEN TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) IS NULL THEN 'bad_product_id'
+            WHEN event_type = 'view' THEN 'action_not_allowed' END AS reason
+        FROM events) WHERE reason IS NOT NULL""")
+def q_cart_action_rejected(spark, root):
+    """Tracked actions that are refused, with the reason."""
+    events = DriverShop(spark, root).table("events")
+    _, rejected = behavior.cart_action_rows(_tracked_actions(events, "event_id"))
+    return rejected.select("event_id", "reason")
+
+
+@register("stream_cart_rejected", "J2", """
+    SELECT reason, COUNT(*) AS actions FROM (
+        SELECT CASE
+            WHEN COALESCE(json_extract_string(props, '$.k'), '') = '' OR event_type NOT IN ('click', 'purchase', 'error', 'view')
+              THEN 'missing_fields'
+            WHEN TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) IS NULL THEN 'bad_product_id'
+            WHEN event_type = 'view' THEN 'action_not_allowed' END AS reason
+        FROM events) WHERE reason IS NOT NULL GROUP BY reason""")
+def q_stream_cart_rejected(spark, root):
+    """The side output of the streaming capture, counted by reason."""
+    shop = DriverShop(spark, root)
+    out, ck = _scratch(spark, "cart-rejected")
+    _run(live.write_cart_actions(_tracked_actions(shop.stream("events")), f"{out}/accepted",
+                                 f"{out}/rejected", ck))
+    return spark.read.parquet(f"{out}/rejected").groupBy("reason").agg(F.count(F.lit(1)).alias("actions"))
+
+
 # --- A2, A3: the sales export, read back as the offline report's input ----------------------
 
 @register("report_from_export", "A2 A3 D16 H14", with_ctes("""
@@ -230,17 +264,15 @@ def q_cart_action_rows(spark, root):
     SELECT CASE WHEN id = 0 THEN '' ELSE CAST(id AS VARCHAR) END AS id,
            company_name, contact_person, email, phone, product_category,
            CASE WHEN quantity IS NULL OR quantity = 0 THEN '' ELSE CAST(quantity AS VARCHAR) END AS quantity,
-           message, status, '' AS created_at
+           message, status, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at
     FROM s_enquiries""", "s_enquiries"))
 def q_enquiry_export(spark, root):
     """The enquiry export (A4), read back as the text a spreadsheet would see."""
-    from ..operators.changes import intake_enquiries
     from ..schema import ENQUIRY_CSV_COLUMNS
     from ..sources.sinks import write_enquiry_export
 
     out, _ = _scratch(spark, "enquiry-export")
-    accepted, _ = intake_enquiries(DriverShop(spark, root).raw_enquiries)
-    write_enquiry_export(accepted.withColumn("created_at", F.lit(None).cast("timestamp_ntz")), out)
+    write_enquiry_export(_enquiries(DriverShop(spark, root)), out)
     schema = ", ".join(f"{c} string" for c in ENQUIRY_CSV_COLUMNS)
     return (spark.read.schema(schema).option("header", True).option("escape", '"')
             .option("multiLine", True).option("emptyValue", "").option("nullValue", "\\u0000")

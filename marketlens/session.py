@@ -103,6 +103,13 @@ def list_folder(spark: SparkSession, path: str) -> list[str]:
     return sorted(f.getPath().getName() for f in files.listStatus(folder)) if files.exists(folder) else []
 
 
+def stored_files(spark: SparkSession, pattern: str) -> list[tuple[str, int, int]]:
+    """(path, length, time of change) of the files and folders a pattern names."""
+    files, path = _folder(spark, pattern)
+    return sorted((f.getPath().toString(), f.getLen(), f.getModificationTime())
+                  for f in files.globStatus(path) or [])
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     files, folder = _folder(spark, path)
     files.delete(folder, True)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import money, source_cents
 from ..functions.text import first_at_token, url_path
 from ..schema import DRIVER_TABLES
+from ..session import materialize, stored_files
 from .tables import read_table
 
 # Driver order status -> shop order status.
@@ -26,9 +27,14 @@ VIEW_EVENT = "view"
 PRODUCT_PAGE_PREFIX = "/products/"
 # Suppliers become artisans in an id range of their own, above all customers.
 ARTISAN_BASE = 10**12
+# Regional administrators, one per nation, in a range above the artisans.
+ADMIN_BASE = 2 * 10**12
 # The business date the driver's order history ends on.
 AS_OF = "2001-08-01"
 
+# (session, folder, files) -> products table written there.
+_SNAPSHOTS: dict[tuple, DataFrame] = {}
+
 
 def _event_product(props) -> "F.Column":
     return F.get_json_object(props, "$.k").try_cast("bigint")
@@ -125,6 +131,18 @@ class DriverShop:
             F.lit(None).cast("timestamp_ntz").alias("created_at"),
         )
 
+    @cached_property
+    def admins(self) -> DataFrame:
+        """Administrators: one per nation (25 rows by the schema's definition)."""
+        n = self.table("nation")
+        none = F.lit(None)
+        return n.select(
+            (F.lit(ADMIN_BASE) + F.col("n_nationkey")).alias("id"),
+            F.col("n_name").alias("name"), F.col("n_name").alias("email"), F.lit("admin").alias("role"),
+            none.cast("string").alias("phone"), F.col("n_name").alias("address"),
+            none.cast("timestamp_ntz").alias("created_at"),
+        )
+
     # --- catalogue -----------------------------------------------------------
     @cached_property
     def product_views(self) -> DataFrame:
@@ -139,13 +157,27 @@ class DriverShop:
 
     @cached_property
     def product_owner(self) -> DataFrame:
-        """Owning artisan of a part: the lowest supplier id that shipped it."""
+        """Owning artisan of a part: the lowest supplier id that shipped it; the
+        part entered the shop when it was first shipped."""
         return (
             self.table("lineitem")
             .groupBy(F.col("l_partkey").alias("product_id"))
-            .agg((F.lit(ARTISAN_BASE) + F.min("l_suppkey")).alias("artisan_id"))
+            .agg((F.lit(ARTISAN_BASE) + F.min("l_suppkey")).alias("artisan_id"),
+                 F.min("l_shipdate").alias("created_at"))
         )
 
+    def owned_products(self) -> DataFrame:
+        """The products table with owner and creation time, as a shop stores it.
+
+        Derived from parts, lines and events once per session and state of
+        these files, written to the shared checkpoint folder and read from there.
+        """
+        files = [f for t in ("part", "lineitem", "events") for f in stored_files(self.spark, f"{self.root}/{t}*")]
+        key = (self.spark.sparkContext.applicationId, self.root, tuple(files))
+        if key not in _SNAPSHOTS:
+            _SNAPSHOTS[key] = materialize(self.products(with_owner=True), "products")
+        return _SNAPSHOTS[key]
+
     def products(self, with_owner: bool = False) -> DataFrame:
         """Products from ``part``; views from events; owner only on request."""
         p = self.table("part")

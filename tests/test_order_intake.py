@@ -130,7 +130,7 @@ def test_cart_of_null_lines_is_empty_and_no_carts_is_fine(spark):
 def test_new_rows_fit_their_tables(spark):
     carts = spark.createDataFrame([(7, 1, 4, [(1, 2), (1, 1)], None, None)], S.CART_REQUESTS)
     products = spark.createDataFrame([(1, Decimal(5), 9)], "id bigint, price decimal(18,2), stock int")
-    res = changes.intake_orders(carts, products)
+    res = changes.intake_orders(carts, products, last_ids={"orders": 6})
     order, lines, events = res.orders.first(), res.items.collect(), res.cart_events.collect()
     assert order.created_at is not None and order.id == 7
     assert len({r.id for r in lines}) == 2
