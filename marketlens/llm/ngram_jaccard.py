@@ -21,8 +21,10 @@ words an empty set).  Two documents link when 100 * intersection >= 80 * union.
    others there, and verified: no link between components is lost, while the
    pairs within a group of copies are never listed.
 
-A pair is verified by counting the overlap of each of ``CUTS`` cuts of the
-order separately and summing per pair; counts are exact.
+A pair is verified by counting its overlap in each of ``CUTS`` fragments of the
+hash order separately and summing per pair.  Counts are exact but for equal
+hashes: 64 bits from 16,384 fragments (four a shuffle partition) on, at least 50
+bits and the fragment below that.
 
 Defined results: null and empty texts have no shingle and link with nothing;
 each input row gives one output row; rows that share a doc_id are one document
@@ -50,11 +52,13 @@ SHARE = 80  # per cent
 CUTS = 4
 SLICE_BYTES = 1 << 18  # bytes of text hashed at once
 BLOCK_GRAMS = 700_000  # n-grams of a block, and
-BLOCK_DOCS = 16_000  # documents of a block (numbered in 16 bits)
+BLOCK_DOCS = 16_000  # documents of a block (at most 1 << DOC_BITS)
 PARITY_BITS = 1024  # of a set's parity bitmap, in 64-bit words
 WORDS_64 = PARITY_BITS // 64
-LOW_BITS = 40  # of a hash kept besides its fragment
+DOC_BITS = 14  # of a document's number in its block
+LOW_BITS = 64 - DOC_BITS  # of a hash kept besides its fragment
 MAX_FRAGMENTS = 1 << 22
+HOT = 64  # documents of a block from which an n-gram is counted there
 
 _SEED = 0x9E3779B97F4A7C15
 _POWER = np.uint64(0xD6E8FEB86659FD93)
@@ -127,17 +131,44 @@ def _slices(texts: list[str | None]) -> Iterator[list[np.ndarray]]:
         yield shingle_sets(held)
 
 
-# A block's entry is hash (LOW_BITS) << 16 | document number: 7 bytes, stored
-# plane by plane, so that the sorted leading bytes compress in a shuffle.
+def _starts(fragments: int) -> np.ndarray:
+    """First hash of each fragment of the hash order."""
+    p = np.arange(fragments, dtype=np.uint64) << np.uint64(24)
+    return (p + np.uint64(fragments - 1)) // np.uint64(fragments) << np.uint64(40)
+
+
+def _fragment(grams: np.ndarray, fragments: int) -> np.ndarray:
+    return (grams >> np.uint64(40)) * np.uint64(fragments) >> np.uint64(24)
+
+
+def _whole(start: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Hashes from the start of their fragment and their low bits: all 64 bits
+    from 1 << DOC_BITS fragments on; with fewer, that is on less data, 50 bits
+    and the fragment."""
+    return start + ((low - start) & np.uint64((1 << LOW_BITS) - 1))
+
+
+# A block's entry is low bits << DOC_BITS | document number, stored plane by
+# plane, so that the sorted leading bytes compress in a shuffle.
 def _pack(entries: np.ndarray) -> bytes:
-    return entries.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 6::-1].T.tobytes()
+    return entries.astype("<u8").view(np.uint8).reshape(-1, 8)[:, ::-1].T.tobytes()
 
 
 def _unpack(block: bytes) -> np.ndarray:
-    planes = np.frombuffer(block, np.uint8).reshape(7, -1)
-    wide = np.zeros((planes.shape[1], 8), np.uint8)
-    wide[:, 6::-1] = planes.T
-    return wide.view("<u8").ravel()
+    if not block:
+        return np.zeros(0, np.uint64)
+    planes = np.frombuffer(block, np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes[::-1].T).view("<u8").ravel()
+
+
+def _pairs(data: bytes | None) -> np.ndarray:
+    """(hash, number) rows of hot n-grams."""
+    return np.frombuffer(data, np.uint64).reshape(-1, 2) if data else np.zeros((0, 2), np.uint64)
+
+
+def _levels(often: np.ndarray) -> np.ndarray:
+    """Frequency levels, eight a doubling: the first part of the global order."""
+    return np.minimum(255, 8 * np.log2(often)).astype(np.uint8)
 
 
 def _parity(grams: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -155,17 +186,24 @@ def _parity(grams: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-_ROW = "block bigint, fragment int, data binary, ids binary, sizes binary, marks binary"
+_ROW = ("block bigint, fragment int, data binary, hot binary, held binary, ids binary, "
+        "sizes binary, marks binary")
 _ARROW_ROW = pa.schema([
     ("block", pa.int64()), ("fragment", pa.int32()), ("data", pa.binary()),
-    ("ids", pa.binary()), ("sizes", pa.binary()), ("marks", pa.binary()),
+    ("hot", pa.binary()), ("held", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary()), ("marks", pa.binary()),
 ])
 
 
 def _blocks(docs: DataFrame, id_col: str, text_col: str, fragments: int) -> DataFrame:
     """Packed n-grams by (block, fragment); and one row per block (without
     data) that names its documents: ids, set sizes, and 128-bit set marks with
-    the parity bitmap."""
+    the parity bitmap.
+
+    An n-gram of ``HOT`` or more of the block's documents goes to its fragment as
+    one count, so that a fragment holds at most ``HOT`` entries of it a block
+    however frequent it is; its documents stay in the block's own row (``held``).
+    """
+    starts = _starts(fragments)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 24
@@ -185,18 +223,28 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, fragments: int) -> Data
                 marks[some, 1] = np.add.reduceat(_mix(grams ^ np.uint64(_SEED)), at)
             doc = np.repeat(np.arange(len(sets), dtype=np.uint64), sizes)
             marks = np.column_stack([marks, _parity(grams, sizes)])
-            part = ((grams >> np.uint64(40)) * np.uint64(fragments) >> np.uint64(24)).astype(np.int32)
-            entry = (grams & np.uint64((1 << LOW_BITS) - 1)) << np.uint64(16) | doc
-            order = np.lexsort((entry, part))
-            part, entry = part[order], entry[order]
-            cut = np.flatnonzero(np.diff(part, prepend=-1))
-            bounds = np.append(cut, len(part))
+            part = _fragment(grams, fragments)
+            grams = _whole(starts[part], grams)
+            order = np.argsort(grams, kind="stable")
+            grams, doc, part = grams[order], doc[order], part[order].astype(np.int32)
+            first = np.flatnonzero(np.concatenate([grams[:1] == grams[:1], grams[1:] != grams[:-1]]))
+            runs = np.diff(np.append(first, len(grams)))
+            often = runs >= HOT
+            hot = np.column_stack([grams[first[often]], runs[often].astype(np.uint64)])
+            hot_part = part[first[often]]
+            often = np.repeat(often, runs)
+            held = doc[often].astype(np.uint16)
+            entry = (grams[~often] & np.uint64((1 << LOW_BITS) - 1)) << np.uint64(DOC_BITS) | doc[~often]
+            part = part[~often]
             block = base | count
-            names = [(block, int(part[a]), _pack(entry[a:b]), None, None, None)
-                     for a, b in zip(bounds[:-1], bounds[1:])]
+            used = np.union1d(part, hot_part)
+            ends = [np.append(np.searchsorted(p, used), len(p)).tolist() for p in (part, hot_part)]
+            names = [
+                (block, int(f), _pack(entry[a:b]), hot[c:d].tobytes() if d > c else None, None, None, None, None)
+                for f, a, b, c, d in zip(used, ends[0], ends[0][1:], ends[1], ends[1][1:])]
             known = np.array([i is not None for i in ids], np.int64)
             number = np.array([i or 0 for i in ids], np.int64)
-            names.append((block, block % fragments, None,
+            names.append((block, block % fragments, None, hot.tobytes(), held.tobytes(),
                           np.stack([number, known], 1).tobytes(), sizes.tobytes(), marks.tobytes()))
             count += 1
             sets.clear()
@@ -226,8 +274,9 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, fragments: int) -> Data
 
 def _count(blocks: DataFrame) -> DataFrame:
     """Per block and fragment, the entries whose n-gram occurs in more than
-    one document, each followed by its frequency level (a byte).  Rows that
-    name documents pass through."""
+    one document, each followed by its frequency level (a byte), and the hot
+    n-grams with their level in place of the block's count.  Rows that name
+    documents pass through."""
 
     def run(table: pa.Table) -> pa.Table:
         named = table.filter(pa.compute.is_null(table["data"]))
@@ -235,24 +284,42 @@ def _count(blocks: DataFrame) -> DataFrame:
         if not table.num_rows:
             return named
         parts = [_unpack(d.as_py()) for d in table["data"]]
+        hots = [_pairs(h.as_py()) for h in table["hot"]]
         owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-        entry = np.concatenate(parts)
-        order = np.argsort(entry >> np.uint64(16), kind="stable")
+        entry, hot = np.concatenate(parts), np.concatenate(hots)
+        # Within a fragment, low bits name the n-gram.
+        low = np.uint64((1 << LOW_BITS) - 1)
+        order = np.argsort(entry >> np.uint64(DOC_BITS), kind="stable")
         entry, owner = entry[order], owner[order]
-        gram = entry >> np.uint64(16)
-        first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+        gram = entry >> np.uint64(DOC_BITS)
+        first = np.flatnonzero(np.concatenate([gram[:1] == gram[:1], gram[1:] != gram[:-1]]))
         runs = np.diff(np.append(first, len(gram)))
-        often = np.repeat(runs, runs)
+        # Counts of hot n-grams, summed over blocks, join those of entries.
+        names, of = np.unique(hot[:, 0] & low, return_inverse=True)
+        total = np.bincount(of, hot[:, 1].astype(np.int64), len(names)).astype(np.int64)
+        if len(first) and len(names):
+            at = np.minimum(np.searchsorted(gram[first], names), len(first) - 1)
+            both = gram[first[at]] == names
+            total[both] += runs[at[both]]
+            runs_all = runs.copy()
+            runs_all[at[both]] = total[both]
+        else:
+            runs_all = runs
+        often = np.repeat(runs_all, runs)
         keep = often > 1
         entry, owner, often = entry[keep], owner[keep], often[keep]
-        level = np.minimum(255, 8 * np.log2(often)).astype(np.uint8)
+        level = _levels(often)
         order = np.argsort(owner, kind="stable")
         entry, owner, level = entry[order], owner[order], level[order]
         bounds = np.searchsorted(owner, np.arange(len(parts) + 1)).tolist()
-        data = [_pack(entry[a:b]) + level[a:b].tobytes() if b > a else None
-                for a, b in zip(bounds[:-1], bounds[1:])]
+        data = [_pack(entry[a:b]) + level[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
+        hot = np.column_stack([hot[:, 0], _levels(total[of]).astype(np.uint64)])
+        ends = np.cumsum([0] + [len(h) for h in hots]).tolist()
+        back = [hot[a:b].tobytes() if b > a else None for a, b in zip(ends[:-1], ends[1:])]
         table = table.set_column(2, "data", pa.array(data, pa.binary()))
-        return pa.concat_tables([named, table.filter(pa.compute.is_valid(table["data"]))])
+        table = table.set_column(3, "hot", pa.array(back, pa.binary()))
+        some = [bool(d) or h is not None for d, h in zip(data, back)]
+        return pa.concat_tables([named, table.filter(pa.array(some, pa.bool_()))])
 
     return blocks.groupBy("fragment").applyInArrow(run, _ROW)
 
@@ -267,9 +334,11 @@ _ARROW_OUT = pa.schema([
 DOC, BUCKET, CUT = 0, 1, 2
 
 
-def _prefixes(counted: DataFrame) -> DataFrame:
+def _prefixes(counted: DataFrame, fragments: int) -> DataFrame:
     """Rows of three kinds: each document; the prefix n-grams of each set
-    that may link; and that set's shared n-grams in ``CUTS`` cuts."""
+    that may link; and that set's shared n-grams in ``CUTS`` fragments of the
+    hash order."""
+    starts = _starts(fragments)
 
     def run(table: pa.Table) -> pa.Table:
         is_name = pa.compute.is_null(table["data"])
@@ -284,16 +353,24 @@ def _prefixes(counted: DataFrame) -> DataFrame:
         out = [_rows(DOC, n, marks, doc_id=pa.array(ids, mask=known == 0), bits=each)]
         table = table.filter(pa.compute.invert(is_name))
         if table.num_rows:
-            entry, level, gram = [], [], []
-            for part, data in zip(table["fragment"].to_pylist(), table["data"]):
+            doc, level, gram, hots = [], [], [], []
+            for part, data, hot in zip(table["fragment"].to_pylist(), table["data"], table["hot"]):
                 data = data.as_py()
-                k = len(data) // 8
-                e = _unpack(data[:7 * k])
-                entry.append(e & np.uint64(0xFFFF))
-                gram.append((e >> np.uint64(16)) | np.uint64(part << LOW_BITS))
-                level.append(np.frombuffer(data[7 * k:], np.uint8))
-            doc = np.concatenate(entry).astype(np.int64)
-            gram = np.concatenate(gram).astype(np.int64)
+                k = len(data) // 9
+                e = _unpack(data[:8 * k])
+                doc.append(e & np.uint64((1 << DOC_BITS) - 1))
+                gram.append(_whole(starts[part], e >> np.uint64(DOC_BITS)))
+                level.append(np.frombuffer(data[8 * k:], np.uint8))
+                hots.append(_pairs(hot.as_py()))
+            # The block's own documents of hot n-grams, with the level found.
+            own, found = _pairs(name["hot"][0].as_py()), np.concatenate(hots)
+            times = own[:, 1].astype(np.int64)
+            found = found[np.argsort(found[:, 0])]
+            doc.append(np.frombuffer(name["held"][0].as_py(), np.uint16).astype(np.uint64))
+            gram.append(np.repeat(own[:, 0], times))
+            level.append(np.repeat(found[np.searchsorted(found[:, 0], own[:, 0]), 1].astype(np.uint8), times))
+            doc = np.concatenate(doc).astype(np.int64)
+            gram = np.concatenate(gram).view(np.int64)
             level = np.concatenate(level)
             shared = np.bincount(doc, minlength=len(n))
             # Prefix length, less the n-grams that occur once.
@@ -312,7 +389,7 @@ def _prefixes(counted: DataFrame) -> DataFrame:
             # The set's n-grams from this one on, in global order.
             rest = shared[doc] - place
             out.append(_rows(BUCKET, n[doc[head]], marks[doc[head]], gram=gram[head], rest=rest[head]))
-            cut = gram % CUTS
+            cut = (gram.view(np.uint64) >> np.uint64(48)).astype(np.int64) * CUTS >> 16
             order = np.lexsort((gram, cut, doc))
             doc, gram, cut = doc[order], gram[order], cut[order]
             at = np.flatnonzero(np.diff(doc * CUTS + cut, prepend=-1))
@@ -419,7 +496,7 @@ def link_documents(
     spark = docs.sparkSession
     fragments = min(MAX_FRAGMENTS, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     blocks = _blocks(docs, id_col, text_col, fragments)
-    found = materialize(_prefixes(_count(blocks)), "ngram-rows")
+    found = materialize(_prefixes(_count(blocks), fragments), "ngram-rows")
 
     # Classes of equal sets; a written table keeps their numbers fixed.
     rows = found.filter(F.col("kind") == DOC).select("doc_id", "n", "mark1", "mark2", "bits")
@@ -465,14 +542,17 @@ def link_documents(
         F.count("*").alias("parts"), F.max_by("part", F.struct("k", "part")).alias("main")
     ).filter("parts > 1").select("gram", "main")
     open_seats = materialize(seats.join(torn, "gram"), "ngram-open")
+    # Linked sets differ by at most a quarter in size: a band or the next one.
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / SHARE))).cast("int")
+    near = F.explode(F.array(band - 1, band, band + 1)).alias("band")
     x = open_seats.filter(F.col("part") != F.col("main")).select(
-        "gram", *_seat("x_"), F.col("part").alias("px"), F.col("strong").alias("sx"))
+        "gram", near, *_seat("x_"), F.col("part").alias("px"), F.col("strong").alias("sx"))
     y = open_seats.select(
-        "gram", *_seat("y_"), F.col("part").alias("py"), F.col("strong").alias("sy"))
+        "gram", band.alias("band"), *_seat("y_"), F.col("part").alias("py"), F.col("strong").alias("sy"))
     fits = (F.col("px") != F.col("py")) & _fits("x_", "y_")
     rest = materialize(_ordered(
-        x.filter("sx").join(y, "gram").filter(fits)
-        .unionByName(x.filter("not sx").join(y.filter("sy"), "gram").filter(fits))
+        x.filter("sx").join(y, ["gram", "band"]).filter(fits)
+        .unionByName(x.filter("not sx").join(y.filter("sy"), ["gram", "band"]).filter(fits))
     ).join(stars.select("a", "b"), ["a", "b"], "left_anti"), "ngram-rest")
     # Sets without shingles link with nothing, so they pass no link on either.
     named = rows.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0)).join(number, marks).select("doc_id", "node")

@@ -7,6 +7,7 @@ import zlib
 from collections import defaultdict
 from fractions import Fraction
 
+import numpy as np
 import pytest
 
 from marketlens.llm import periodic_runs, prefix_trie, site_template
@@ -393,3 +394,36 @@ def test_results_are_filtered_without_a_second_search(spark):
     for stage in (corpus_pipeline.keep_known_languages, corpus_pipeline.drop_benchmark_leaks):
         plan = stage(spark, docs, SF)._jdf.queryExecution().executedPlan().toString()
         assert plan.count("ArrowEvalPython") == 1
+
+
+@pytest.mark.parametrize("hot", [1, 2, 20])
+def test_join_with_ngrams_counted_in_their_block(spark, monkeypatch, hot):
+    """Frequent n-grams go to their fragment as counts; links stay those of all pairs."""
+    from marketlens.llm import ngram_jaccard
+    from tests.llm.test_corpus_operators import components, corpus
+
+    monkeypatch.setattr(ngram_jaccard, "HOT", hot)
+    rows = corpus()
+    want, sizes = components(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = ngram_jaccard.link_documents(docs).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+    assert {r.doc_id: r.n_shingles for r in got} == sizes
+
+
+@pytest.mark.parametrize("fragments, exact", [(16, False), (800, False), (16_384, True), (20_000, True), (1 << 22, True)])
+def test_ngram_hashes_from_fragment_and_low_bits(fragments, exact):
+    from marketlens.llm import ngram_jaccard as n
+
+    rng = np.random.default_rng(3)
+    grams = rng.integers(0, 1 << 64, 50_000, np.uint64)
+    grams[:2] = 0, (1 << 64) - 1
+    part = n._fragment(grams, fragments)
+    starts = n._starts(fragments)
+    assert (starts[part] <= grams).all() and (n._fragment(starts, fragments) == np.arange(fragments)).all()
+    whole = n._whole(starts[part], grams)
+    assert (n._fragment(whole, fragments) == part).all()
+    again = n._whole(starts[part], n._unpack(n._pack(whole << np.uint64(n.DOC_BITS))) >> np.uint64(n.DOC_BITS))
+    assert (again == whole).all()
+    assert len(np.unique(whole)) == len(np.unique(grams))
+    assert not exact or (whole == grams).all()
