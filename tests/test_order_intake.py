@@ -135,3 +135,47 @@ def test_new_rows_fit_their_tables(spark):
     assert order.created_at is not None and order.id == 7
     assert len({r.id for r in lines}) == 2
     assert all(e.created_at is not None and e.session_id for e in events)
+
+
+def test_lines_above_the_whole_stock_never_enter_the_rounds(spark):
+    products = {p: (10, 2) for p in range(4)}
+    carts = [(i, i, [(i % 4, 3), ((i + 1) % 4, 1)]) for i in range(12)]  # 3 > 2, whoever came before
+    want, want_stock = sequential(carts, products)
+    got, stock, res = run_spark(spark, carts, products)
+    assert {c: g[:2] for c, g in got.items()} == {c: w[:2] for c, w in want.items()}
+    assert stock == want_stock and res.open_lines == [0]
+
+
+def test_seq_is_cut_into_ranges_for_a_hot_product_only(spark, monkeypatch):
+    calls = []
+    real = changes.seq_bounds
+    monkeypatch.setattr(changes, "seq_bounds", lambda *a: calls.append(a[2]) or real(*a))
+
+    def check(products, carts):
+        cdf = spark.createDataFrame([(c, s, 1, items, None, None) for c, s, items in carts], S.CART_REQUESTS)
+        pdf = spark.createDataFrame([(p, Decimal(pr), st) for p, (pr, st) in products.items()],
+                                    "id bigint, price decimal(18,2), stock int")
+        want, want_stock = sequential(carts, products)
+        res = changes.intake_orders(cdf, pdf, bucket_rows=8)
+        assert {r.cart_id: (r.accepted, r.reason) for r in res.decisions.collect()} == {
+            c: w[:2] for c, w in want.items()}
+        assert {r.id: r.stock for r in res.products.collect()} == want_stock
+
+    check({p: (10, 4) for p in range(8)}, [(i, i, [(i % 8, 2), ((i + 3) % 8, 1)]) for i in range(24)])
+    assert not calls  # 48 lines, six a product
+    check({1: (10, 30), 2: (10, 5)}, [(i, i, [(1, 1 + i % 3)] + [(2, 1)] * (i % 2)) for i in range(40)])
+    assert calls
+
+
+def test_decisions_of_repeated_carts_and_products(spark):
+    carts = spark.createDataFrame(
+        [(1, 1, 4, [(1, 1)], None, None)] * 2 + [(2, 2, 4, [(1, 5), (9, 1)], None, None),
+                                                  (3, 3, 4, [(1, 2), (2, 3)], None, None),
+                                                  (4, 4, 4, [None, (2, 2)], None, None)], S.CART_REQUESTS)
+    products = spark.createDataFrame([(1, Decimal(5), 3)] * 2 + [(2, Decimal(7), 2)],
+                                     "id bigint, price decimal(18,2), stock int")
+    got = sorted((r.cart_id, r.accepted, r.reason, r.total_amount) for r in
+                 changes.intake_orders(carts, products).decisions.collect())
+    # Two carts of one number, each line at two prices: four lines of one unit.
+    assert got == [(1, True, None, Decimal(20)), (1, True, None, Decimal(20)), (2, False, "unknown_product:9", None),
+                   (3, False, "out_of_stock:1", None), (4, True, None, Decimal(14))]
